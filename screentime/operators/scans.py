@@ -156,6 +156,22 @@ def fill_forward(
     )
 
 
+def previous(
+    df: DataFrame, keys: Sequence[str], order: str, columns: dict[str, str], chunk: float = CHUNK_SECONDS
+) -> DataFrame:
+    """``lag`` by one row, ``columns={output: input}``, over rows unique per ``(keys, order)``."""
+    keys = list(keys)
+    part = keys + [_CHUNK]
+    rows = df.withColumn(_CHUNK, _chunk_of(order, chunk))
+    inside = Window.partitionBy(*part).orderBy(order)
+    payload = F.struct(*[F.col(src).alias(out) for out, src in columns.items()])
+    local = rows.withColumn("__here", F.lag(payload).over(inside))
+    last = rows.groupBy(*part).agg(F.max_by(payload, F.col(order)).alias("__last"))
+    carry = last.select(*part, F.lag("__last").over(Window.partitionBy(*keys).orderBy(_CHUNK)).alias("__before"))
+    value = F.coalesce(F.col("__here"), F.col("__before"))
+    return local.join(carry, part).select(*df.columns, *[value[out].alias(out) for out in columns])
+
+
 def ranked(
     df: DataFrame,
     keys: Sequence[str],

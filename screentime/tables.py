@@ -14,6 +14,12 @@ from screentime.functions.geometry import bigint_mod
 FRAME_W, FRAME_H = 1920.0, 1080.0
 DT = 0.5
 
+# Keypoint positions as fractions of the person box, in COCO order.
+POSE_LAYOUT = (
+    (0.5, 0.08), (0.46, 0.06), (0.54, 0.06), (0.42, 0.08), (0.58, 0.08), (0.35, 0.2), (0.65, 0.2), (0.25, 0.35), (0.75, 0.35),
+    (0.2, 0.5), (0.8, 0.5), (0.4, 0.5), (0.6, 0.5), (0.4, 0.72), (0.6, 0.72), (0.4, 0.95), (0.6, 0.95),
+)
+
 
 class Tables:
     """Lazy access to one data folder."""
@@ -69,6 +75,26 @@ class Tables:
             (F.col("conf") * 4).alias("vote_mass"),
         )
 
+    def poses(self) -> DataFrame:
+        """Persons with 17 keypoints laid out inside their box; some fall below the cut-off."""
+        points = []
+        for i, (fx, fy) in enumerate(POSE_LAYOUT):
+            conf = bigint_mod(F.col("cx").cast("bigint") + F.col("cy").cast("bigint") * 3 + 7 * i, 40 if i > 4 else 25) / 25.0
+            points.append(F.struct(
+                (F.col("x1") + F.col("w") * fx).alias("x"), (F.col("y1") + F.col("h") * fy).alias("y"), conf.alias("c")
+            ))
+        return self.persons().select("*", F.array(*points).alias("keypoints"))
+
+    def votes(self) -> DataFrame:
+        """Team votes per (video, line number) track."""
+        return self.persons_with_track().select(
+            "video_id", "track_id", "t", F.col("slot").alias("frame_idx"), "team",
+            (F.col("conf") * (bigint_mod(F.col("cy").cast("bigint"), 10) / 10.0 + 0.25)).alias("weight"), "person_id",
+        )
+
+    def persons_with_track(self) -> DataFrame:
+        return self.persons().withColumn("track_id", F.split("person_id", "-")[1].cast("bigint"))
+
     def meta(self) -> DataFrame:
         """Per-video metadata: audience, price and placement label."""
         k = bigint_mod(F.col("s_suppkey"), 5)
@@ -93,6 +119,16 @@ class Tables:
         )
         return self.meta().join(span, "video_id").select("video_id", "event_name", "video_name", "match_date", "duration_s")
 
+    def videos(self) -> DataFrame:
+        """Video dimension: length from the account balance, rate by key."""
+        k = bigint_mod(F.col("s_suppkey"), 3)
+        fps = F.when(k == 0, 25.0).when(k == 1, 30.0).otherwise(50.0)
+        duration = F.col("s_acctbal") + 1000.0
+        return self.raw("supplier").select(
+            F.col("s_suppkey").alias("video_id"), fps.alias("fps"), duration.alias("duration_s"),
+            F.floor(duration * fps).cast("bigint").alias("frame_count"),
+        )
+
     def frames(self) -> DataFrame:
         """One row of frame metrics per (video, slot), aggregated from the hits."""
         li = self.raw("lineitem").withColumn("slot", bigint_mod(F.col("l_orderkey"), 40))
@@ -176,6 +212,16 @@ _PERSON = """v_person AS (
          conf * 4 AS vote_mass
   FROM v_box WHERE line_no >= 5)"""
 
+_VOTE = """v_vote AS (
+  SELECT video_id, CAST(split_part(person_id, '-', 2) AS BIGINT) AS track_id, t, slot AS frame_idx, team, person_id,
+         conf * ((CAST(cy AS BIGINT) % 10) / 10.0 + 0.25) AS weight FROM v_person)"""
+
+_LIVE = """v_live AS (
+  SELECT video_id, track_id, t, frame_idx, sum(vt) OVER w AS cum_target, sum(vo) OVER w AS cum_other FROM (
+    SELECT video_id, track_id, t, frame_idx, sum(CASE WHEN team = 'target' THEN weight ELSE 0 END) AS vt,
+           sum(CASE WHEN team = 'other' THEN weight ELSE 0 END) AS vo FROM v_vote GROUP BY 1, 2, 3, 4) i
+  WINDOW w AS (PARTITION BY video_id, track_id ORDER BY t))"""
+
 _VIS = """v_vis AS (
   SELECT *, greatest(0.0, x2 - x1) * greatest(0.0, y2 - y1) AS area,
          greatest(CAST(0 AS DOUBLE), least(CAST(1 AS DOUBLE),
@@ -236,6 +282,11 @@ _FRAME = """v_frame AS (
          (l_orderkey % 40) * CAST(0.5 AS DOUBLE) AS time_s
   FROM lineitem GROUP BY l_suppkey, l_orderkey % 40)"""
 
+_VIDEO = """v_video AS (
+  SELECT video_id, fps, duration_s, CAST(floor(duration_s * fps) AS BIGINT) AS frame_count FROM (
+    SELECT s_suppkey AS video_id, s_acctbal + 1000.0 AS duration_s,
+           CASE s_suppkey % 3 WHEN 0 THEN CAST(25 AS DOUBLE) WHEN 1 THEN CAST(30 AS DOUBLE) ELSE CAST(50 AS DOUBLE) END AS fps FROM supplier) v)"""
+
 _OCR = """v_ocr AS (
   SELECT l_suppkey AS video_id, CAST(l_orderkey % 40 AS DOUBLE) AS time_s,
          concat_ws('-', l_orderkey, l_linenumber, l_partkey) AS det_id, CAST(l_linenumber AS BIGINT) AS line_no, p_name AS sponsor,
@@ -256,10 +307,10 @@ _VEC = """v_vec AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS embedding, CAST(label AS BIGINT) AS label FROM embeddings)"""
 
 _NEEDS = {
-    "det": (_DET, []), "box": (_BOX, ["det"]), "logo": (_LOGO, ["box"]), "person": (_PERSON, ["box"]),
+    "det": (_DET, []), "box": (_BOX, ["det"]), "logo": (_LOGO, ["box"]), "person": (_PERSON, ["box"]), "vote": (_VOTE, ["person"]), "live": (_LIVE, ["vote"]),
     "vis": (_VIS, ["box"]), "meta": (_META, []), "match": (_MATCH, ["meta"]), "run": (_RUN, ["vis"]),
     "seg": (_SEG, ["run"]), "brand": (_BRAND, ["seg"]), "priced": (_PRICED, ["brand", "meta"]),
-    "frame": (_FRAME, []), "ocr": (_OCR, []), "score": (_SCORE, []), "event": (_EVENT, []), "vec": (_VEC, []),
+    "frame": (_FRAME, []), "video": (_VIDEO, []), "ocr": (_OCR, []), "score": (_SCORE, []), "event": (_EVENT, []), "vec": (_VEC, []),
 }
 
 
