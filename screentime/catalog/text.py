@@ -143,8 +143,8 @@ def bbox_string(t):
 
 @query("match_filter", with_views("match") + """
 SELECT video_id, event_name, match_date FROM v_match
-WHERE (contains(lower(event_name), '1') OR contains(lower(video_name), '1')) AND match_date >= DATE '1992-01-01' AND match_date < DATE '1992-02-20' + 1""")
+WHERE (contains(lower(event_name), '1') OR contains(lower(video_name), '1')) AND match_date >= DATE '1995-01-03' AND match_date < DATE '1995-01-05' + 1""")
 def match_filter(t):
     from screentime.operators.portfolio import match_filter as keep
 
-    return keep(t.matches(), " 1 ", "1992-01-01", "1992-02-20").select("video_id", "event_name", "match_date")
+    return keep(t.matches(), " 1 ", "1995-01-03", "1995-01-05").select("video_id", "event_name", "match_date")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from screentime.functions import text as T
 from screentime.functions import visibility as V
+from screentime.functions.rounding import scaled_round
 from screentime.operators.scans import CHUNK_SECONDS, merge_runs
 
 # Market parameters of the price list.
@@ -141,7 +142,7 @@ def video_duration(df: DataFrame, keys: list[str], dt: float) -> DataFrame:
 def pricing_agg(df: DataFrame, keys: list[str], dt: float = 1.0) -> DataFrame:
     """Per-sponsor aggregates over every detection row, sums rounded to 4 digits."""
     rows = scored(drop_blank_sponsor(df), dt)
-    r4 = lambda c, name: F.round(c, 4).alias(name)
+    r4 = lambda c, name: scaled_round(c, 4).alias(name)
     per = rows.groupBy(*keys, "sponsor").agg(
         F.count("qi").alias("n_detections"),
         r4(F.count(F.lit(1)) * F.lit(dt), "screen_time_s"),
@@ -159,7 +160,7 @@ def pricing_agg(df: DataFrame, keys: list[str], dt: float = 1.0) -> DataFrame:
     # One row per key: the length is the latest sponsor time of the same scope.
     span = per.groupBy(*keys).agg((F.max("last_seen_s") + dt).alias("video_duration_s"))
     joined = per.join(span, keys) if keys else per.crossJoin(span)
-    return joined.withColumn("screen_time_pct", F.col("screen_time_s") / F.col("video_duration_s") * 100.0)
+    return joined.withColumn("screen_time_pct", scaled_round(F.col("screen_time_s") / F.col("video_duration_s") * 100.0, 1))
 
 
 def cpes(cpm: float = CPM_GBP, viewers_k: float = VIEWERS_K, discount: float = DISCOUNT) -> Column:
@@ -169,18 +170,18 @@ def cpes(cpm: float = CPM_GBP, viewers_k: float = VIEWERS_K, discount: float = D
 def emv_gbp(agg: DataFrame) -> DataFrame:
     """Value from the rounded area-seconds; the discount is null when the raw value is 0."""
     rows = agg.withColumns(
-        {"emv_gbp": F.round(F.col("eff_area_sec") * cpes(), 2), "emv_raw_gbp": F.round(F.col("raw_area_sec") * cpes(), 2)}
+        {"emv_gbp": scaled_round(F.col("eff_area_sec") * cpes(), 2), "emv_raw_gbp": scaled_round(F.col("raw_area_sec") * cpes(), 2)}
     )
     ratio = F.try_divide(F.col("emv_gbp"), F.col("emv_raw_gbp"))
-    return rows.withColumn("quality_disc_pct", (F.lit(1.0) - ratio) * 100.0)
+    return rows.withColumn("quality_disc_pct", scaled_round((F.lit(1.0) - ratio) * 100.0, 1))
 
 
 def price_recommendation(priced: DataFrame, keys: list[str]) -> DataFrame:
-    match = F.round(F.col("emv_gbp") * VALUE_RETENTION, 2)
+    match = scaled_round(F.col("emv_gbp") * VALUE_RETENTION, 2)
     return priced.select(
         *keys, "sponsor", "screen_time_s", "emv_gbp", match.alias("fair_price_match_gbp"),
-        F.round(match * MATCHES_PER_SEASON, 0).alias("fair_price_season_gbp"),
-        F.try_divide(F.col("emv_gbp"), match).alias("sponsor_roi_x"),
+        scaled_round(match * MATCHES_PER_SEASON).alias("fair_price_season_gbp"),
+        scaled_round(F.try_divide(F.col("emv_gbp"), match), 2).alias("sponsor_roi_x"),
     )
 
 
