@@ -72,7 +72,7 @@ def assign_owner(logos: DataFrame, persons: DataFrame, keys: list[str], dense_li
     reach = diag * OWNER_REACH
     cx, cy = F.col("cx"), F.col("cy")
     pairs = window_pairs(
-        logos.select(*keys, "cx", "cy"), side, FRAME, [cx, cy, cx, cy], [px - reach, py - reach, px + reach, py + reach],
+        logos.select(*dict.fromkeys([*keys, "cx", "cy"])), side, FRAME, [cx, cy, cx, cy], [px - reach, py - reach, px + reach, py + reach],
         dense_limit=dense_limit,
     )
     inside = (x1 <= cx) & (cx <= x2) & (y1 <= cy) & (cy <= y2)
@@ -111,7 +111,7 @@ def zone_person_pick(
     x1, y1, x2, y2 = _p(*BOX)
     px, py = (x1 + x2) / 2, (y1 + y2) / 2
     cx, cy = F.col("cx"), F.col("cy")
-    points = logos.select(*keys, "cx", "cy")
+    points = logos.select(*dict.fromkeys([*keys, "cx", "cy"]))
     near = nearest_pairs(points, side, FRAME, [cx, cy], [px, py], dense_limit=dense_limit)
     inside = (x1 <= cx) & (cx <= x2) & (y1 <= cy) & (cy <= y2)
     holding = window_pairs(points, side, FRAME, [cx, cy, cx, cy], [x1, y1, x2, y2], dense_limit=dense_limit).filter(inside)
@@ -120,83 +120,91 @@ def zone_person_pick(
     return _pick(logos, near.unionByName(holding), keys, rank, ["person_id"])
 
 
-def _point(x: Column, y: Column) -> Column:
-    return F.when(x.isNotNull() & y.isNotNull(), F.struct(x.alias("x"), y.alias("y")))
-
-
-def _between(a: Column, b: Column, frac: float) -> Column:
-    return _point(a["x"] + (b["x"] - a["x"]) * frac, a["y"] + (b["y"] - a["y"]) * frac)
+def _let(value: Column, body) -> Column:
+    """Bind a value to a name inside one expression: it is computed once however
+    often ``body`` uses it, and the optimizer cannot inline it into every use."""
+    return F.transform(F.array(value), body)[0]
 
 
 def zone_anchors(persons: DataFrame) -> DataFrame:
     """``anchors``: an array of (zone_no, zone, x, y) for the slots the keypoints allow.
 
-    Steps are separate projections so each resolved point is computed once.
+    Coordinates are plain nullable doubles: arithmetic with a missing keypoint gives
+    null, which is the rule that such a slot is left out.
     """
-
-    def kp(i: int) -> Column:
-        k = F.try_element_at("keypoints", F.lit(i + 1))
-        return F.when(k["c"] >= KEYPOINT_CONF, F.struct(k["x"].alias("x"), k["y"].alias("y")))
-
     names = {"nose": 0, "leye": 1, "reye": 2, "lsho": 5, "rsho": 6, "lelb": 7, "relb": 8,
              "lhip": 11, "rhip": 12, "lkne": 13, "rkne": 14, "lank": 15, "rank": 16}
-    rows = persons.select("*", *[kp(i).alias(f"k_{n}") for n, i in names.items()])
-
-    def ordered(a: str, b: str) -> tuple[Column, Column]:
-        p, q = F.col(f"k_{a}"), F.col(f"k_{b}")
-        swap = p.isNotNull() & q.isNotNull() & (p["x"] > q["x"])
-        return F.when(swap, q).otherwise(F.coalesce(p, q)), F.when(swap, p).otherwise(F.coalesce(q, p))
-
-    sl, sr = ordered("lsho", "rsho")
-    hl, hr = ordered("lhip", "rhip")
-    faceless = F.coalesce(F.col("k_nose"), F.col("k_leye"), F.col("k_reye")).isNull()
-    rows = rows.select(
-        "*", sl.alias("s_l"), sr.alias("s_r"), hl.alias("h_l"), hr.alias("h_r"),
-        (faceless & F.col("k_lsho").isNotNull() & F.col("k_rsho").isNotNull()).alias("is_back"),
-    )
-    rows = rows.select(
-        "*", _between(F.col("s_l"), F.col("s_r"), 0.5).alias("s_m"), _between(F.col("h_l"), F.col("h_r"), 0.5).alias("h_m")
-    )
-    spine = lambda f: _between(F.col("s_m"), F.col("h_m"), f)
-    rows = rows.select(
-        "*", spine(0.5)["x"].alias("mid_x"),
-        *[_between(F.col(a), F.col(b), 0.5).alias(n) for n, a, b in (
-            ("arm_1", "k_lsho", "k_lelb"), ("arm_2", "k_rsho", "k_relb"),
-            ("thigh_1", "h_l", "k_lkne"), ("thigh_2", "h_r", "k_rkne"),
-            ("calf_1", "k_lkne", "k_lank"), ("calf_2", "k_rkne", "k_rank"))],
-    )
-    left_of = lambda p: F.coalesce(F.col(p)["x"] <= F.col("mid_x"), F.lit(True))
-
-    def sided(first: str, second: str, default: tuple[bool, bool]) -> tuple[Column, Column]:
-        """First writer per side; without a midline each limb keeps its default side."""
-        no_mid = F.col("mid_x").isNull()
-        is_l = [F.when(no_mid, F.lit(d)).otherwise(left_of(p)) for p, d in zip((first, second), default)]
-        pick = lambda want: F.coalesce(
-            *[F.when(w if want else ~w, F.col(p)) for p, w in zip((first, second), is_l)]
-        )
-        return pick(True), pick(False)
-
-    arm_l, arm_r = sided("arm_1", "arm_2", (True, True))
-    thigh_l, thigh_r = sided("thigh_1", "thigh_2", (True, False))
-    calf_l, calf_r = sided("calf_1", "calf_2", (True, False))
-    back, front = F.col("is_back"), ~F.col("is_back")
-    slots = {
-        "chest-center": F.when(front, spine(0.42)),
-        "chest-l": F.when(front, _between(F.col("s_l"), F.col("h_l"), 0.28)),
-        "chest-r": F.when(front, _between(F.col("s_r"), F.col("h_r"), 0.28)),
-        "shoulder-l": F.col("s_l"), "shoulder-r": F.col("s_r"), "sleeve-l": arm_l, "sleeve-r": arm_r,
-        "abdomen": F.when(front, spine(0.75)),
-        "back-top": F.when(back, spine(0.18)), "back-center": F.when(back, spine(0.45)), "back-lower": F.when(back, spine(0.75)),
-        "shorts-front-l": F.when(front, thigh_l), "shorts-front-r": F.when(front, thigh_r),
-        "shorts-back": F.when(back, spine(1.05)),
-        "shorts-leg-l": F.when(back, thigh_l), "shorts-leg-r": F.when(back, thigh_r),
-        "sock-l": calf_l, "sock-r": calf_r,
-    }
-    entries = F.array(*[
-        F.struct(F.lit(no).alias("zone_no"), F.lit(zone).alias("zone"), slots[zone]["x"].alias("x"), slots[zone]["y"].alias("y"))
-        for no, (zone, _) in enumerate(ZONES)
-    ])
-    return rows.select(*persons.columns, F.filter(entries, lambda e: e["x"].isNotNull()).alias("anchors"))
+
+    def keypoints(k: Column) -> Column:
+        def value(i: int, axis: str) -> Column:
+            point = F.try_element_at(k, F.lit(i + 1))
+            return F.when(point["c"] >= KEYPOINT_CONF, point[axis])
+
+        return F.struct(*[value(i, axis).alias(f"{n}_{axis}") for n, i in names.items() for axis in "xy"])
+
+    def sides(k: Column) -> Column:
+        """Shoulders and hips ordered by x; a lone one stands for both."""
+        out = []
+        for name, a, b in (("s", "lsho", "rsho"), ("h", "lhip", "rhip")):
+            swap = F.coalesce(k[f"{a}_x"] > k[f"{b}_x"], F.lit(False))
+            for axis in "xy":
+                p, q = k[f"{a}_{axis}"], k[f"{b}_{axis}"]
+                out += [
+                    F.when(swap, q).otherwise(F.coalesce(p, q)).alias(f"{name}l_{axis}"),
+                    F.when(swap, p).otherwise(F.coalesce(q, p)).alias(f"{name}r_{axis}"),
+                ]
+        back = F.coalesce(k["nose_x"], k["leye_x"], k["reye_x"]).isNull() & k["lsho_x"].isNotNull() & k["rsho_x"].isNotNull()
+        return F.struct(k.alias("k"), *out, back.alias("back"))
+
+    def middles(v: Column) -> Column:
+        k = v["k"]
+        pairs = {"sm": (v, "sl", v, "sr"), "hm": (v, "hl", v, "hr"), "arm1": (k, "lsho", k, "lelb"), "arm2": (k, "rsho", k, "relb"),
+                 "leg1": (v, "hl", k, "lkne"), "leg2": (v, "hr", k, "rkne"), "calf1": (k, "lkne", k, "lank"), "calf2": (k, "rkne", k, "rank")}
+        mids = [((p[f"{a}_{axis}"] + q[f"{b}_{axis}"]) / 2).alias(f"{n}_{axis}") for n, (p, a, q, b) in pairs.items() for axis in "xy"]
+        return F.struct(v.alias("v"), *mids)
+
+    def limb_sides(m: Column) -> Column:
+        """Side of each limb: by the torso axis where it is known, else its default."""
+        axis = (m["sm_x"] + m["hm_x"]) / 2
+        defaults = {"arm1": "l", "arm2": "l", "leg1": "l", "leg2": "r", "calf1": "l", "calf2": "r"}
+        side = [
+            F.when(m[f"{n}_x"].isNull(), None).when(axis.isNull(), d).when(m[f"{n}_x"] <= axis, "l").otherwise("r").alias(f"{n}_side")
+            for n, d in defaults.items()
+        ]
+        return F.struct(m.alias("m"), *side)
+
+    def slots(z: Column) -> Column:
+        m, v = z["m"], z["m"]["v"]
+
+        def along(p: Column, a: str, b: str, frac: float) -> tuple[Column, Column]:
+            return tuple(p[f"{a}_{axis}"] + (p[f"{b}_{axis}"] - p[f"{a}_{axis}"]) * frac for axis in "xy")
+
+        def limb(kind: str, side: str) -> tuple[Column, Column]:
+            return tuple(
+                F.coalesce(*[F.when(z[f"{kind}{i}_side"] == side, m[f"{kind}{i}_{axis}"]) for i in (1, 2)]) for axis in "xy"
+            )
+
+        spine = lambda frac: along(m, "sm", "hm", frac)
+        back, front, both = v["back"], ~v["back"], F.lit(True)
+        place = {
+            "chest-center": (front, spine(0.42)), "chest-l": (front, along(v, "sl", "hl", 0.28)),
+            "chest-r": (front, along(v, "sr", "hr", 0.28)), "shoulder-l": (both, (v["sl_x"], v["sl_y"])),
+            "shoulder-r": (both, (v["sr_x"], v["sr_y"])), "sleeve-l": (both, limb("arm", "l")),
+            "sleeve-r": (both, limb("arm", "r")), "abdomen": (front, spine(0.75)), "back-top": (back, spine(0.18)),
+            "back-center": (back, spine(0.45)), "back-lower": (back, spine(0.75)),
+            "shorts-front-l": (front, limb("leg", "l")), "shorts-front-r": (front, limb("leg", "r")),
+            "shorts-back": (back, spine(1.05)), "shorts-leg-l": (back, limb("leg", "l")),
+            "shorts-leg-r": (back, limb("leg", "r")), "sock-l": (both, limb("calf", "l")), "sock-r": (both, limb("calf", "r")),
+        }
+        return F.array(*[
+            F.struct(F.lit(no).alias("zone_no"), F.lit(zone).alias("zone"),
+                     F.when(place[zone][0], place[zone][1][0]).alias("x"), place[zone][1][1].alias("y"))
+            for no, (zone, _) in enumerate(ZONES)
+        ])
+
+    entries = _let(F.col("keypoints"), lambda k: _let(keypoints(k), lambda p: _let(
+        sides(p), lambda v: _let(middles(v), lambda m: _let(limb_sides(m), slots)))))
+    return persons.select(*FRAME, "person_id", F.filter(entries, lambda e: e["x"].isNotNull()).alias("anchors"))
 
 
 def zone_assign(picked: DataFrame, anchored: DataFrame) -> DataFrame:
@@ -216,16 +224,16 @@ def zone_assign(picked: DataFrame, anchored: DataFrame) -> DataFrame:
 
 def zone_share(assigned: DataFrame, keys: list[str]) -> DataFrame:
     """Share of attributed weight for all 18 slots per key, at 1 digit."""
-    sums = assigned.filter("zone IS NOT NULL").groupBy(*keys, "zone").agg(
-        F.sum(F.greatest(F.col("visibility"), F.lit(float("1e-6")))).alias("weight")
+    weight = F.sum(F.greatest(F.col("visibility"), F.lit(float("1e-6"))))
+    per_zone = assigned.groupBy(*keys, "zone").agg(weight.alias("weight"))
+    # At most one entry per slot and one for unassigned rows.
+    found = per_zone.groupBy(*keys).agg(
+        F.map_from_entries(F.collect_list(F.struct(F.coalesce("zone", F.lit("")), "weight"))).alias("m"),
+        F.sum(F.when(F.col("zone").isNotNull(), F.col("weight"))).alias("total"),
     )
-    totals = sums.groupBy(*keys).agg(F.sum("weight").alias("total"))
     slots = F.array(*[F.struct(F.lit(i).alias("zone_no"), F.lit(z).alias("zone"), F.lit(n).alias("name")) for i, (z, n) in enumerate(ZONES)])
-    grid = assigned.select(*keys).distinct().select(*keys, F.explode(slots).alias("s")).select(*keys, "s.*")
-    return grid.join(sums, [*keys, "zone"], "left").join(totals, keys, "left").select(
-        *keys, "zone_no", "zone", "name",
-        F.coalesce(F.try_divide(F.col("weight"), F.col("total")) * 100.0, F.lit(0.0)).alias("percentage"),
-    )
+    share = F.try_divide(F.try_element_at("m", F.col("s.zone")), F.col("total")) * 100.0
+    return found.select("*", F.explode(slots).alias("s")).select(*keys, "s.*", F.coalesce(share, F.lit(0.0)).alias("percentage"))
 
 
 def isolated_boxes(boxes: DataFrame, key: str, max_iou: float = 0.25, dense_limit: int = DENSE_LIMIT) -> DataFrame:
