@@ -250,7 +250,7 @@ def ann_by_image(t):
 
 
 @query("export_yolo_labels", "WITH " + _ANN + """
-SELECT i.image_id, coalesce(string_agg(CASE WHEN a.ann_id IS NOT NULL THEN format('{} {:.6f} {:.6f} {:.6f} {:.6f}', class_id, (x + bw / 2) / width, (y + bh / 2) / height, bw / width, bh / height) END, chr(10) ORDER BY ann_id), '') AS label_text
+SELECT i.image_id, coalesce(string_agg(CASE WHEN a.ann_id IS NOT NULL THEN format('{} {:.6f} {:.6f} {:.6f} {:.6f}', class_id, round_even((x + bw / 2) / width, 6), round_even((y + bh / 2) / height, 6), round_even(bw / width, 6), round_even(bh / height, 6)) END, chr(10) ORDER BY ann_id), '') AS label_text
 FROM v_image i LEFT JOIN v_ann a ON i.image_id = a.image_id GROUP BY 1""")
 def export_yolo_labels(t):
     return D.yolo_lines(D.annotations_by_image(*coco(t)))

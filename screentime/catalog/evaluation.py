@@ -160,7 +160,7 @@ def temporal_dedup(t):
 @query("phash_near_pairs", with_views("frame", extra="""
 v_hash AS (SELECT phash, count(*) AS n, min(video_id * 1000 + frame_idx) AS first FROM v_frame GROUP BY 1),
 v_pair AS (SELECT a.first // 1000 AS video_id, a.first % 1000 AS frame_idx, b.first // 1000 AS video_id_b, b.first % 1000 AS frame_idx_b, a.n AS n_a, b.n AS n_b,
-  bit_count(xor(a.phash[1], b.phash[1])) + bit_count(xor(a.phash[2], b.phash[2])) + bit_count(xor(a.phash[3], b.phash[3])) + bit_count(xor(a.phash[4], b.phash[4])) AS distance
+  CAST(bit_count(xor(a.phash[1], b.phash[1])) AS BIGINT) + CAST(bit_count(xor(a.phash[2], b.phash[2])) AS BIGINT) + CAST(bit_count(xor(a.phash[3], b.phash[3])) AS BIGINT) + CAST(bit_count(xor(a.phash[4], b.phash[4])) AS BIGINT) AS distance
   FROM v_hash a JOIN v_hash b ON a.phash < b.phash)""") + """
 SELECT CAST(video_id AS BIGINT) AS video_id, CAST(frame_idx AS BIGINT) AS frame_idx, CAST(video_id_b AS BIGINT) AS video_id_b, CAST(frame_idx_b AS BIGINT) AS frame_idx_b, n_a, n_b, CAST(distance AS BIGINT) AS distance FROM v_pair WHERE distance <= 9""")
 def phash_near_pairs(t):
@@ -176,7 +176,7 @@ def crops(t):
     share = lambda c: F.transform(c, lambda x: x / V.total(c))
     rows = t.vectors().select("vec_id", "label", "embedding", mag(1, 8).alias("a"), mag(9, 12).alias("b"))
     return rows.select(
-        "vec_id", "label", F.col("label").alias("cluster"), "embedding", F.concat(share(F.col("a")), share(F.col("b"))).alias("color"),
+        "vec_id", "label", (F.col("label") % 3).alias("cluster"), "embedding", F.concat(share(F.col("a")), share(F.col("b"))).alias("color"),
         F.when(F.col("label") % 2 == 0, "target").otherwise("other").alias("team"),
     )
 
@@ -275,8 +275,8 @@ def kmeans_clusters(t):
 
 
 @query("pick_target_cluster", with_views("vec", extra=_CROP + """,
-v_lum AS (SELECT label AS cluster, sum(m * (i - 0.5) / 8) / (sum(m) + 1e-8) AS lum, max(n) AS n FROM (
-  SELECT label, i, avg(color[i]) AS m, count(*) AS n FROM v_crop, range(1, 9) g(i) GROUP BY 1, 2) x GROUP BY 1)""") + """
+v_lum AS (SELECT cluster, sum(m * (i - 0.5) / 8) / (sum(m) + 1e-8) AS lum, max(n) AS n FROM (
+  SELECT label % 3 AS cluster, i, avg(color[i]) AS m, count(*) AS n FROM v_crop, range(1, 9) g(i) GROUP BY 1, 2) x GROUP BY 1)""") + """
 SELECT cluster, round(-lum, 6) AS score, n, total FROM (SELECT *, sum(n) OVER () AS total, row_number() OVER (ORDER BY round(lum, 9), cluster) AS rn FROM v_lum) x
 WHERE rn = 1 AND total >= 24 AND n >= total * CAST(0.1 AS DOUBLE)""")
 def pick_target_cluster(t):
@@ -284,6 +284,6 @@ def pick_target_cluster(t):
 
 
 @query("cluster_size_rank", with_views("vec") + """
-SELECT label AS cluster, n, CASE row_number() OVER (ORDER BY n DESC, label) WHEN 1 THEN 'Team A' WHEN 2 THEN 'Team B' ELSE 'Other' END AS team FROM (SELECT label, count(*) AS n FROM v_vec GROUP BY 1) x""")
+SELECT cluster, n, CASE row_number() OVER (ORDER BY n DESC, cluster) WHEN 1 THEN 'Team A' WHEN 2 THEN 'Team B' ELSE 'Other' END AS team FROM (SELECT label % 3 AS cluster, count(*) AS n FROM v_vec GROUP BY 1) x""")
 def cluster_size_rank(t):
     return VO.cluster_size_rank(crops(t))

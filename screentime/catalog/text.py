@@ -125,7 +125,7 @@ def clip_key(t):
 
 
 @query("phash_hamming", with_views("frame") + """
-SELECT video_id, frame_idx, CAST(bit_count(xor(phash[1], p[1])) + bit_count(xor(phash[2], p[2])) + bit_count(xor(phash[3], p[3])) + bit_count(xor(phash[4], p[4])) AS BIGINT) AS distance
+SELECT video_id, frame_idx, CAST(CAST(bit_count(xor(phash[1], p[1])) AS BIGINT) + CAST(bit_count(xor(phash[2], p[2])) AS BIGINT) + CAST(bit_count(xor(phash[3], p[3])) AS BIGINT) + CAST(bit_count(xor(phash[4], p[4])) AS BIGINT) AS BIGINT) AS distance
 FROM (SELECT video_id, frame_idx, phash, lag(phash) OVER (PARTITION BY video_id ORDER BY frame_idx) AS p FROM v_frame) f WHERE p IS NOT NULL""")
 def phash_hamming(t):
     rows = S.previous(t.frames(), ["video_id"], "frame_idx", {"p": "phash"}).filter("p IS NOT NULL")

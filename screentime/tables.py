@@ -143,12 +143,15 @@ class Tables:
             F.coalesce(F.avg(F.when(target, height)), F.lit(0.0)).alias("avg_target_h"),
             (F.avg("l_extendedprice") / 1000.0).alias("sharp"),
             (F.max("l_extendedprice") / 1000.0).alias("torso_sharp"),
-            *[
-                F.array(
-                    *[bigint_mod(F.sum("l_partkey") * m, p).cast("bigint") for m, p in ((1, 251), (3, 509), (7, 1021), (5, 127))]
-                ).alias("phash")
-            ],
-        ).withColumn("time_s", F.col("frame_idx") * F.lit(DT))
+            (bigint_mod(F.sum("l_partkey"), 500) + 1).alias("base"), F.count(F.lit(1)).alias("n"),
+        ).withColumns({
+            "time_s": F.col("frame_idx") * F.lit(DT),
+            # 500 base hashes of 256 spread bits; the hit count flips up to four bits.
+            "phash": F.array(*[
+                word.bitwiseXOR(bigint_mod(F.col("n"), 16)) if i == 3 else word
+                for i, word in enumerate(bigint_mod(F.col("base") * m, 1000003) * 8999999999971 for m in (7919, 104729, 1299709, 15485863))
+            ]),
+        }).drop("base", "n")
 
     def ocr(self) -> DataFrame:
         """OCR rows: the part name with digit confusions, box scores from the line item."""
@@ -277,8 +280,7 @@ _FRAME = """v_frame AS (
          coalesce(max(CASE WHEN l_linenumber >= 6 THEN l_quantity / 50.0 * 0.6 END), 0.0) AS max_target_h,
          coalesce(avg(CASE WHEN l_linenumber >= 6 THEN l_quantity / 50.0 * 0.6 END), 0.0) AS avg_target_h,
          avg(l_extendedprice) / 1000.0 AS sharp, max(l_extendedprice) / 1000.0 AS torso_sharp,
-         [CAST(sum(l_partkey) % 251 AS BIGINT), CAST((sum(l_partkey) * 3) % 509 AS BIGINT),
-          CAST((sum(l_partkey) * 7) % 1021 AS BIGINT), CAST((sum(l_partkey) * 5) % 127 AS BIGINT)] AS phash,
+         [(((CAST(sum(l_partkey) % 500 AS BIGINT) + 1) * 7919) % 1000003) * 8999999999971, (((CAST(sum(l_partkey) % 500 AS BIGINT) + 1) * 104729) % 1000003) * 8999999999971, (((CAST(sum(l_partkey) % 500 AS BIGINT) + 1) * 1299709) % 1000003) * 8999999999971, xor((((CAST(sum(l_partkey) % 500 AS BIGINT) + 1) * 15485863) % 1000003) * 8999999999971, count(*) % 16)] AS phash,
          (l_orderkey % 40) * CAST(0.5 AS DOUBLE) AS time_s
   FROM lineitem GROUP BY l_suppkey, l_orderkey % 40)"""
 
