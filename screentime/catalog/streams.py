@@ -100,12 +100,15 @@ class _StreamTables(Tables):
         return super().raw(name)
 
 
+EPOCH_MS = 1704067200000  # a stream clock has to start after the initial watermark at 0
+
+
 def stamp(df):
-    return df.withColumn("ts", F.timestamp_millis((F.col("t") * 1000).cast("bigint")))
+    return df.withColumn("ts", F.timestamp_millis((F.col("t") * 1000).cast("bigint") + EPOCH_MS))
 
 
 @query("stream_logo_person_join", with_views("logo", "person") + """
-SELECT l.video_id, epoch_us(make_timestamp(CAST(l.t * 1000000 AS BIGINT))) AS ts, l.det_id, p.person_id FROM v_logo l JOIN v_person p ON l.video_id = p.video_id AND l.t = p.t
+SELECT l.video_id, CAST(l.t * 1000000 AS BIGINT) + 1704067200000000 AS ts, l.det_id, p.person_id FROM v_logo l JOIN v_person p ON l.video_id = p.video_id AND l.t = p.t
  AND l.cx BETWEEN p.x1 AND p.x2 AND l.cy BETWEEN p.y1 AND p.y2""")
 def stream_logo_person_join(t):
     s = _StreamTables(t.spark, t.sf_dir)
@@ -119,7 +122,7 @@ def stream_logo_person_join(t):
 , v_live AS (SELECT video_id, track_id, t, sum(vt) OVER w AS a, sum(vo) OVER w AS b FROM (
     SELECT video_id, track_id, t, sum(CASE WHEN team = 'target' THEN weight ELSE 0 END) AS vt, sum(CASE WHEN team = 'other' THEN weight ELSE 0 END) AS vo FROM v_vote GROUP BY 1, 2, 3) i
     WINDOW w AS (PARTITION BY video_id, track_id ORDER BY t))
-SELECT video_id, track_id, CAST(t * 1000000 AS BIGINT) AS ts, coalesce(last_value(forced IGNORE NULLS) OVER (PARTITION BY video_id, track_id ORDER BY t), 'target') AS label FROM (
+SELECT video_id, track_id, CAST(t * 1000000 AS BIGINT) + 1704067200000000 AS ts, coalesce(last_value(forced IGNORE NULLS) OVER (PARTITION BY video_id, track_id ORDER BY t), 'target') AS label FROM (
   SELECT *, CASE WHEN row_number() OVER (PARTITION BY video_id, track_id ORDER BY t) = 1 THEN CASE WHEN a >= b THEN 'target' ELSE 'other' END
                  WHEN a > b * 1.25 THEN 'target' WHEN b > a * 1.25 THEN 'other' END AS forced FROM v_live) x""")
 def stream_team_votes(t):
