@@ -133,7 +133,7 @@ def write_analysis_store(t):
 
 
 @query("analysis_document", with_views("priced", "match", "det") + """
-SELECT p.video_id, m.event_name, count(*) AS logos, CAST(sum(segment_count) AS BIGINT) AS segments, 18 AS zones, round(sum(emv_usd), 1) AS total_emv,
+SELECT p.video_id, m.event_name, count(*) AS logos, CAST(sum(segment_count) AS BIGINT) AS segments, 18 AS zones, round_even(sum(emv_usd), 2) AS total_emv,
        (SELECT count(DISTINCT t) FROM v_det d WHERE d.video_id = p.video_id) AS frames, arg_min(brand_key, (round(-quality_exposure_s, 9), brand_key)) AS first_logo
 FROM v_priced p JOIN v_match m ON p.video_id = m.video_id GROUP BY 1, 2""")
 def analysis_document(t):
@@ -153,7 +153,7 @@ def analysis_document(t):
     count = F.aggregate(logos, F.lit(0).cast("bigint"), lambda acc, x: acc + x["segmentCount"])
     return docs.select(
         "video_id", field("$.eventName").alias("event_name"), F.size(logos).cast("bigint").alias("logos"), count.alias("segments"),
-        F.size(zones).alias("zones"), F.round(field("$.totalEmvUsd").cast("double"), 1).alias("total_emv"),
+        F.size(zones).alias("zones"), field("$.totalEmvUsd").cast("double").alias("total_emv"),
         field("$.metadata.framesAnalyzed").cast("bigint").alias("frames"), logos[0]["class"].alias("first_logo"),
     )
 

@@ -39,15 +39,13 @@ def shared_dir(spark: SparkSession) -> str:
     A machine-local folder is created only for a local master, where driver and
     executors are one process; a cluster has to name its own.
     """
-    path = spark.conf.get(CHECKPOINT_KEY, None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    named = spark.conf.get(CHECKPOINT_KEY, None)
+    if context.getCheckpointDir() is None:
+        if not named and not context.master.startswith("local"):
             raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder every executor can reach")
-        path = tempfile.mkdtemp(prefix="screentime-")
-        spark.conf.set(CHECKPOINT_KEY, path)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(path)
-    return path
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="screentime-"))
+    return named or context.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
