@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -114,97 +118,109 @@ def zone_person_pick(
     points = logos.select(*dict.fromkeys([*keys, "cx", "cy"]))
     near = nearest_pairs(points, side, FRAME, [cx, cy], [px, py], dense_limit=dense_limit)
     inside = (x1 <= cx) & (cx <= x2) & (y1 <= cy) & (cy <= y2)
-    holding = window_pairs(points, side, FRAME, [cx, cy, cx, cy], [x1, y1, x2, y2], dense_limit=dense_limit).filter(inside)
+    # In other frames the nearest pairs already hold every person.
+    holding = window_pairs(
+        points, side, FRAME, [cx, cy, cx, cy], [x1, y1, x2, y2], dense_limit=dense_limit, crowded_only=True
+    ).filter(inside)
     dist = (cx - px) * (cx - px) + (cy - py) * (cy - py)
     rank = [F.when(inside, 0).otherwise(1), dist, F.col("person_id")]
     return _pick(logos, near.unionByName(holding), keys, rank, ["person_id"])
 
 
-def _let(value: Column, body) -> Column:
-    """Bind a value to a name inside one expression: it is computed once however
-    often ``body`` uses it, and the optimizer cannot inline it into every use."""
-    return F.transform(F.array(value), body)[0]
+def _first(*choices: np.ndarray) -> np.ndarray:
+    """First present value per row; NaN stands for a missing coordinate."""
+    out = choices[0]
+    for c in choices[1:]:
+        out = np.where(np.isnan(out), c, out)
+    return out
+
+
+def _slot_points(kp) -> dict[str, np.ndarray]:
+    """Slot name to an (n, 2) array of points, rows of NaN where a slot has no anchor.
+
+    ``kp(i)`` gives keypoint ``i`` as (n, 2); arithmetic with a missing one is NaN,
+    which is the rule that such a slot is left out.
+    """
+    l_sho, r_sho, l_hip, r_hip = kp(5), kp(6), kp(11), kp(12)
+
+    def by_x(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        swap = (p[:, :1] > q[:, :1])
+        return np.where(swap, q, _first(p, q)), np.where(swap, p, _first(q, p))
+
+    s_l, s_r = by_x(l_sho, r_sho)
+    h_l, h_r = by_x(l_hip, r_hip)
+    s_m, h_m = (s_l + s_r) / 2, (h_l + h_r) / 2
+    face = np.isnan(_first(kp(0), kp(1), kp(2))[:, :1])
+    back = face & ~np.isnan(l_sho[:, :1]) & ~np.isnan(r_sho[:, :1])
+    spine = lambda f: s_m + (h_m - s_m) * f
+    axis = spine(0.5)[:, :1]
+    front_only, back_only = (lambda p: np.where(back, np.nan, p)), (lambda p: np.where(back, p, np.nan))
+
+    def sided(first: np.ndarray, second: np.ndarray, defaults: str) -> dict[str, np.ndarray]:
+        """Both limbs by side of the torso axis, else by their default; the first limb wins."""
+        on_left = [np.where(np.isnan(axis), d == "l", p[:, :1] <= axis) for p, d in zip((first, second), defaults)]
+        return {
+            "l": _first(*[np.where(o, p, np.nan) for o, p in zip(on_left, (first, second))]),
+            "r": _first(*[np.where(o, np.nan, p) for o, p in zip(on_left, (first, second))]),
+        }
+
+    arm = sided((l_sho + kp(7)) / 2, (r_sho + kp(8)) / 2, "ll")
+    leg = sided((h_l + kp(13)) / 2, (h_r + kp(14)) / 2, "lr")
+    calf = sided((kp(13) + kp(15)) / 2, (kp(14) + kp(16)) / 2, "lr")
+    return {
+        "chest-center": front_only(spine(0.42)),
+        "chest-l": front_only(s_l + (h_l - s_l) * 0.28), "chest-r": front_only(s_r + (h_r - s_r) * 0.28),
+        "shoulder-l": s_l, "shoulder-r": s_r, "sleeve-l": arm["l"], "sleeve-r": arm["r"],
+        "abdomen": front_only(spine(0.75)),
+        "back-top": back_only(spine(0.18)), "back-center": back_only(spine(0.45)), "back-lower": back_only(spine(0.75)),
+        "shorts-front-l": front_only(leg["l"]), "shorts-front-r": front_only(leg["r"]),
+        "shorts-back": back_only(spine(1.05)),
+        "shorts-leg-l": back_only(leg["l"]), "shorts-leg-r": back_only(leg["r"]),
+        "sock-l": calf["l"], "sock-r": calf["r"],
+    }
 
 
 def zone_anchors(persons: DataFrame) -> DataFrame:
     """``anchors``: an array of (zone_no, zone, x, y) for the slots the keypoints allow.
 
-    Coordinates are plain nullable doubles: arithmetic with a missing keypoint gives
-    null, which is the rule that such a slot is left out.
+    The rules form a deep graph of shared points, which the optimizer would inline
+    into every slot; they run on whole Arrow batches instead, row by row independent.
     """
-    names = {"nose": 0, "leye": 1, "reye": 2, "lsho": 5, "rsho": 6, "lelb": 7, "relb": 8,
-             "lhip": 11, "rhip": 12, "lkne": 13, "rkne": 14, "lank": 15, "rank": 16}
-
-    def keypoints(k: Column) -> Column:
-        def value(i: int, axis: str) -> Column:
-            point = F.try_element_at(k, F.lit(i + 1))
-            return F.when(point["c"] >= KEYPOINT_CONF, point[axis])
-
-        return F.struct(*[value(i, axis).alias(f"{n}_{axis}") for n, i in names.items() for axis in "xy"])
-
-    def sides(k: Column) -> Column:
-        """Shoulders and hips ordered by x; a lone one stands for both."""
-        out = []
-        for name, a, b in (("s", "lsho", "rsho"), ("h", "lhip", "rhip")):
-            swap = F.coalesce(k[f"{a}_x"] > k[f"{b}_x"], F.lit(False))
-            for axis in "xy":
-                p, q = k[f"{a}_{axis}"], k[f"{b}_{axis}"]
-                out += [
-                    F.when(swap, q).otherwise(F.coalesce(p, q)).alias(f"{name}l_{axis}"),
-                    F.when(swap, p).otherwise(F.coalesce(q, p)).alias(f"{name}r_{axis}"),
-                ]
-        back = F.coalesce(k["nose_x"], k["leye_x"], k["reye_x"]).isNull() & k["lsho_x"].isNotNull() & k["rsho_x"].isNotNull()
-        return F.struct(k.alias("k"), *out, back.alias("back"))
-
-    def middles(v: Column) -> Column:
-        k = v["k"]
-        pairs = {"sm": (v, "sl", v, "sr"), "hm": (v, "hl", v, "hr"), "arm1": (k, "lsho", k, "lelb"), "arm2": (k, "rsho", k, "relb"),
-                 "leg1": (v, "hl", k, "lkne"), "leg2": (v, "hr", k, "rkne"), "calf1": (k, "lkne", k, "lank"), "calf2": (k, "rkne", k, "rank")}
-        mids = [((p[f"{a}_{axis}"] + q[f"{b}_{axis}"]) / 2).alias(f"{n}_{axis}") for n, (p, a, q, b) in pairs.items() for axis in "xy"]
-        return F.struct(v.alias("v"), *mids)
-
-    def limb_sides(m: Column) -> Column:
-        """Side of each limb: by the torso axis where it is known, else its default."""
-        axis = (m["sm_x"] + m["hm_x"]) / 2
-        defaults = {"arm1": "l", "arm2": "l", "leg1": "l", "leg2": "r", "calf1": "l", "calf2": "r"}
-        side = [
-            F.when(m[f"{n}_x"].isNull(), None).when(axis.isNull(), d).when(m[f"{n}_x"] <= axis, "l").otherwise("r").alias(f"{n}_side")
-            for n, d in defaults.items()
-        ]
-        return F.struct(m.alias("m"), *side)
-
-    def slots(z: Column) -> Column:
-        m, v = z["m"], z["m"]["v"]
-
-        def along(p: Column, a: str, b: str, frac: float) -> tuple[Column, Column]:
-            return tuple(p[f"{a}_{axis}"] + (p[f"{b}_{axis}"] - p[f"{a}_{axis}"]) * frac for axis in "xy")
-
-        def limb(kind: str, side: str) -> tuple[Column, Column]:
-            return tuple(
-                F.coalesce(*[F.when(z[f"{kind}{i}_side"] == side, m[f"{kind}{i}_{axis}"]) for i in (1, 2)]) for axis in "xy"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = pa.array([z for z, _ in ZONES])
+        for batch in batches:
+            points = batch.column("keypoints")
+            starts = points.offsets.to_numpy()
+            sizes, starts = np.diff(starts), starts[:-1]
+            values = [points.values.field(f).to_numpy(zero_copy_only=False).astype(float) for f in ("x", "y", "c")]
+
+            def keypoint(i: int, starts=starts, sizes=sizes, values=values) -> np.ndarray:
+                out = np.full((len(starts), 2), np.nan)
+                have = sizes > i
+                at = starts[have] + i
+                seen = values[2][at] >= KEYPOINT_CONF
+                out[have] = np.where(seen[:, None], np.stack([values[0][at], values[1][at]], axis=1), np.nan)
+                return out
+
+            placed = _slot_points(keypoint)
+            grid = np.stack([placed[z] for z, _ in ZONES], axis=1)
+            known = ~np.isnan(grid).any(axis=2)
+            zone_no = np.nonzero(known)[1].astype(np.int32)
+            offsets = np.concatenate([[0], np.cumsum(known.sum(axis=1))]).astype(np.int32)
+            entry = pa.StructArray.from_arrays(
+                [pa.array(zone_no), names.take(pa.array(zone_no)), pa.array(grid[known][:, 0]), pa.array(grid[known][:, 1])],
+                names=["zone_no", "zone", "x", "y"],
+            )
+            keys = [batch.column(c) for c in (*FRAME, "person_id")]
+            yield pa.RecordBatch.from_arrays(
+                [*keys, pa.ListArray.from_arrays(pa.array(offsets), entry)], names=[*FRAME, "person_id", "anchors"]
             )
 
-        spine = lambda frac: along(m, "sm", "hm", frac)
-        back, front, both = v["back"], ~v["back"], F.lit(True)
-        place = {
-            "chest-center": (front, spine(0.42)), "chest-l": (front, along(v, "sl", "hl", 0.28)),
-            "chest-r": (front, along(v, "sr", "hr", 0.28)), "shoulder-l": (both, (v["sl_x"], v["sl_y"])),
-            "shoulder-r": (both, (v["sr_x"], v["sr_y"])), "sleeve-l": (both, limb("arm", "l")),
-            "sleeve-r": (both, limb("arm", "r")), "abdomen": (front, spine(0.75)), "back-top": (back, spine(0.18)),
-            "back-center": (back, spine(0.45)), "back-lower": (back, spine(0.75)),
-            "shorts-front-l": (front, limb("leg", "l")), "shorts-front-r": (front, limb("leg", "r")),
-            "shorts-back": (back, spine(1.05)), "shorts-leg-l": (back, limb("leg", "l")),
-            "shorts-leg-r": (back, limb("leg", "r")), "sock-l": (both, limb("calf", "l")), "sock-r": (both, limb("calf", "r")),
-        }
-        return F.array(*[
-            F.struct(F.lit(no).alias("zone_no"), F.lit(zone).alias("zone"),
-                     F.when(place[zone][0], place[zone][1][0]).alias("x"), place[zone][1][1].alias("y"))
-            for no, (zone, _) in enumerate(ZONES)
-        ])
-
-    entries = _let(F.col("keypoints"), lambda k: _let(keypoints(k), lambda p: _let(
-        sides(p), lambda v: _let(middles(v), lambda m: _let(limb_sides(m), slots)))))
-    return persons.select(*FRAME, "person_id", F.filter(entries, lambda e: e["x"].isNotNull()).alias("anchors"))
+    fields = ", ".join(f"{c} {persons.schema[c].dataType.simpleString()}" for c in (*FRAME, "person_id"))
+    return persons.select(*FRAME, "person_id", "keypoints").mapInArrow(
+        run, f"{fields}, anchors array<struct<zone_no:int,zone:string,x:double,y:double>>"
+    )
 
 
 def zone_assign(picked: DataFrame, anchored: DataFrame) -> DataFrame:

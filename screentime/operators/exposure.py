@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from screentime.functions import visibility as V
-from screentime.operators.scans import CHUNK_SECONDS, merge_runs
+from screentime.operators.scans import CHUNK_SECONDS, merge_runs, prefix_sums
 
 TRACK = ["video_id", "brand_key", "track_id"]
 BRAND = ["video_id", "brand_key"]
@@ -236,26 +236,23 @@ def cumulative_exposure(
     summed per first later step and carried forward along the grid, so no segment
     meets every grid point.
     """
-    from screentime.operators.scans import prefix_sums
-
     vis = F.col("avg_visibility")
     first = F.floor(F.col("start_t") / step).cast("bigint") + 1
     done = F.ceil(F.col("end_t") / step).cast("bigint")
-    inside = segs.filter(done > first).select(
-        *BRAND, F.explode(F.sequence(first, done - 1)).alias("g"), "start_t", vis.alias("v")
-    ).select(*BRAND, "g", ((F.col("g") * step - F.col("start_t")) * F.col("v")).alias("part"), F.lit(0.0).alias("full"))
-    closed = segs.select(
-        *BRAND, F.greatest(first, done).alias("g"), F.lit(0.0).alias("part"),
-        ((F.col("end_t") - F.col("start_t")) * vis).alias("full"),
+    mark = lambda g, part, full: F.struct(g.alias("g"), part.alias("part"), full.alias("full"))
+    none = F.lit(0.0)
+    steps = F.when(done > first, F.sequence(first, done - 1)).otherwise(F.array().cast("array<bigint>"))
+    inside = F.transform(steps, lambda g: mark(g, (g * step - F.col("start_t")) * vis, none))
+    closed = F.array(mark(F.greatest(first, done), none, (F.col("end_t") - F.col("start_t")) * vis))
+    raw = segs.select(*BRAND, F.explode(F.concat(inside, closed)).alias("m")).groupBy(*BRAND, F.col("m.g").alias("g")).agg(
+        F.sum("m.part").alias("part"), F.sum("m.full").alias("full")
     )
-    grid = (
-        segs.select(*BRAND).distinct().join(durations, "video_id")
-        .select(*BRAND, F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("duration_s") / step).cast("bigint"))).alias("g"),
-                F.lit(0.0).alias("part"), F.lit(0.0).alias("full"), F.lit(1).alias("on_grid"))
+    last = F.ceil(F.col("duration_s") / step).cast("bigint")
+    grid = raw.select(*BRAND).distinct().join(durations, "video_id").select(
+        *BRAND, F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("g"), none.alias("part"), none.alias("full"), F.lit(1).alias("on_grid")
     )
-    marks = (
-        inside.unionByName(closed).withColumn("on_grid", F.lit(0)).unionByName(grid)
-        .groupBy(*BRAND, "g").agg(F.sum("part").alias("part"), F.sum("full").alias("full"), F.max("on_grid").alias("on_grid"))
+    marks = raw.withColumn("on_grid", F.lit(0)).unionByName(grid).groupBy(*BRAND, "g").agg(
+        F.sum("part").alias("part"), F.sum("full").alias("full"), F.max("on_grid").alias("on_grid")
     )
     return (
         prefix_sums(marks, BRAND, "g", {"done": "full"}, chunk=1024.0).filter("on_grid = 1")

@@ -38,6 +38,7 @@ def window_pairs(
     right_window: list[Column],
     dense_limit: int = DENSE_LIMIT,
     cell: float = CELL,
+    crowded_only: bool = False,
 ) -> DataFrame:
     """Rows of both sides whose search windows (x1, y1, x2, y2) touch in one frame."""
     a = left.select("*", *[c.alias(n) for c, n in zip(left_window, _L)])
@@ -57,6 +58,8 @@ def window_pairs(
     )
     dense = dense_a.join(dense_b, [*frame, "__gx", "__gy"]).filter(touch & corner)
     columns = [*left.columns, *[c for c in right.columns if c not in frame]]
+    if crowded_only:
+        return dense.select(*columns)
     return sparse.select(*columns).unionByName(dense.select(*columns))
 
 
