@@ -61,8 +61,12 @@ def _pick(logos: DataFrame, pairs: DataFrame, keys: list[str], rank: list[Column
     best = F.struct(*[c.alias(f"r{i}") for i, c in enumerate(rank)], *payload)
     found = pairs.select(*keys, best.alias("c"))
     blank = logos.select(*keys, F.lit(None).cast(found.schema["c"].dataType).alias("c"))
-    picked = found.unionByName(blank).groupBy(*keys).agg(F.min("c").alias("c"))
-    return picked.select(*keys, *[F.col(f"c.{c}").alias(c) for c in payload])
+    picked = found.unionByName(blank).groupBy(*keys).agg(
+        F.min("c").alias("c"), F.count_if(F.col("c").isNull()).cast("int").alias("rows")
+    )
+    # Logo rows that agree in every key are all returned.
+    copies = F.explode(F.array_repeat(F.lit(1), F.col("rows")))
+    return picked.select("*", copies).select(*keys, *[F.col(f"c.{c}").alias(c) for c in payload])
 
 
 def assign_owner(logos: DataFrame, persons: DataFrame, keys: list[str], dense_limit: int = DENSE_LIMIT) -> DataFrame:
