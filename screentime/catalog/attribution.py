@@ -71,11 +71,6 @@ def anchored(t):
     return A.zone_anchors(t.poses()).select("video_id", "t", "person_id", "anchors")
 
 
-@query("zone_anchors")
-def zone_anchors(t):
-    return anchored(t).select("video_id", "t", "person_id", F.explode("anchors").alias("a")).select("video_id", "t", "person_id", "a.*")
-
-
 def assigned(t):
     logos = X.score_detections(t.logos()).select(*LOGO, "cx", "cy", "visibility")
     picked = A.zone_person_pick(logos, t.persons(), [*LOGO, "cx", "cy", "visibility"])
@@ -139,6 +134,13 @@ v_zone AS (SELECT * FROM (SELECT k.video_id, k.t, k.det_id, a.zone, a.zone_no, r
   FROM v_pick k JOIN v_anchor a ON k.video_id = a.video_id AND k.t = a.t AND k.person_id = a.person_id) z WHERE rn = 1)"""
 
 
+@query("zone_anchors", with_views("logo", "person", extra=_ZONE) + """
+SELECT video_id, t, person_id, zone_no, zone, round(x, 4) AS x, round(y, 4) AS y FROM v_anchor""")
+def zone_anchors(t):
+    rows = anchored(t).select("video_id", "t", "person_id", F.explode("anchors").alias("a")).select("video_id", "t", "person_id", "a.*")
+    return rows.withColumns({"x": F.round("x", 4), "y": F.round("y", 4)})
+
+
 @query("zone_assign", with_views("logo", "person", extra=_ZONE) + """
 SELECT k.video_id, k.t, k.det_id, z.zone FROM v_pick k LEFT JOIN v_zone z ON k.video_id = z.video_id AND k.t = z.t AND k.det_id = z.det_id""")
 def zone_assign(t):
