@@ -17,6 +17,8 @@ SKETCH = 32
 LEAST_SHARED = 0.47
 #: Estimates this far below the threshold still go to the exact check (five standard deviations).
 ESTIMATE_MARGIN = 0.3
+#: Lists from this length on choose their first partner by full sets.
+LONG_LIST = 32
 #: Ratio of two neighbouring size classes.
 CLASS_RATIO = 0.96
 
@@ -64,8 +66,8 @@ def full_sets(rows: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
             hashes.trim()
 
     sets = arrow_map(rows.select("row", "text"), run, "row bigint, set array<bigint>")
-    # equal records share a row key, so a node may come twice
-    return sets.join(wanted, "row").select("node", F.size("set").alias("n"), "set").dropDuplicates(["node"])
+    # equal records share a row key, so a row may come twice
+    return sets.dropDuplicates(["row"]).join(wanted, "row").select("node", F.size("set").alias("n"), "set")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -110,10 +112,10 @@ def near_copies(
     Equal sets are one node. Each node keeps the 32 smallest hashes of its set. Inverted
     lists of retained values give overlaps; nodes that share too few values with any
     other node have no link and leave. First every list is compared with its most
-    typical member only, which joins large groups at linear cost. Pairs still apart
-    after that meet in the lists of their rarest values, by size class, and only where
-    the number of shingles that any other open node has leaves a link possible. Every
-    pair is estimated on the union sketch before its full sets are compared.
+    typical member only, which joins large groups at linear cost. Members of lists that
+    still hold several groups meet again by an exact prefix filter on their full sets,
+    rarest shingles first, by size class. Every pair is estimated on the union sketch
+    before its full sets are compared.
 
     Retained values miss a true link with a chance below one in 10^7 at the threshold.
     Returns id_col, n_shingles, component_id (smallest id in the group), kept (id =
@@ -128,20 +130,16 @@ def near_copies(
     )
 
     # nodes that share enough retained values with others, twice over
-    values = nodes.select("node", F.size("sketch").alias("m"), F.explode("sketch").alias("v"))
+    open_nodes = nodes
     for _ in range(2):
+        values = open_nodes.select("node", F.size("sketch").alias("m"), F.explode("sketch").alias("v"))
         shared = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
-        met = values.join(shared, "v")
         enough = (
-            met.groupBy("node", "m").agg(F.count("*").alias("q"), F.avg("df").alias("typical"))
+            values.join(shared, "v").groupBy("node", "m").agg(F.count("*").alias("q"), F.avg("df").alias("typical"))
             .where(F.col("q") >= F.ceil(LEAST_SHARED * F.col("m"))).select("node", "typical")
         )
-        enough = table(enough, "open-nodes")
-        values = values.join(enough.select("node"), "node", "left_semi")
-    lists = table(
-        values.join(shared, "v").join(enough, "node").select("node", "v", "df", "typical"), "lists"
-    )
-    open_nodes = table(nodes.join(enough.select("node"), "node", "left_semi"), "open")
+        open_nodes = table(nodes.join(enough, "node"), "open-nodes")
+    lists = table(open_nodes.select("node", "typical", F.explode("sketch").alias("v")).join(shared, "v"), "lists")
     sets = table(full_sets(rows, open_nodes.select("node", "row"), shingle), "sets")
     sizes = open_nodes.select("node", "n", "sketch")
 
@@ -158,40 +156,45 @@ def near_copies(
         inter = likely.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("set_a", "set_b")).alias("both"))
         return inter.where(100 * F.col("both") >= threshold_pct * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b")
 
-    leaders = lists.groupBy("v").agg(F.max(F.struct("typical", "node")).alias("top")).select("v", F.col("top.node").alias("b"))
+    # the member of a long list whose whole set is the most common can link to the most others
+    crowd = lists.where(F.col("df") >= LONG_LIST).select("node").distinct()
+    crowd = sets.select("node", "n", "set").join(crowd, "node").select("node", "n", F.explode("set").alias("s"))
+    often = crowd.groupBy("s").agg(F.count("*").alias("c")).where("c > 1")
+    central = crowd.join(often, "s").groupBy("node", "n").agg(F.sum("c").alias("c")).select("node", (F.col("c") / F.col("n")).alias("central"))
+    ranked = lists.join(central, "node", "left").withColumn("central", F.coalesce("central", F.lit(0.0)))
+    leaders = ranked.groupBy("v").agg(F.max(F.struct("central", "typical", "node")).alias("top")).select("v", F.col("top.node").alias("b"))
     stars = lists.join(leaders, "v").where("node != b").select(F.col("node").alias("a"), "b").distinct()
     first = components(confirmed(stars))
     labelled = table(
         sizes.select("node", "n").join(first, "node", "left").select("node", "n", F.coalesce("component", "node").alias("component")), "labels"
     )
 
-    # lists that still hold several groups, and what their members have in common with any other of them
+    # lists that still hold several groups: their members go through a prefix filter on full sets. Shingles are
+    # ordered by how many open nodes have them; the one at place ``at`` can be a pair's first common shingle only
+    # if the partner has ``most`` shingles or fewer, so what a group has in common meets almost nobody.
     members = lists.join(labelled, "node")
     apart = members.groupBy("v").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("v")
-    members = table(members.join(apart, "v", "left_semi").select("node", "v", "df", "n", "component"), "apart")
-    exploded = sets.join(members.select("node").distinct(), "node", "left_semi").select("node", F.explode("set").alias("s"))
-    common = exploded.groupBy("s").agg(F.count("*").alias("c")).where("c > 1").select("s")
-    common = exploded.join(common, "s", "left_semi").groupBy("node").agg(F.count("*").alias("common"))
-    reach = (threshold_pct + 100) / threshold_pct
-    rarest = F.expr("row_number() OVER (PARTITION BY node ORDER BY df, v)")
-    width = F.expr("count(*) OVER (PARTITION BY node)")
+    apart = table(members.join(apart, "v", "left_semi").select("node", "n", "component").distinct(), "apart")
+    exploded = sets.select("node", "set").join(apart.select("node"), "node").select("node", F.explode("set").alias("s"))
+    common = exploded.groupBy("s").agg(F.count("*").alias("c")).where("c > 1")
+    ranked = exploded.join(common, "s").select(
+        "node", "s", F.expr("row_number() OVER (PARTITION BY node ORDER BY c, s) - count(*) OVER (PARTITION BY node)").alias("place")
+    )
+    ranked = ranked.join(apart, "node").withColumn("at", F.col("n") + F.col("place"))
     able = (
-        members.join(common, "node")
-        .withColumn("most", F.floor(reach * F.col("common") - F.col("n") + 1e-9))
+        ranked.withColumn("most", F.expr(f"(n + 1 - at) * {100 + threshold_pct} DIV {threshold_pct} - n"))
         .where(100 * F.col("most") >= threshold_pct * F.col("n"))
-        .withColumn("at", rarest).withColumn("m", width)
-        .where(F.col("at") <= F.col("m") - F.ceil(LEAST_SHARED * F.least("m", F.lit(SKETCH)) - 1) + 1)
-        .select("node", "v", "n", "component", "most", _size_class(F.col("n")).alias("class"))
+        .select("node", "s", "n", "component", "most", _size_class(F.col("n")).alias("class"))
     )
     able = table(able, "able")
     low = F.greatest(F.lit(1), F.ceil(F.col("n") * (threshold_pct / 100)))
     larger = able.select(
-        *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "component", "most")), "v",
+        *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "component", "most")), "s",
         F.explode(F.sequence(_size_class(low) - 1, _size_class(F.least("n", "most")))).alias("class"),
     )
-    smaller = able.select(*(F.col(c).alias(f"{c}_b") for c in ("node", "n", "component", "most")), "v", "class")
+    smaller = able.select(*(F.col(c).alias(f"{c}_b") for c in ("node", "n", "component", "most")), "s", "class")
     pairs = (
-        larger.join(smaller, ["v", "class"])
+        larger.join(smaller, ["s", "class"])
         .where("component_a != component_b AND (n_b < n_a OR n_b = n_a AND node_b < node_a) AND n_b <= most_a AND n_a <= most_b")
         .where(100 * F.col("n_b") >= threshold_pct * F.col("n_a"))
         .select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
