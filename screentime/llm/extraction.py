@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from screentime.llm.common import arrow_map, batch, broadcast
+from screentime.llm.common import arrow_map, batch, broadcast, row_key, smallest_hashes
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -153,10 +153,8 @@ def train_region_weights(pages: DataFrame, key_col: str = "page_id", html_col: s
     prior weights stay.
     """
     marked = F.size(F.split(F.lower(F.col(html_col)), r"<(article|main)\b")) == 2
-    sample = (
-        pages.where(F.col(html_col).isNotNull()).select(F.col(html_col).alias("html"), F.xxhash64(key_col, html_col).alias("h"), marked.alias("marked"))
-        .where("marked AND length(html) < 1000000").orderBy("h").limit(sample_rows).select("html")
-    )
+    labelled = pages.where(F.col(html_col).isNotNull() & marked & (F.length(html_col) < 1_000_000))
+    sample = smallest_hashes(labelled, row_key(key_col, html_col), sample_rows).select(F.col(html_col).alias("html"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()

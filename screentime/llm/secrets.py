@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from screentime.llm.common import arrow_map, batch, broadcast
+from screentime.llm.common import arrow_map, batch, broadcast, row_key, smallest_hashes
 
 # The base patterns, in the order of their kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -68,8 +68,8 @@ def train_secret_model(transcripts: DataFrame, id_col: str = "video_id", text_co
     more key characters are ordinary. The sample is the ``sample_rows`` rows with the
     smallest hash. Without any sample both chains are uniform and no ratio is positive.
     """
-    rows = transcripts.select(F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"))
-    sample = rows.where("text IS NOT NULL").orderBy("h").limit(sample_rows).select("text")
+    rows = transcripts.where(F.col(text_col).isNotNull())
+    sample = smallest_hashes(rows, row_key(id_col, text_col), sample_rows).select(F.col(text_col).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = np.zeros((2, 128, 128), np.int64)
