@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -11,31 +13,63 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from screentime.llm.common import REMEMBERED_WORDS, arrow_map, batch, broadcast, row_key, table
+from screentime.llm.common import arrow_map, batch, broadcast, row_key, table
 
 #: Rows that are numbered together, about, and the fewest groups of them.
 GROUP_ROWS, LEAST_GROUPS = 50_000, 64
 
 
+#: The tokenizer's sign for each byte: printable ones stand for themselves, others follow from 256 on.
+_BYTE_SIGNS = {b: 256 + n for n, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
+
+#: Letters, then ASCII signs that cannot start a contraction or a special token.
+_LETTERS_THEN_SIGNS = re.compile(r"([^\W\d_]+)([!-&(-/:;=>?@\[-`{}~]+)")
+
+
 class WordTokens(dict):
     """White-space separated chunk to its ids as little-endian bytes, remembered.
 
     The tokenizer drops white space and never joins across it, so a text's ids are
-    those of its chunks in order.
+    those of its chunks in order. It also lower-cases, and splits letters from other
+    characters, so ``The,`` has the ids of ``the`` and of ``,``.
     """
 
+    #: Chunks a worker keeps, over all tasks it runs.
+    LIMIT = 1_000_000
+    _held: dict[str, WordTokens] = {}
+
+    @classmethod
+    def of(cls, path: str) -> WordTokens:
+        """The worker's own memory for this tokenizer file."""
+        if path not in cls._held:
+            cls._held[path] = cls(path)
+        return cls._held[path]
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
-        self[chunk] = value = np.array(ids, "<u4").tobytes()
+        self[chunk] = value = self._bytes(chunk)
         return value
 
+    def _bytes(self, chunk: str) -> bytes:
+        two = _LETTERS_THEN_SIGNS.fullmatch(chunk)
+        if two and two[1].isalpha():
+            return self[two[1]] + self[two[2]]
+        if chunk.isalpha() and max(chunk) < "\u0250" and unicodedata.is_normalized("NFC", chunk):
+            low = chunk.lower()
+            if low != chunk:
+                return self[low]
+            # letters are one piece: the model alone gives the same ids, faster
+            ids = [t.id for t in self.tokenizer.model.tokenize(chunk.encode().decode("latin-1").translate(_BYTE_SIGNS))]
+        else:
+            ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
+        return np.array(ids, "<u4").tobytes()
+
     def ids(self, text: str, end_id: int) -> bytes:
-        if len(self) > REMEMBERED_WORDS:
+        if len(self) > self.LIMIT:
             self.clear()
         chunks = text.replace("\n", " ").split(" ")
         return b"".join(map(self.__getitem__, chunks)) + np.array([end_id], "<u4").tobytes()
@@ -76,54 +110,50 @@ class Plan:
 def combinations(lengths: np.ndarray, window: int) -> np.ndarray:
     """Shallow combinations (a, i, b, j) that fill the window exactly: i pieces of a and j of b.
 
-    j is at most 2 and a is repeated as often as it fits or up to three times less.
+    j is at most 2; a is repeated as often as it fits, or once less. More choices would
+    spread the counts so thinly that rounding loses them.
     """
     have = np.zeros(window + 1, bool)
     have[lengths] = True
     out = set()
     for a in lengths.tolist():
         most = window // a
-        for i in {most, most - 1, most - 2, most - 3, 1, 2, 3}:
+        for i in {most, most - 1}:
             if not 0 < i <= most:
                 continue
             left = window - a * i
             if left == 0:
                 out.add((a, i, 0, 0))
-            for j in (1, 2):
+            for j in (1,) if i == most else (1, 2):
                 if left > 0 and left % j == 0 and have[left // j]:
                     out.add((a, i, left // j, j))
     return np.array(sorted(out), np.int64).reshape(-1, 4)
 
 
-def solve_counts(patterns: np.ndarray, histogram: np.ndarray, rounds: int = 300) -> np.ndarray:
-    """Non-negative least squares of combination counts against the histogram, by accelerated projected gradient."""
-    a, i, b, j = patterns.T
-    scale = 1.0 / np.sqrt(np.maximum(histogram, 1.0))  # relative to each length's count
-
-    def forward(x):
-        used = np.bincount(a, i * x, len(histogram)) + np.bincount(b, j * x, len(histogram))
-        used[0] = 0
-        return used * scale
-
-    def back(r):
-        r = r * scale
-        return i * r[a] + np.where(j > 0, j * r[b], 0.0)
-
-    target = histogram * scale
-    target[0] = 0
-    v = np.ones(len(patterns))
-    for _ in range(15):
-        v = back(forward(v))
-        norm = np.linalg.norm(v) or 1.0
-        v /= norm
-    step = 0.9 / max(norm, 1e-12)
-    x = y = np.zeros(len(patterns))
-    t = 1.0
-    for _ in range(rounds):
-        new = np.maximum(0.0, y - step * back(forward(y) - target))
-        t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        y, x, t = new + (t - 1) / t_new * (new - x), new, t_new
-    return x
+def solve_counts(patterns: np.ndarray, histogram: np.ndarray, sweeps: int = 12) -> np.ndarray:
+    """Non-negative least squares of combination counts against the histogram, by coordinate descent.
+
+    Each step sets one count to its best value given the others, or to zero. Few counts
+    end up large instead of many small, which is what rounding needs.
+    """
+    left = histogram.astype(np.float64).tolist()
+    rows = patterns.tolist()
+    order = sorted(range(len(rows)), key=lambda k: (-max(rows[k][0], rows[k][2]), k))
+    x = [0.0] * len(rows)
+    for _ in range(sweeps):
+        for k in order:
+            a, i, b, j = rows[k]
+            if a == b:
+                i, j = i + j, 0
+            gain = i * left[a] + (j * left[b] if j else 0.0)
+            new = max(0.0, x[k] + gain / (i * i + j * j))
+            step = new - x[k]
+            if step:
+                x[k] = new
+                left[a] -= i * step
+                if j:
+                    left[b] -= j * step
+    return np.array(x)
 
 
 def make_plan(histogram: np.ndarray, window: int, first_sequence: int = 0) -> Plan:
@@ -195,7 +225,7 @@ def pack_sequences(
     size = 4 * window
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = WordTokens(tokenizer_path)
+        tokens = WordTokens.of(tokenizer_path)
         for b in batches:
             total, crcs = [], []
             for text in b.column("text").to_pylist():
@@ -267,7 +297,7 @@ def pack_sequences(
     spans = cut.groupBy("row").agg(F.collect_list(F.struct(*piece_names[1:])).alias("spans"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = WordTokens(tokenizer_path)
+        tokens = WordTokens.of(tokenizer_path)
         for b in batches:
             out: list[tuple] = []
             for row, text, spans in zip(*(b.column(n).to_pylist() for n in ("row", "text", "spans"))):
