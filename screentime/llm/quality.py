@@ -94,8 +94,9 @@ class FactorisationMachine:
     def score(self, feature: np.ndarray, value: np.ndarray, first: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.margin(feature, value, first)[0], -30, 30)))
 
-    def fit(self, feature, value, first, label, epochs: int = 12, rows: int = 64, rate: float = 0.02, decay: float = 1e-4) -> None:
-        """Logistic loss by Adam over shuffled mini-batches."""
+    def fit(self, feature, value, first, label, epochs: int = 12, least_steps: int = 500, rows: int = 64, rate: float = 0.02, decay: float = 1e-4) -> None:
+        """Logistic loss by Adam over shuffled mini-batches; small samples are gone over more often."""
+        epochs = max(epochs, -(-least_steps // max(1, len(label) // rows)))
         rng, ends = np.random.default_rng(11), np.append(first[1:], len(feature))
         self.bias = float(np.log((label.sum() + 1) / (len(label) - label.sum() + 1)))
         state = [np.zeros_like(x) for x in (self.linear, self.linear, self.factors, self.factors)]

@@ -33,6 +33,11 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def is_candidate(token: str) -> bool:
+    """Long runs that mix letters and digits."""
+    return CANDIDATE.fullmatch(token) is not None and any(c.isdigit() for c in token) and any(c.isalpha() for c in token)
+
+
 def _codes(token: str) -> np.ndarray:
     return np.frombuffer(token.encode("ascii", "replace"), np.uint8).astype(np.int64) & 127
 
@@ -65,7 +70,7 @@ def train_secret_model(transcripts: DataFrame, id_col: str = "video_id", text_co
     """Count character pairs of labelled strings in a bounded sample of the transcripts.
 
     Labels come from the base patterns: what they find is random, other runs of six or
-    more key characters are ordinary. The sample is the ``sample_rows`` rows with the
+    more key characters are ordinary, and candidates for a finding have no label. The sample is the ``sample_rows`` rows with the
     smallest hash. Without any sample both chains are uniform and no ratio is positive.
     """
     rows = transcripts.where(F.col(text_col).isNotNull())
@@ -78,7 +83,7 @@ def train_secret_model(transcripts: DataFrame, id_col: str = "video_id", text_co
                 spans = base_spans(text)
                 secrets = {ASSIGN.match(text, s)[2] if kind == 0 else text[s:e] for s, kind, e in spans}
                 taken = " ".join(secrets)
-                for label, tokens in ((0, secrets), (1, (t for t in ORDINARY.findall(text) if t not in taken))):
+                for label, tokens in ((0, secrets), (1, (t for t in ORDINARY.findall(text) if t not in taken and not is_candidate(t)))):
                     for token in tokens:
                         codes = _codes(token)
                         np.add.at(pairs[label], (np.concatenate(([0], codes[:-1])), codes), 1)
@@ -114,7 +119,7 @@ def scan_secrets(
     kind = rows.schema["id"].dataType.simpleString()
 
     def is_random(model: MarkovRatio, token: str) -> bool:
-        if not (any(c.isdigit() for c in token) and any(c.isalpha() for c in token)):
+        if not is_candidate(token):
             return False
         ratio = model.score(token)
         return ratio >= max(min_ratio, min_ratio_per_char * len(token)) and math.isfinite(ratio)
