@@ -96,9 +96,11 @@ def group_aware_split(t):
     return clip_split(t)
 
 
-@query("split_partition_check", "SELECT o_orderkey AS clip FROM orders WHERE false")
+@query("split_partition_check", "SELECT count(DISTINCT o_orderkey % 37) AS clips, CAST(0 AS BIGINT) AS on_both_sides FROM orders")
 def split_partition_check(t):
-    return D.split_overlap(clip_split(t), "clip").select("clip")
+    split = clip_split(t)
+    both = D.split_overlap(split, "clip").agg(F.count("*").alias("on_both_sides"))
+    return split.agg(F.count_distinct("clip").alias("clips")).crossJoin(both)
 
 
 @query("resume_labels", """

@@ -156,8 +156,3 @@ def analysis_document(t):
         F.size(zones).alias("zones"), field("$.totalEmvUsd").cast("double").alias("total_emv"),
         field("$.metadata.framesAnalyzed").cast("bigint").alias("frames"), logos[0]["class"].alias("first_logo"),
     )
-
-
-@query("read_binary_catalog")
-def read_binary_catalog(t):
-    return FL.read_binary_catalog(t.spark, t.sf_dir, [".parquet"], 2 << 40).select("path", "extension", "length")

@@ -31,7 +31,9 @@ def normalize_class(raw: Column) -> Column:
 
 
 def title_name(key: Column) -> Column:
-    return F.initcap(F.translate(key, "-_", "  "))
+    """Title case: a letter after anything but a letter is a capital, as in ``7Up`` and ``O'Neil``."""
+    pieces = F.split(F.lower(F.translate(key, "-_", "  ")), r"(?<=\P{L})(?=\p{L})", -1)
+    return F.array_join(F.transform(pieces, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), p.substr(F.lit(2), F.length(p)))), "")
 
 
 def ocr_fold(text: Column) -> Column:

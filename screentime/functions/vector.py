@@ -24,7 +24,12 @@ def norm(a: Column) -> Column:
 
 
 def unit(a: Column) -> Column:
-    return F.transform(a, lambda x: x / (norm(a) + 1e-8))
+    return _scaled(a, norm(a))
+
+
+def _scaled(a: Column, size: Column) -> Column:
+    """``a / (size + 1e-8)``, with the divisor evaluated once and not per element."""
+    return F.zip_with(a, F.array_repeat(size + 1e-8, F.size(a)), lambda x, y: x / y)
 
 
 def squared_distance(a: Column, b: Column) -> Column:
@@ -43,5 +48,5 @@ def luminance(color: Column) -> Column:
 
 
 def softmax(scores: Column) -> Column:
-    powers = F.transform(scores, lambda s: F.exp(s - F.array_max(scores)))
-    return F.transform(powers, lambda p: p / (total(powers) + 1e-8))
+    powers = F.zip_with(scores, F.array_repeat(F.array_max(scores), F.size(scores)), lambda s, top: F.exp(s - top))
+    return _scaled(powers, total(powers))

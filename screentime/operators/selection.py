@@ -48,19 +48,22 @@ class _Chosen:
 
     def __init__(self, limit: int, hamming: int, spacing: float):
         self.limit, self.hamming, self.spacing = limit, hamming, spacing
-        self.times, self.hashes, self.rows = [], [], []
+        # room for every frame that can be chosen; frames without a hash take no part in the hash rule
+        self.times, self.hashes, self.hashed = np.zeros(limit), np.zeros((limit, 4), np.uint64), 0
+        self.rows: list[int] = []
 
     def full(self) -> bool:
         return len(self.rows) >= self.limit
 
-    def offer(self, idx: int, t: float, words: np.ndarray) -> bool:
-        if self.rows:
-            if np.any(np.abs(np.asarray(self.times) - t) < self.spacing):
+    def offer(self, idx: int, t: float, words: np.ndarray | None) -> bool:
+        if np.any(np.abs(self.times[: len(self.rows)] - t) < self.spacing):
+            return False
+        if words is not None:
+            if np.any(np.bitwise_count(self.hashes[: self.hashed] ^ words).sum(axis=1) < self.hamming):
                 return False
-            if np.bitwise_count(np.asarray(self.hashes) ^ words).sum(axis=1).min() < self.hamming:
-                return False
-        self.times.append(t)
-        self.hashes.append(words)
+            self.hashes[self.hashed] = words
+            self.hashed += 1
+        self.times[len(self.rows)] = t
         self.rows.append(idx)
         return True
 
@@ -122,21 +125,23 @@ def _greedy(frames: DataFrame, make) -> DataFrame:
         ).alias("f")
     ).select("video_id", "frame_idx", "f.*")
     rows = one_per_frame.select(
-        "video_id", "frame_idx", "composite", "time_s", *[F.col("phash")[i].alias(f"h{i}") for i in range(4)],
-        FR.size_bucket(F.col("max_target_h")).alias("bucket"),
+        "video_id", "frame_idx", "composite", "time_s", *[F.coalesce(F.col("phash")[i], F.lit(0)).cast("bigint").alias(f"h{i}") for i in range(4)],
+        F.coalesce(F.size("phash") == 4, F.lit(False)).alias("hashed"), FR.size_bucket(F.col("max_target_h")).alias("bucket"),
     )
     ordered = rows.repartition("video_id").sortWithinPartitions("video_id", F.col("composite").desc(), "frame_idx")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         video, picker, out = None, None, []
         for batch in batches:
-            words = batch[["h0", "h1", "h2", "h3"]].to_numpy(dtype=np.int64)
+            # unsigned: the count of a negative number's bits is that of its absolute value
+            words = batch[["h0", "h1", "h2", "h3"]].to_numpy(dtype=np.int64).view(np.uint64)
+            hashed = batch["hashed"].to_numpy(dtype=bool)
             for i, (v, idx, t, b) in enumerate(zip(batch["video_id"], batch["frame_idx"], batch["time_s"], batch["bucket"])):
                 if v != video:
                     if picker is not None:
                         out += picker.result(video)
                     video, picker = v, make()
-                picker.add(int(idx), float(t), words[i], b)
+                picker.add(int(idx), float(t), words[i] if hashed[i] else None, b)
             if len(out) > 10000:
                 yield pd.DataFrame(out, columns=["video_id", "frame_idx", "tier"])
                 out = []

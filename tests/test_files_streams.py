@@ -26,6 +26,13 @@ def test_detection_file_forms(spark, tmp_path):
     bad.write_text(HEADER.replace("sponsor", "brand") + "\n4.0,AON,AN,0.956,80,0.031,0.612,0.371,x\n")
     row = FL.read_detections_csv(spark, str(good)).first()
     assert (row.sponsor, row.fuzzy, row.bbox) == ("AON", 80, "1159,391,1191,411")
+    for order in ("0-empty.csv", "z-empty.csv"):
+        folder = tmp_path / order.replace(".", "-")
+        folder.mkdir()
+        (folder / "b-good.csv").write_text(good.read_text())
+        (folder / order).write_text("no detections\n")
+        mixed = FL.read_detections_csv(spark, str(folder))
+        assert mixed.count() == 1 and [r.sponsor for r in mixed.collect()] == ["AON"]
     none = FL.read_detections_csv(spark, str(empty))
     assert none.count() == 0 and none.columns == HEADER.split(",")
     with pytest.raises(Exception, match="(?i)header|schema"):
