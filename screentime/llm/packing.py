@@ -35,7 +35,7 @@ class WordTokens(dict):
     """
 
     #: Chunks a worker keeps, over all tasks it runs.
-    LIMIT = 1_000_000
+    LIMIT = 600_000
     _held: dict[str, WordTokens] = {}
 
     @classmethod
