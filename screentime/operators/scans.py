@@ -49,23 +49,23 @@ def merge_runs(
         + [F.sum(c).alias(c) for c in sums]
         + [F.max(c).alias(c) for c in maxes]
     )
+    columns = [*keys, start, end, *sums, *maxes]
 
     def number_runs(rows: DataFrame, part: list[str]) -> DataFrame:
         ordered = Window.partitionBy(*part).orderBy(start)
         reach = F.max(end).over(ordered.rowsBetween(Window.unboundedPreceding, -1))
         opens = F.when(reach.isNull() | (F.col(start) - reach > limit), 1).otherwise(0)
-        return rows.withColumn("__open", opens).withColumn(
+        return rows.select("*", opens.alias("__open"), F.lead(F.lit(1)).over(ordered).isNull().alias("__last")).withColumn(
             _RUN, F.sum("__open").over(ordered.rowsBetween(Window.unboundedPreceding, 0))
         )
 
     local_keys = keys + [_CHUNK]
     local = number_runs(df.withColumn(_CHUNK, _chunk_of(start, chunk)), local_keys)
-    partial = local.groupBy(*local_keys, _RUN).agg(*combine)
+    partial = local.groupBy(*local_keys, _RUN).agg(*combine, F.max("__last").alias("__last"))
 
     # Only the first and last run of a chunk can continue into another chunk,
     # except that a long interval may also cover runs in the middle of a later one.
-    last_run = F.max(_RUN).over(Window.partitionBy(*local_keys))
-    border = (F.col(_RUN) == 1) | (F.col(_RUN) == last_run)
+    border = (F.col(_RUN) == 1) | F.col("__last")
     if not points:
         over_key = Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
         reach = (
@@ -76,15 +76,11 @@ def merge_runs(
         )
         partial = partial.join(reach, local_keys)
         border = border | F.coalesce(F.col(start) - F.col("__reach") <= limit, F.lit(False))
-    # Chunk ids are floor values of finite times, so the null group is free for
-    # the runs that still have to be compared across chunks.
-    partial = partial.withColumn("__grp", F.when(~border, F.col(_CHUNK)))
-    return (
-        number_runs(partial.drop(_RUN), keys + ["__grp"])
-        .groupBy(*keys, "__grp", _RUN)
-        .agg(*combine)
-        .drop("__grp", _RUN)
-    )
+    # Runs inside a chunk are final; both branches read the same exchange, and
+    # only the border runs go through another one.
+    inner = partial.filter(~border).select(*columns)
+    stitched = number_runs(partial.filter(border).select(*columns), keys).groupBy(*keys, _RUN).agg(*combine)
+    return inner.unionByName(stitched.drop(_RUN))
 
 
 def prefix_sums(
