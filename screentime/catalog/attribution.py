@@ -74,7 +74,9 @@ def anchored(t):
 def assigned(t):
     logos = X.score_detections(t.logos()).select(*LOGO, "cx", "cy", "visibility")
     picked = A.zone_person_pick(logos, t.persons(), [*LOGO, "cx", "cy", "visibility"])
-    return A.zone_assign(picked, anchored(t))
+    chosen = picked.select("video_id", "t", "person_id").distinct()
+    posed = A.zone_anchors(t.poses().join(chosen, ["video_id", "t", "person_id"], "left_semi"))
+    return A.zone_assign(picked, posed)
 
 
 # A compact SQL twin of the anchor rules over the adapter's fixed pose layout.
@@ -130,7 +132,7 @@ v_anchor AS ({union})"""
 
 _ZONE = _PICK + ",\n" + _anchor_sql() + """,
 v_zone AS (SELECT * FROM (SELECT k.video_id, k.t, k.det_id, a.zone, a.zone_no, row_number() OVER (PARTITION BY k.video_id, k.t, k.det_id ORDER BY
-    (k.cx - a.x) * (k.cx - a.x) + (k.cy - a.y) * (k.cy - a.y), zone_no) AS rn
+    (k.cx - a.x) * (k.cx - a.x) + (k.cy - a.y) * (k.cy - a.y), list_position([""" + ", ".join(f"'{z}'" for z in A.BUILD_ORDER) + """], a.zone)) AS rn
   FROM v_pick k JOIN v_anchor a ON k.video_id = a.video_id AND k.t = a.t AND k.person_id = a.person_id) z WHERE rn = 1)"""
 
 
@@ -147,13 +149,13 @@ def zone_assign(t):
     return assigned(t).select(*LOGO, "zone")
 
 
-@query("zone_share", with_views("logo", "person", "vis", extra=_ZONE + """,
+@query("zone_share", with_views("logo", "person", "vis", "meta", extra=_ZONE + """,
 v_w AS (SELECT z.video_id, z.zone, sum(greatest(v.visibility, 1e-6)) AS wt FROM v_zone z JOIN v_vis v ON z.video_id = v.video_id AND z.det_id = v.det_id GROUP BY 1, 2)""") + """
 SELECT g.video_id, g.zone, round(coalesce(w.wt / s.total * 100, 0), 6) AS percentage
-FROM (SELECT * FROM (SELECT DISTINCT video_id FROM v_logo) d CROSS JOIN (SELECT unnest([""" + ", ".join(f"'{z}'" for z, _ in A.ZONES) + """]) AS zone) n) g
+FROM (SELECT * FROM (SELECT video_id FROM v_meta) d CROSS JOIN (SELECT unnest([""" + ", ".join(f"'{z}'" for z, _ in A.ZONES) + """]) AS zone) n) g
 LEFT JOIN v_w w ON w.video_id = g.video_id AND w.zone = g.zone LEFT JOIN (SELECT video_id, sum(wt) AS total FROM v_w GROUP BY 1) s ON s.video_id = g.video_id""")
 def zone_share(t):
-    share = A.zone_share(assigned(t), ["video_id"])
+    share = A.zone_share(assigned(t), ["video_id"], t.meta())
     return share.select("video_id", "zone", F.round("percentage", 6).alias("percentage"))
 
 

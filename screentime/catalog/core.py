@@ -73,10 +73,11 @@ def emv(t):
 
 
 @query("analysis_totals", with_views("priced") + """
-SELECT video_id, round(sum(emv_usd), 2) AS total_emv_usd, round(sum(quality_exposure_s), 6) AS total_quality_s,
-       round(avg(avg_visibility), 6) AS avg_visibility, count(*) AS brand_count FROM v_priced GROUP BY 1""")
+SELECT m.video_id, coalesce(round(sum(emv_usd), 2), 0) AS total_emv_usd, coalesce(round(sum(quality_exposure_s), 6), 0) AS total_quality_s,
+       coalesce(round(avg(avg_visibility), 6), 0) AS avg_visibility, count(brand_key) AS brand_count
+FROM v_meta m LEFT JOIN v_priced p ON p.video_id = m.video_id GROUP BY 1""")
 def analysis_totals(t):
-    return X.analysis_totals(priced(t)).select("video_id", r("total_emv_usd", 2), r("total_quality_s"), r("avg_visibility"), "brand_count")
+    return X.analysis_totals(priced(t), t.meta()).select("video_id", r("total_emv_usd", 2), r("total_quality_s"), r("avg_visibility"), "brand_count")
 
 
 @query("timeline_intervals", with_views("det") + """

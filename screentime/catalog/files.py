@@ -133,19 +133,20 @@ def write_analysis_store(t):
 
 
 @query("analysis_document", with_views("priced", "match", "det") + """
-SELECT p.video_id, m.event_name, count(*) AS logos, CAST(sum(segment_count) AS BIGINT) AS segments, 18 AS zones, round_even(sum(emv_usd), 2) AS total_emv,
-       (SELECT count(DISTINCT t) FROM v_det d WHERE d.video_id = p.video_id) AS frames, arg_min(brand_key, (round(-quality_exposure_s, 9), brand_key)) AS first_logo
-FROM v_priced p JOIN v_match m ON p.video_id = m.video_id GROUP BY 1, 2""")
+SELECT m.video_id, m.event_name, count(brand_key) AS logos, CAST(coalesce(sum(segment_count), 0) AS BIGINT) AS segments, 18 AS zones,
+       coalesce(round_even(sum(emv_usd), 2), 0) AS total_emv,
+       (SELECT count(DISTINCT t) FROM v_det d WHERE d.video_id = m.video_id) AS frames, arg_min(brand_key, (round(-quality_exposure_s, 9), brand_key)) AS first_logo
+FROM v_match m LEFT JOIN v_priced p ON p.video_id = m.video_id GROUP BY 1, 2""")
 def analysis_document(t):
     priced = core.priced(t)
     frames = t.detections().select("video_id", "t").distinct().groupBy("video_id").agg(F.count(F.lit(1)).alias("frames_analyzed"))
     meta = (
-        t.meta().join(t.matches().select("video_id", "duration_s"), "video_id").join(frames, "video_id")
+        t.meta().join(t.matches().select("video_id", "duration_s"), "video_id").join(frames, "video_id", "left")
         .withColumn("placement_multiplier", placement_multiplier(F.col("placement_type")))
     )
     docs = store.analysis_document(
         meta, X.analysis_totals(priced), priced.withColumn("brand_name", F.col("brand_key")), core.segs(t),
-        A.zone_share(AQ.assigned(t), ["video_id"]), X.timeline_intervals(t.detections()),
+        A.zone_share(AQ.assigned(t), ["video_id"], t.meta()), X.timeline_intervals(t.detections()),
     )
     field = lambda path: F.get_json_object("document", path)
     logos = F.from_json(field("$.logos"), "array<struct<class:string,segmentCount:bigint>>")

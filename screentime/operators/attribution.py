@@ -43,6 +43,12 @@ ZONES = (
     ("sock-r", "Sock R"),
 )
 
+# The order in which the slots of a pose are laid out.
+BUILD_ORDER = (
+    "shoulder-l", "shoulder-r", "back-top", "back-center", "back-lower", "shorts-back", "chest-l", "chest-r", "chest-center",
+    "abdomen", "sleeve-l", "sleeve-r", "shorts-front-l", "shorts-leg-l", "sock-l", "shorts-front-r", "shorts-leg-r", "sock-r",
+)
+
 
 def _prefixed(persons: DataFrame, extra: list[str]) -> DataFrame:
     return persons.select(*FRAME, "person_id", *[F.col(c).alias(f"p_{c}") for c in BOX], *extra)
@@ -230,20 +236,22 @@ def zone_anchors(persons: DataFrame) -> DataFrame:
 def zone_assign(picked: DataFrame, anchored: DataFrame) -> DataFrame:
     """Nearest slot of the picked person; null when that person has no anchors.
 
-    ``picked`` has cx, cy and person_id, ``anchored`` has person_id and anchors.
+    ``picked`` has cx, cy and person_id, ``anchored`` has person_id and anchors. At
+    equal distance the slot that comes first in ``BUILD_ORDER`` is taken.
     """
     rows = picked.join(anchored.select(*FRAME, "person_id", "anchors"), [*FRAME, "person_id"], "left")
+    order = F.array(*[F.lit(z) for z in BUILD_ORDER])
 
     def measured(e: Column) -> Column:
         d = (F.col("cx") - e["x"]) * (F.col("cx") - e["x"]) + (F.col("cy") - e["y"]) * (F.col("cy") - e["y"])
-        return F.struct(d.alias("d"), e["zone_no"].alias("zone_no"), e["zone"].alias("zone"))
+        return F.struct(d.alias("d"), F.array_position(order, e["zone"]).alias("rank"), e["zone"].alias("zone"))
 
     best = F.array_min(F.transform("anchors", measured))
     return rows.select(*picked.columns, best["zone"].alias("zone"))
 
 
-def zone_share(assigned: DataFrame, keys: list[str]) -> DataFrame:
-    """Share of attributed weight for all 18 slots per key, at 1 digit."""
+def zone_share(assigned: DataFrame, keys: list[str], groups: DataFrame | None = None) -> DataFrame:
+    """Share of attributed weight for all 18 slots per key; keys of ``groups`` without a logo get zeros."""
     weight = F.sum(F.greatest(F.col("visibility"), F.lit(float("1e-6"))))
     per_zone = assigned.groupBy(*keys, "zone").agg(weight.alias("weight"))
     # At most one entry per slot and one for unassigned rows.
@@ -251,6 +259,8 @@ def zone_share(assigned: DataFrame, keys: list[str]) -> DataFrame:
         F.map_from_entries(F.collect_list(F.struct(F.coalesce("zone", F.lit("")), "weight"))).alias("m"),
         F.sum(F.when(F.col("zone").isNotNull(), F.col("weight"))).alias("total"),
     )
+    if groups is not None:
+        found = groups.select(*keys).distinct().join(found, keys, "left")
     slots = F.array(*[F.struct(F.lit(i).alias("zone_no"), F.lit(z).alias("zone"), F.lit(n).alias("name")) for i, (z, n) in enumerate(ZONES)])
     share = F.try_divide(F.try_element_at("m", F.col("s.zone")), F.col("total")) * 100.0
     return found.select("*", F.explode(slots).alias("s")).select(*keys, "s.*", F.coalesce(share, F.lit(0.0)).alias("percentage"))

@@ -11,6 +11,11 @@ from screentime.operators.scans import CHUNK_SECONDS, merge_runs, prefix_sums
 TRACK = ["video_id", "brand_key", "track_id"]
 BRAND = ["video_id", "brand_key"]
 
+# What prices a video without metadata.
+DEFAULT_CPM = 22.0
+DEFAULT_AUDIENCE = 0
+DEFAULT_PLACEMENT = "Live Broadcast TV"
+
 
 def score_detections(df: DataFrame) -> DataFrame:
     """Adds area, the score terms and visibility to rows with cx, cy, w, h, conf, frame_w, frame_h."""
@@ -88,8 +93,14 @@ def brand_exposure(segs: DataFrame) -> DataFrame:
 
 
 def price_brands(brands: DataFrame, meta: DataFrame, multipliers: DataFrame | None = None) -> DataFrame:
-    """Adds ``emv_usd`` from per-video metadata and optional per-brand multipliers."""
-    rows = brands.join(meta.select("video_id", "cpm_base", "audience_size", "placement_type"), "video_id")
+    """Adds ``emv_usd`` from per-video metadata and optional per-brand multipliers.
+
+    A video without a metadata row, or with nulls in it, is priced with the defaults.
+    """
+    defaults = {"cpm_base": DEFAULT_CPM, "audience_size": DEFAULT_AUDIENCE, "placement_type": DEFAULT_PLACEMENT}
+    rows = brands.join(meta.select("video_id", *defaults), "video_id", "left").withColumns(
+        {name: F.coalesce(name, F.lit(value)) for name, value in defaults.items()}
+    )
     category = prime = None
     if multipliers is not None:
         rows = rows.join(multipliers, BRAND, "left")
@@ -102,13 +113,18 @@ def price_brands(brands: DataFrame, meta: DataFrame, multipliers: DataFrame | No
     return rows.select(*brands.columns, value.alias("emv_usd"))
 
 
-def analysis_totals(priced: DataFrame) -> DataFrame:
-    return priced.groupBy("video_id").agg(
+def analysis_totals(priced: DataFrame, videos: DataFrame | None = None) -> DataFrame:
+    """Totals per video; those of ``videos`` without any brand get zeros."""
+    totals = priced.groupBy("video_id").agg(
         F.sum("emv_usd").alias("total_emv_usd"),
         F.sum("quality_exposure_s").alias("total_quality_s"),
         F.avg("avg_visibility").alias("avg_visibility"),
         F.count(F.lit(1)).alias("brand_count"),
     )
+    if videos is None:
+        return totals
+    values = [c for c in totals.columns if c != "video_id"]
+    return videos.select("video_id").distinct().join(totals, "video_id", "left").na.fill(0, values)
 
 
 def raw_classes(dets: DataFrame) -> DataFrame:
@@ -177,23 +193,25 @@ def prime_time_split(
 ) -> DataFrame:
     """Cut segments at kick-off, final whistle and the edge periods; weight each piece.
 
-    ``clock`` has one row per video with ``kickoff_s`` and ``whistle_s``.
+    ``clock`` has one row per video with ``kickoff_s`` and ``whistle_s``. Segments of
+    a video without them stay whole, with weight 1 and no phase.
     """
-    rows = segs.join(clock, "video_id")
+    rows = segs.join(clock.select("video_id", "kickoff_s", "whistle_s"), "video_id", "left")
     k, w = F.col("kickoff_s"), F.col("whistle_s")
     early_end = F.least(k + edge_seconds, w)
     late_start = F.greatest(w - edge_seconds, early_end)
     far = F.lit(float("1e18"))
 
-    def zone(lo: Column, hi: Column, name: str, mult: float) -> Column:
-        return F.struct(lo.alias("lo"), hi.alias("hi"), F.lit(name).alias("phase"), F.lit(mult).alias("mult"))
+    def zone(lo: Column, hi: Column, name: str | None, mult: float) -> Column:
+        return F.struct(lo.alias("lo"), hi.alias("hi"), F.lit(name).cast("string").alias("phase"), F.lit(mult).alias("mult"))
 
     zones = F.array(
         zone(-far, k, "pre", 0.70), zone(k, early_end, "opening", 1.30),
         zone(early_end, late_start, "middle", 1.00), zone(late_start, w, "closing", 1.30),
         zone(w, far, "post", 0.70),
     )
-    pieces = rows.select("*", F.explode(zones).alias("z"))
+    whole = F.array(zone(-far, far, None, 1.00))
+    pieces = rows.select("*", F.explode(F.when(k.isNull() | w.isNull(), whole).otherwise(zones)).alias("z"))
     lo = F.greatest(F.col("start_t"), F.col("z.lo"))
     hi = F.least(F.col("end_t"), F.col("z.hi"))
     return (
@@ -234,7 +252,8 @@ def cumulative_exposure(
     A segment adds its clipped part at grid steps inside it and its full value at
     every later step. Inside-steps come from the segment itself; full values are
     summed per first later step and carried forward along the grid, so no segment
-    meets every grid point.
+    meets every grid point. Brands of a video without a duration get the grid up to
+    their last segment.
     """
     vis = F.col("avg_visibility")
     first = F.floor(F.col("start_t") / step).cast("bigint") + 1
@@ -247,8 +266,8 @@ def cumulative_exposure(
     raw = segs.select(*BRAND, F.explode(F.concat(inside, closed)).alias("m")).groupBy(*BRAND, F.col("m.g").alias("g")).agg(
         F.sum("m.part").alias("part"), F.sum("m.full").alias("full")
     )
-    last = F.ceil(F.col("duration_s") / step).cast("bigint")
-    grid = raw.select(*BRAND).distinct().join(durations, "video_id").select(
+    last = F.coalesce(F.ceil(F.col("duration_s") / step).cast("bigint"), F.col("reach"))
+    grid = raw.groupBy(*BRAND).agg(F.max("g").alias("reach")).join(durations, "video_id", "left").select(
         *BRAND, F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("g"), none.alias("part"), none.alias("full"), F.lit(1).alias("on_grid")
     )
     marks = raw.withColumn("on_grid", F.lit(0)).unionByName(grid).groupBy(*BRAND, "g").agg(

@@ -14,6 +14,10 @@ HYSTERESIS = 1.25
 REFRESH_FRAMES = 5
 HOLD_FRAMES = 8
 
+# Folding copies the states of a chunk as it goes, so its chunks are short.
+FOLD_SECONDS = 30.0
+FOLD_FRAMES = 1024.0
+
 
 def vote_weight(quality: Column, margin: Column, prototype: bool = False) -> Column:
     """``quality * (0.25 + margin)``; the prototype weighs by margin, a fifth below 0.05."""
@@ -40,7 +44,7 @@ def live_votes(votes: DataFrame, teams: list[str], chunk: float = CHUNK_SECONDS)
 
 
 def fold_states(
-    rows: DataFrame, keys: list[str], order: str, step: Column, states: int, initial: int, chunk: float = CHUNK_SECONDS
+    rows: DataFrame, keys: list[str], order: str, step: Column, states: int, initial: int, chunk: float = FOLD_SECONDS
 ) -> DataFrame:
     """State after each row of a finite state machine, without one task per key.
 
@@ -83,7 +87,7 @@ def fold_states(
 
 
 def hysteresis_labels(
-    live: DataFrame, teams: list[str], hysteresis: float = HYSTERESIS, chunk: float = CHUNK_SECONDS
+    live: DataFrame, teams: list[str], hysteresis: float = HYSTERESIS, chunk: float = FOLD_SECONDS
 ) -> DataFrame:
     """Label shown after each time of a track.
 
@@ -105,7 +109,7 @@ def hysteresis_labels(
 
 
 def embedding_refresh(
-    seen: DataFrame, every: int = REFRESH_FRAMES, chunk: float = 2048.0
+    seen: DataFrame, every: int = REFRESH_FRAMES, chunk: float = FOLD_FRAMES
 ) -> DataFrame:
     """Whether each sighting recomputes the embedding: first one, or the last
     recompute at least ``every`` frames ago. The state is the age at the sighting."""
@@ -173,13 +177,14 @@ def label_smoothing(labels: DataFrame, window: int = 15) -> DataFrame:
 def track_coast(boxes: DataFrame, hold: int = HOLD_FRAMES, last_frame: DataFrame | None = None, chunk: float = 2048.0) -> DataFrame:
     """Each box, and its copies on the frames after it until the next box or the hold ends.
 
-    ``last_frame`` has one row per video with the last processed frame.
+    ``last_frame`` has one row per video with the last processed frame; a video
+    without one is held to the full length.
     """
     flipped = boxes.withColumn("__neg", -F.col("frame_idx"))
     nxt = previous(flipped, TRACK, "__neg", {"next_idx": "frame_idx"}, chunk=chunk).drop("__neg")
     stop = F.least(F.coalesce(F.col("next_idx") - 1, F.col("frame_idx") + hold), F.col("frame_idx") + hold)
     if last_frame is not None:
-        nxt = nxt.join(last_frame.select("video_id", "last_idx"), "video_id")
+        nxt = nxt.join(last_frame.select("video_id", "last_idx"), "video_id", "left")
         stop = F.least(stop, F.col("last_idx"))
     drawn = F.explode(F.sequence(F.col("frame_idx"), F.greatest(stop, F.col("frame_idx"))))
     return nxt.select("*", drawn.alias("drawn_idx")).select(

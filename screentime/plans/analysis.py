@@ -52,4 +52,4 @@ def analyse(
     segments = X.segments(runs, s.sample_dt, s.min_segment_s)
     brands = X.price_brands(X.brand_exposure(segments), meta)
     timeline = X.timeline_intervals(preview if preview is not None else kept, 1.0 / s.sample_dt)
-    return Analysis(segments, brands, X.analysis_totals(brands), timeline)
+    return Analysis(segments, brands, X.analysis_totals(brands, meta), timeline)

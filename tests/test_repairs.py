@@ -1,10 +1,16 @@
 """Values that the synthetic tables do not hold."""
 
+import json
+
 from pyspark.sql import functions as F
 
 from screentime.functions import text as T
 from screentime.functions import vector as V
+from screentime.operators import attribution as A
+from screentime.operators import exposure as X
 from screentime.operators import selection as S
+from screentime.operators import team
+from screentime.sources import store
 
 
 def test_title_case_after_digits_and_signs(spark):
@@ -28,3 +34,81 @@ def test_unit_vectors_of_many_numbers(spark):
         assert abs(sum(x * x for x in u) - 1) < 1e-6
     one = spark.range(1).select(V.softmax(F.array(F.lit(1.0), F.lit(2.0))).alias("s"), V.unit(F.lit(None).cast("array<double>")).alias("n")).first()
     assert abs(sum(one.s) - 1) < 1e-6 and one.n is None
+
+
+BRANDS = "video_id bigint, brand_key string, quality_exposure_s double, avg_visibility double"
+
+
+def test_video_without_metadata_is_priced_with_defaults(spark):
+    brands = spark.createDataFrame([(1, "a", 10.0, 0.5), (2, "a", 10.0, 0.5), (3, "a", 10.0, 0.5)], BRANDS)
+    meta = spark.createDataFrame(
+        [(1, 20.0, 1000, "Highlight"), (3, None, 1000, None), (4, 20.0, 1000, "Radio")],
+        "video_id bigint, cpm_base double, audience_size bigint, placement_type string",
+    )
+    priced = X.price_brands(brands, meta)
+    assert {r.video_id: round(r.emv_usd, 6) for r in priced.collect()} == {1: 280.0, 2: 0.0, 3: 220.0}
+    totals = {r.video_id: (r.brand_count, r.total_emv_usd, r.avg_visibility) for r in X.analysis_totals(priced, meta).collect()}
+    assert totals.keys() == {1, 3, 4} and totals[4] == (0, 0.0, 0.0)
+
+
+def test_segments_without_clock_or_duration_stay(spark):
+    seg = spark.createDataFrame(
+        [(1, "a", 1, 2.0, 12.0, 0.5, 1.0)],
+        "video_id bigint, brand_key string, track_id bigint, start_t double, end_t double, avg_visibility double, duration_weight double",
+    )
+    clock = spark.createDataFrame([], "video_id bigint, kickoff_s double, whistle_s double")
+    pieces = X.prime_time_split(seg, clock)
+    assert [(r.start_t, r.end_t, r.phase, r.prime_multiplier) for r in pieces.collect()] == [(2.0, 12.0, None, 1.0)]
+    lengths = spark.createDataFrame([], "video_id bigint, duration_s double")
+    grid = X.cumulative_exposure(seg, lengths, step=5.0)
+    assert {r.t: r.cumulative for r in grid.collect()} == {0.0: 0.0, 5.0: 1.5, 10.0: 4.0, 15.0: 5.0}
+
+
+def test_coast_of_a_video_without_last_frame(spark):
+    boxes = spark.createDataFrame([(1, 1, 0), (2, 1, 0)], "video_id bigint, track_id bigint, frame_idx bigint")
+    end = spark.createDataFrame([(1, 2)], "video_id bigint, last_idx bigint")
+    drawn = team.track_coast(boxes, last_frame=end).groupBy("video_id").count()
+    assert {r.video_id: r["count"] for r in drawn.collect()} == {1: 3, 2: 9}
+
+
+def test_all_slots_of_a_video_without_logos(spark):
+    assigned = spark.createDataFrame([(1, "sock-l", 0.5)], "video_id bigint, zone string, visibility double")
+    share = A.zone_share(assigned, ["video_id"], spark.range(1, 3).select(F.col("id").alias("video_id"))).collect()
+    assert len(share) == 36
+    assert {(r.video_id, r.zone): r.percentage for r in share if r.percentage} == {(1, "sock-l"): 100.0}
+
+
+def test_equal_distance_takes_the_slot_laid_out_first(spark):
+    picked = spark.createDataFrame([(1, 0.0, "p", 5.0, 0.0)], "video_id bigint, t double, person_id string, cx double, cy double")
+    anchored = spark.createDataFrame(
+        [(1, 0.0, "p", [(0, "chest-center", 4.0, 0.0), (1, "chest-l", 6.0, 0.0)])],
+        "video_id bigint, t double, person_id string, anchors array<struct<zone_no:int,zone:string,x:double,y:double>>",
+    )
+    assert A.zone_assign(picked, anchored).first().zone == "chest-l"
+
+
+def test_document_of_a_video_without_brands(spark):
+    meta = spark.createDataFrame(
+        [(7, "e", "v", 10.0, 5, "Radio", 22.0, 1.0, None)],
+        "video_id bigint, event_name string, video_name string, duration_s double, audience_size bigint, placement_type string, "
+        "cpm_base double, placement_multiplier double, frames_analyzed bigint",
+    )
+    none = spark.createDataFrame([], BRANDS)
+    priced = none.select(
+        "*", *[F.lit(0.0).alias(c) for c in ("emv_usd", "total_exposure_s", "longest_segment_s")], F.lit(0).alias("segment_count"), F.lit("").alias("brand_name")
+    )
+    zones = spark.createDataFrame([], "video_id bigint, zone_no int, zone string, name string, percentage double")
+    spans = spark.createDataFrame([], "video_id bigint, brand_key string, start_t double, end_t double")
+    segs = spans.select("*", F.lit(0.5).alias("avg_visibility"), F.lit(1.0).alias("duration_weight"))
+    doc = json.loads(store.analysis_document(meta, X.analysis_totals(priced), priced, segs, zones, spans).first().document)
+    assert doc["logos"] == doc["bodyZones"] == doc["detectionTimeline"] == []
+    assert doc["totalEmvUsd"] == 0 and doc["metadata"]["framesAnalyzed"] == 0
+
+
+def test_labels_of_a_chunk_with_many_rows(spark):
+    live = spark.range(45_000).select(
+        F.lit(1).alias("video_id"), F.lit(1).alias("track_id"), (F.col("id") / 50.0).alias("t"),
+        F.when(F.col("id") < 20_000, 1.0).otherwise(2.0).alias("cum_a"), F.when(F.col("id") < 30_000, 1.0).otherwise(3.0).alias("cum_b"),
+    )
+    shown = team.hysteresis_labels(live, ["a", "b"]).groupBy("label").count()
+    assert {r.label: r["count"] for r in shown.collect()} == {"a": 30_000, "b": 15_000}
