@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from screentime.catalog import query
+from screentime.functions.sql import register_functions
 from screentime.operators import exposure as X
 from screentime.tables import Tables, with_views
 
@@ -144,6 +145,54 @@ def prime_time_multiplier(t):
     return pieces.select(*X.TRACK, "phase", "prime_multiplier", "start_t", "end_t")
 
 
+@query("emv_multiplied", with_views("priced", "seg", "det", extra="""
+v_hit AS (SELECT DISTINCT video_id, brand_key, substr(brand_key, 7, 1) AS category, t FROM v_det),
+v_size AS (SELECT video_id, category, count(DISTINCT brand_key) AS n FROM v_hit GROUP BY 1, 2),
+v_shared AS (SELECT video_id, category, t FROM v_hit GROUP BY 1, 2, 3 HAVING count(*) > 1),
+v_cat AS (
+  SELECT h.video_id, h.brand_key, CASE WHEN max(c.t) IS NOT NULL THEN 0.8 WHEN max(n) = 1 THEN 1.25 ELSE 1.0 END AS category_multiplier
+  FROM v_hit h JOIN v_size s ON h.video_id = s.video_id AND h.category = s.category
+  LEFT JOIN v_shared c ON h.video_id = c.video_id AND h.category = c.category AND h.t = c.t GROUP BY 1, 2),
+v_part AS (
+  SELECT video_id, brand_key, avg_visibility * duration_weight * greatest(least(end_t, hi) - greatest(start_t, lo), 0) AS q, mult
+  FROM v_seg, (VALUES (-1000000000, 3, 0.7), (3, 6, 1.3), (6, 14, 1.0), (14, 17, 1.3), (17, 1000000000, 0.7)) p(lo, hi, mult)),
+v_prime AS (SELECT video_id, brand_key, sum(q * mult) / sum(q) AS prime_multiplier FROM v_part GROUP BY 1, 2)""") + """
+SELECT p.video_id, p.brand_key, CAST(c.category_multiplier AS DOUBLE) AS category_multiplier,
+       round(CAST(m.prime_multiplier AS DOUBLE), 6) AS prime_multiplier,
+       round(CAST(p.emv_usd * c.category_multiplier * m.prime_multiplier AS DOUBLE), 2) AS emv_usd
+FROM v_priced p JOIN v_cat c ON p.video_id = c.video_id AND p.brand_key = c.brand_key
+JOIN v_prime m ON p.video_id = m.video_id AND p.brand_key = m.brand_key""")
+def emv_multiplied(t):
+    # The first digit of a brand stands for its category.
+    dets = t.detections()
+    categories = dets.select("brand_key", F.substring("brand_key", 7, 1).alias("category")).distinct()
+    clock = t.meta().select("video_id", F.lit(3.0).alias("kickoff_s"), F.lit(17.0).alias("whistle_s"))
+    spans = segs(t)
+    factors = X.category_multipliers(dets.drop("category"), categories).select(*X.BRAND, "category_multiplier").join(
+        X.prime_multipliers(X.prime_time_split(spans, clock, edge_seconds=3.0)), X.BRAND
+    )
+    worth = X.price_brands(X.brand_exposure(spans), t.meta(), factors).join(factors, X.BRAND)
+    return worth.select(*X.BRAND, "category_multiplier", r("prime_multiplier"), r("emv_usd", 2))
+
+
+@query("sql_visibility", with_views("vis") + "SELECT det_id, video_id, round(visibility, 6) AS visibility FROM v_vis")
+def sql_visibility(t):
+    register_functions(t.spark)
+    return t.spark.sql(
+        "SELECT det_id, video_id, round(st_visibility(cx, cy, w, h, conf, frame_w, frame_h), 6) AS visibility FROM {hits}", hits=t.detections()
+    )
+
+
+@query("sql_emv", with_views("priced") + "SELECT video_id, brand_key, round(emv_usd, 2) AS emv_usd FROM v_priced")
+def sql_emv(t):
+    register_functions(t.spark)
+    return t.spark.sql(
+        """SELECT video_id, brand_key, round(st_emv(quality_exposure_s, cpm_base, audience_size, placement_type), 2) AS emv_usd
+           FROM {brands} JOIN {meta} USING (video_id)""",
+        brands=brands(t), meta=t.meta(),
+    )
+
+
 @query("segment_lookup", with_views("det", "seg") + """
 SELECT d.det_id, d.video_id, d.brand_key, d.track_id, s.start_t, s.end_t
 FROM v_det d JOIN v_seg s ON d.video_id = s.video_id AND d.brand_key = s.brand_key AND d.track_id = s.track_id

@@ -225,7 +225,7 @@ def prime_multipliers(pieces: DataFrame) -> DataFrame:
     """Per brand the quality-weighted mean multiplier of its pieces."""
     quality = F.col("avg_visibility") * F.col("duration_weight") * (F.col("end_t") - F.col("start_t"))
     return pieces.groupBy(*BRAND).agg(
-        (F.sum(quality * F.col("prime_multiplier")) / F.sum(quality)).alias("prime_multiplier")
+        F.try_divide(F.sum(quality * F.col("prime_multiplier")), F.sum(quality)).alias("prime_multiplier")
     )
 
 

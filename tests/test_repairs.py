@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from screentime.functions import text as T
 from screentime.functions import vector as V
+from screentime.functions.sql import register_functions
 from screentime.operators import attribution as A
 from screentime.operators import exposure as X
 from screentime.operators import selection as S
@@ -112,3 +113,11 @@ def test_labels_of_a_chunk_with_many_rows(spark):
     )
     shown = team.hysteresis_labels(live, ["a", "b"]).groupBy("label").count()
     assert {r.label: r["count"] for r in shown.collect()} == {"a": 30_000, "b": 15_000}
+
+
+def test_sql_functions_of_nulls_and_odd_frames(spark):
+    register_functions(spark)
+    assert spark.sql("SELECT st_visibility(NULL, 1, 1, 1, 1, 10, 10) AS v").first().v is None
+    assert spark.sql("SELECT st_visibility(0, 0, 5, 5, 1, 0, 0) AS v").first().v == 0.0
+    got = spark.sql("SELECT st_placement(' Highlight ') AS a, st_placement(NULL) AS b, st_emv(10, 20, 1000, 'Radio') AS c").first()
+    assert (got.a, got.b, got.c) == (1.4, 1.0, 200.0)
