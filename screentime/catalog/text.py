@@ -70,10 +70,12 @@ def fuzzy_ratio(t):
 v_dict AS (SELECT DISTINCT k AS key, p_name AS sponsor, rk FROM (
   SELECT p_name, p_name AS k, 0 AS rk FROM part UNION ALL SELECT p_name, replace(p_name, ' ', ''), 1 FROM part) d),
 v_text AS (SELECT DISTINCT text, translate(lower(trim(text)), '01|58', 'oiisb') AS folded FROM v_ocr)""") + """
-SELECT text, sponsor, CAST(floor(ratio) AS BIGINT) AS fuzzy FROM (
-  SELECT text, sponsor, ratio, row_number() OVER (PARTITION BY text ORDER BY ratio DESC, rk, key, sponsor) AS rn FROM (
-    SELECT text, sponsor, key, rk, 200.0 * """ + _LCS.format(a="folded", b="key") + """ / (length(folded) + length(key)) AS ratio
-    FROM v_text, v_dict) s WHERE ratio >= 80) m WHERE rn = 1""")
+, v_score AS (
+  SELECT text, sponsor, key, rk, 200.0 * """ + _LCS.format(a="folded", b="key") + """ / (length(folded) + length(key)) AS ratio FROM v_text, v_dict),
+v_best AS (SELECT * FROM v_score WHERE ratio >= 80 QUALIFY row_number() OVER (PARTITION BY text, rk ORDER BY ratio DESC, key, sponsor) = 1)
+SELECT text, CASE WHEN a.sponsor IS NULL OR b.ratio > floor(a.ratio) THEN b.sponsor ELSE a.sponsor END AS sponsor,
+       CAST(floor(CASE WHEN a.sponsor IS NULL OR b.ratio > floor(a.ratio) THEN b.ratio ELSE a.ratio END) AS BIGINT) AS fuzzy
+FROM (SELECT * FROM v_best WHERE rk = 0) a FULL JOIN (SELECT * FROM v_best WHERE rk = 1) b USING (text)""")
 def fuzzy_match_sponsor(t):
     names = t.raw("part").select(F.col("p_name").alias("key"), F.col("p_name").alias("sponsor")).distinct()
     return R.match_sponsors(t.ocr(), names)

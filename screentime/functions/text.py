@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,27 +45,37 @@ def despace(key: Column) -> Column:
     return F.replace(key, F.lit(" "), F.lit(""))
 
 
-def lcs_length(a: Column, b: Column) -> Column:
-    """Longest common subsequence, one table row per character of ``a``."""
-    width = F.length(b)
-    first = F.array_repeat(F.lit(0), width + 1)
-
-    def next_row(prev: Column, ch: Column) -> Column:
-        def cell(acc: Column, j: Column) -> Column:
-            hit = F.when(F.substring(b, j, F.lit(1)) == ch, 1).otherwise(0)
-            best = F.greatest(F.element_at(acc, -1), F.element_at(prev, j + 1), F.element_at(prev, j) + hit)
-            return F.concat(acc, F.array(best))
+def _common_lengths(a: pd.Series, b: pd.Series) -> pd.Series:
+    """LCS lengths of two text columns, bit-parallel: one addition per character of ``a``."""
+    masks: dict[str, dict[str, int]] = {}
+    out = []
+    for x, y in zip(a, b):
+        if x is None or y is None:
+            out.append(None)
+            continue
+        if y not in masks:
+            places: dict[str, int] = {}
+            for i, ch in enumerate(y):
+                places[ch] = places.get(ch, 0) | 1 << i
+            masks[y] = places
+        places, full = masks[y], (1 << len(y)) - 1
+        free = full
+        for ch in x:
+            hit = free & places.get(ch, 0)
+            free = ((free + hit) | (free - hit)) & full
+        out.append(len(y) - free.bit_count())
+    return pd.Series(out, dtype="Int64")
 
-        return F.aggregate(F.sequence(F.lit(1), width), F.array(F.lit(0)), cell)
 
-    table = F.aggregate(F.split(a, ""), first, next_row)
-    return F.when((F.length(a) == 0) | (width == 0), 0).otherwise(F.element_at(table, -1))
+def lcs_length(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence; Arrow batches, as no SQL function has it. Null if either is."""
+    return F.pandas_udf(_common_lengths, "bigint")(a, b)
 
 
 def indel_ratio(a: Column, b: Column) -> Column:
-    """100 * 2 * LCS / (len a + len b); two empty strings are equal."""
+    """100 * 2 * LCS / (len a + len b); two empty strings are equal; null if either is."""
     total = F.length(a) + F.length(b)
-    return F.coalesce(F.try_divide(lcs_length(a, b) * F.lit(200.0), total), F.lit(100.0))
+    return F.when(total == 0, 100.0).otherwise(F.try_divide(lcs_length(a, b) * F.lit(200.0), total))
 
 
 def parse_color(file_name: Column) -> Column:

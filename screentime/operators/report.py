@@ -40,7 +40,8 @@ def match_sponsors(texts: DataFrame, dictionary: DataFrame, cutoff: float = T.MI
     distinct folded texts meet the dictionary. A ratio of ``c`` needs
     ``2 * shorter >= c/100 * (shorter + longer)``, so every key is listed under the
     text lengths it can reach and the match becomes an equi-join on length.
-    Spaced keys win ties over despaced ones; fractions of the score are dropped.
+    Spaced keys are asked first and despaced ones second: the second answer wins if its
+    score is above the whole part of the first. Fractions of the score are dropped.
     """
     spaced = dictionary.select(F.col("key"), "sponsor", F.lit(0).alias("rank"))
     joined = dictionary.select(T.despace(F.col("key")).alias("key"), "sponsor", F.lit(1).alias("rank"))
@@ -55,13 +56,11 @@ def match_sponsors(texts: DataFrame, dictionary: DataFrame, cutoff: float = T.MI
         distinct.withColumn("len", F.length("folded")).join(by_len, "len")
         .withColumn("ratio", T.indel_ratio(F.col("folded"), F.col("key"))).filter(F.col("ratio") >= cutoff)
     )
-    best = scored.groupBy("folded").agg(
-        F.min_by(
-            F.struct("sponsor", F.floor("ratio").cast("bigint").alias("fuzzy")),
-            F.struct((-F.col("ratio")).alias("neg"), "rank", "key", "sponsor"),
-        ).alias("m")
-    )
-    return folded.join(best, "folded").select("text", "m.sponsor", "m.fuzzy")
+    answer = F.struct((-F.col("ratio")).alias("neg"), "key", "sponsor")
+    best = scored.groupBy("folded").agg(*[F.min(F.when(F.col("rank") == i, answer)).alias(n) for i, n in enumerate(("spaced", "joined"))])
+    second = F.col("spaced").isNull() | (-F.col("joined.neg") > F.floor(-F.col("spaced.neg")))
+    best = best.select("folded", F.when(second, F.col("joined")).otherwise(F.col("spaced")).alias("m"))
+    return folded.join(best, "folded").select("text", "m.sponsor", F.floor(-F.col("m.neg")).cast("bigint").alias("fuzzy"))
 
 
 def near_keys(texts: DataFrame, keys: DataFrame, max_edits: int) -> DataFrame:
