@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from screentime.catalog import query
+from screentime.catalog.attribution import _OWNER
 from screentime.streaming import ops as O
 from screentime.streaming import run as RUN
 from screentime.tables import Tables, with_views
@@ -34,7 +35,7 @@ def session_rows(df):
 
 @query("stream_exposure_sessions", with_views("event") + _SESS)
 def stream_exposure_sessions(t):
-    source = RUN.with_sentinel(hits(t), t.sf_dir, "events", "40 DAYS")
+    source = RUN.with_sentinel(hits(t), t.raw("events"), "40 DAYS", track_id=-1)
     rows = RUN.run_append(O.exposure_sessions(source, "12 hours", "1 hour"), "sessions")
     return session_rows(rows.filter("track_id >= 0"))
 
@@ -67,10 +68,13 @@ def stream_dedup(t):
 
 
 @query("stream_late_rows", with_views("event") + """
-SELECT brand_key, epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS window_start, count(*) AS hits, round(sum(value), 4) AS total FROM v_event GROUP BY 1, 2""")
+SELECT brand_key, epoch_us(hour) AS window_start, count(*) AS hits, round(sum(value), 4) AS total
+FROM (SELECT *, time_bucket(INTERVAL 1 HOUR, ts) AS hour FROM v_event) e, (SELECT max(ts) - INTERVAL 7 DAY AS mark FROM v_event WHERE event_id % 2 = 0) w
+WHERE event_id % 2 = 0 OR hour + INTERVAL 1 HOUR > mark GROUP BY 1, 2""")
 def stream_late_rows(t):
-    # One availableNow batch per file set: rows of that batch are never late, whatever the delay.
-    rows = RUN.run_update(O.windowed_exposure(hits(t), "1 hour", None, "1 second"), "late", ["brand_key", "window_start"])
+    # Even events come first, odd ones after them: what then lies behind the watermark is late.
+    arrivals = [t.events().filter(f"event_id % 2 = {i}") for i in (0, 1)]
+    rows = RUN.run_arrivals(arrivals, lambda s: O.windowed_exposure(s, "1 hour", None, "7 days"), "late", ["brand_key", "window_start"])
     return rows.select("brand_key", ms("window_start"), "hits", F.round("total", 4).alias("total"))
 
 
@@ -83,12 +87,13 @@ def stream_enrich(t):
     return rows.select("event_id", "brand_key", "placement_type", "multiplier")
 
 
-@query("stream_progress", "SELECT count(*) AS hits, count(DISTINCT event_type) AS brands FROM events")
+@query("stream_progress", """
+SELECT count(*) AS hits, count(DISTINCT event_type) AS brands, count(*) FILTER (WHERE value >= 1) AS kept, count(*) FILTER (WHERE value < 1 OR value IS NULL) AS dropped FROM events""")
 def stream_progress(t):
-    rows = RUN.progress_table(
-        hits(t), "progress", {"hits": F.count(F.lit(1)), "brands": F.count_distinct(F.col("brand_key"))}
-    )
-    return rows.agg(F.sum("hits").alias("hits"), F.max("brands").alias("brands"))
+    kept = F.coalesce(F.col("value") >= 1, F.lit(False))
+    counters = {"hits": F.count(F.lit(1)), "kept": F.count_if(kept), "dropped": F.count_if(~kept)}
+    rows = RUN.progress_table(hits(t), "progress", "brand_key", counters)
+    return rows.agg(F.count_distinct("brand_key").alias("brands"), *[F.sum(n).alias(n) for n in counters])
 
 
 class _StreamTables(Tables):
@@ -107,15 +112,15 @@ def stamp(df):
     return df.withColumn("ts", F.timestamp_millis((F.col("t") * 1000).cast("bigint") + EPOCH_MS))
 
 
-@query("stream_logo_person_join", with_views("logo", "person") + """
-SELECT l.video_id, CAST(l.t * 1000000 AS BIGINT) + 1704067200000000 AS ts, l.det_id, p.person_id FROM v_logo l JOIN v_person p ON l.video_id = p.video_id AND l.t = p.t
- AND l.cx BETWEEN p.x1 AND p.x2 AND l.cy BETWEEN p.y1 AND p.y2""")
+@query("stream_logo_person_join", with_views("logo", "person", extra=_OWNER) + """
+SELECT DISTINCT video_id, CAST(t * 1000000 AS BIGINT) + 1704067200000000 AS ts, det_id, person_id FROM v_owner""")
 def stream_logo_person_join(t):
     s = _StreamTables(t.spark, t.sf_dir)
-    logos = stamp(s.logos()).select("video_id", "ts", "det_id", "cx", "cy")
-    persons = stamp(s.persons()).select("video_id", "ts", "person_id", "x1", "y1", "x2", "y2")
-    rows = RUN.run_append(O.logo_person_join(logos, persons, "1 minute"), "logo_person")
-    return rows.select("video_id", ms("ts"), "det_id", "person_id")
+    last = stamp(t.boxes())
+    logos = RUN.with_sentinel(stamp(s.logos()).select("video_id", "ts", "det_id", "cx", "cy"), last, "1 DAY", video_id=-1)
+    persons = RUN.with_sentinel(stamp(s.persons()).select("video_id", "ts", "person_id", "x1", "y1", "x2", "y2"), last, "1 DAY", video_id=-1)
+    rows = RUN.run_append(O.logo_owners(logos, persons, "1 minute"), "logo_person")
+    return rows.filter("video_id >= 0").select("video_id", ms("ts"), "det_id", "person_id")
 
 
 @query("stream_team_votes", with_views("vote") + """
@@ -130,15 +135,21 @@ def stream_team_votes(t):
 
     def labels():
         votes = stamp(s.votes()).select("video_id", "track_id", "ts", "team", "weight")
-        return O.team_votes(votes, ["target", "other"])
+        return O.team_votes(RUN.with_sentinel(votes, stamp(t.boxes()), "1 DAY", video_id=-1, track_id=-1), ["target", "other"])
 
-    return RUN.run_stateful(labels, t.spark, "team_votes").select("video_id", "track_id", ms("ts"), "label")
+    return RUN.run_stateful(labels, t.spark, "team_votes").filter("video_id >= 0").select("video_id", "track_id", ms("ts"), "label")
 
 
 @query("stream_track_coast", with_views("vote") + """
 SELECT video_id, track_id, frame_idx, drawn_idx, drawn_idx > frame_idx AS held FROM (
-  SELECT video_id, track_id, frame_idx, unnest(range(frame_idx, greatest(least(coalesce(nxt - 1, frame_idx), frame_idx + 8), frame_idx) + 1)) AS drawn_idx
+  SELECT video_id, track_id, frame_idx, unnest(range(frame_idx, greatest(least(coalesce(nxt - 1, frame_idx + 8), frame_idx + 8), frame_idx) + 1)) AS drawn_idx
   FROM (SELECT *, lead(frame_idx) OVER (PARTITION BY video_id, track_id ORDER BY frame_idx) AS nxt FROM (SELECT DISTINCT video_id, track_id, frame_idx FROM v_vote) d) x) y""")
 def stream_track_coast(t):
     s = _StreamTables(t.spark, t.sf_dir)
-    return RUN.run_stateful(lambda: O.track_coast(s.votes().select("video_id", "track_id", "frame_idx")), t.spark, "coast")
+
+    def drawn():
+        boxes = stamp(s.votes()).select("video_id", "track_id", "frame_idx", "ts")
+        boxes = RUN.with_sentinel(boxes, stamp(t.boxes()), "1 DAY", video_id=-1, track_id=-1, frame_idx=0)
+        return O.track_coast(boxes, frame_ms=500)
+
+    return RUN.run_stateful(drawn, t.spark, "coast").filter("video_id >= 0")

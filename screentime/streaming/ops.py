@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from screentime.functions import visibility as V
+from screentime.operators.attribution import OWNER_REACH
 
 TRACK = ["brand_key", "track_id"]
 
@@ -49,94 +52,165 @@ def priced(rows: DataFrame) -> DataFrame:
     return rows.withColumn("multiplier", V.placement_multiplier(F.col("placement_type")))
 
 
-def logo_person_join(logos: DataFrame, persons: DataFrame, lateness: str) -> DataFrame:
-    """Logo and person streams meet on frame time; both watermarks bound the state.
+def logo_owners(logos: DataFrame, persons: DataFrame, lateness: str) -> DataFrame:
+    """Owner of every logo from a logo and a person stream, by the rule of the batch operator.
 
-    Inputs: ``video_id, ts, det_id, cx, cy`` and ``video_id, ts, person_id, x1..y2``.
+    The smallest containing person box, else the nearest centre within reach of the
+    person's own diagonal, else null; ties go to the lower person id. Streams meet on
+    frame time; a logo is told once, when the watermark has passed its frame.
+    Inputs: ``video_id, ts, det_id, cx, cy`` and ``video_id, ts, person_id, x1..y2``;
+    a ``det_id`` sent twice for a frame is told once.
     """
     a = logos.withWatermark("ts", lateness).alias("a")
     b = persons.withWatermark("ts", lateness).alias("b")
-    inside = F.expr("a.cx BETWEEN b.x1 AND b.x2 AND a.cy BETWEEN b.y1 AND b.y2")
-    on = F.expr("a.video_id = b.video_id AND a.ts = b.ts") & inside
-    return a.join(b, on).select("a.video_id", "a.ts", "a.det_id", "b.person_id")
+    x1, y1, x2, y2 = (F.col(f"b.{c}") for c in ("x1", "y1", "x2", "y2"))
+    cx, cy = F.col("a.cx"), F.col("a.cy")
+    inside = (x1 <= cx) & (cx <= x2) & (y1 <= cy) & (cy <= y2)
+    dist = F.hypot(cx - (x1 + x2) / 2, cy - (y1 + y2) / 2)
+    near = dist < F.hypot(x2 - x1, y2 - y1) * OWNER_REACH
+    on = F.expr("a.video_id = b.video_id AND a.ts = b.ts") & (inside | near)
+    rank = F.struct(
+        F.when(inside, 0).otherwise(1).alias("tier"), F.when(inside, V.box_area(x1, y1, x2, y2)).otherwise(dist).alias("score"), F.col("b.person_id").alias("person_id")
+    )
+    pairs = a.join(b, on, "left").select("a.video_id", "a.ts", "a.det_id", F.when(F.col("b.person_id").isNotNull(), rank).alias("owner"))
+    return pairs.groupBy("video_id", "ts", "det_id").agg(F.min("owner").alias("owner")).select("video_id", "ts", "det_id", "owner.person_id")
+
+
+def _us(ts: pd.Series) -> np.ndarray:
+    """Microseconds since the epoch."""
+    return ts.to_numpy().astype("datetime64[us]").astype(np.int64)
 
 
 class TeamVotes(StatefulProcessor):
-    """Vote mass per team and the label shown, kept per track."""
+    """Vote mass per team and the label shown, kept per track.
+
+    Votes wait in the state until the watermark has passed them, so that they are
+    counted in time order whatever order they come in.
+    """
 
     def __init__(self, teams: list[str], hysteresis: float):
         self.teams, self.hysteresis = teams, hysteresis
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         fields = ", ".join(f"v{i} double" for i in range(len(self.teams)))
+        self.handle = handle
         self.state = handle.getValueState("votes", f"{fields}, shown int")
+        self.waiting = handle.getValueState("waiting", "ts array<bigint>, team array<int>, weight array<double>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        votes = self._waiting()
+        for part in rows:
+            team = part["team"].map({name: i for i, name in enumerate(self.teams)}).fillna(-1).astype(int)
+            weight = part["weight"].astype(float).fillna(0.0)
+            votes += list(zip(_us(part["ts"]).tolist(), team.tolist(), weight.tolist()))
+        yield self._release(key, votes, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self._release(key, self._waiting(), timerValues.getCurrentWatermarkInMs())
+
+    def _waiting(self) -> list[tuple[int, int, float]]:
+        return list(zip(*self.waiting.get())) if self.waiting.exists() else []
+
+    def _release(self, key, votes: list[tuple[int, int, float]], watermark: int) -> pd.DataFrame:
         n = len(self.teams)
         old = self.state.get() if self.state.exists() else tuple([0.0] * n + [-1])
         mass, shown = np.array(old[:n], dtype=float), int(old[n])
-        frame = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "team"])
+        votes.sort()
+        ready = [v for v in votes if v[0] < watermark * 1000]
+        rest = votes[len(ready) :]
         out = []
-        for ts, part in frame.groupby("ts", sort=True):
-            for team, weight in zip(part["team"], part["weight"]):
-                if weight > 0:
-                    mass[self.teams.index(team)] += weight
+        for ts, part in groupby(ready, key=itemgetter(0)):
+            for _, team, weight in part:
+                if weight > 0 and team >= 0:
+                    mass[team] += weight
             if mass.sum() > 0:
                 top = int(mass.argmax())
                 if shown < 0 or (top != shown and mass[top] > mass[shown] * self.hysteresis):
                     shown = top
-            out.append((*key, ts, self.teams[max(shown, 0)], float(mass.sum())))
+            out.append((*key, pd.Timestamp(ts, unit="us"), self.teams[max(shown, 0)], float(mass.sum())))
         self.state.update(tuple([*map(float, mass), shown]))
-        yield pd.DataFrame(out, columns=["video_id", "track_id", "ts", "label", "mass"])
+        if rest:
+            self.waiting.update(tuple(map(list, zip(*rest))))
+            self.handle.registerTimer(rest[0][0] // 1000 + 1)
+        else:
+            self.waiting.clear()
+        return pd.DataFrame(out, columns=["video_id", "track_id", "ts", "label", "mass"])
 
     def close(self) -> None:
         pass
 
 
-def team_votes(votes: DataFrame, teams: list[str], hysteresis: float = 1.25) -> DataFrame:
+def team_votes(votes: DataFrame, teams: list[str], hysteresis: float = 1.25, lateness: str = "1 minute") -> DataFrame:
     """Stable label per track and time. Input: video_id, track_id, ts, team, weight.
 
-    Rows of a track have to arrive in time order across batches.
+    Rows may come up to ``lateness`` out of order; a time is told once the watermark has
+    passed it. Votes for a team outside ``teams`` count for nobody, but their time is told.
     """
-    return votes.groupBy("video_id", "track_id").transformWithStateInPandas(
+    return votes.withWatermark("ts", lateness).groupBy("video_id", "track_id").transformWithStateInPandas(
         statefulProcessor=TeamVotes(teams, hysteresis),
         outputStructType="video_id bigint, track_id bigint, ts timestamp, label string, mass double",
         outputMode="Append",
-        timeMode="None",
+        timeMode="EventTime",
     )
 
 
 class TrackCoast(StatefulProcessor):
-    """Last box frame per track; fills the frames up to the next box or the hold limit."""
+    """Boxes of a track that wait until the hold after them is over.
+
+    Then the next box, if it came, is known: the box and its copies are drawn up to
+    there, or to the end of the hold.
+    """
 
-    def __init__(self, hold: int):
-        self.hold = hold
+    def __init__(self, hold: int, frame_ms: int):
+        self.hold, self.frame_ms = hold, frame_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("last", "frame_idx bigint")
+        self.handle = handle
+        self.waiting = handle.getValueState("waiting", "frame_idx array<bigint>, due array<bigint>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        last = self.state.get()[0] if self.state.exists() else None
-        frames = np.unique(np.concatenate([part["frame_idx"].to_numpy() for part in rows]))
-        out = []
-        for idx in frames:
-            if last is not None:
-                out += [(*key, last, held, True) for held in range(last + 1, min(idx, last + self.hold + 1))]
-            out.append((*key, int(idx), int(idx), False))
-            last = int(idx)
-        self.state.update((last,))
-        yield pd.DataFrame(out, columns=["video_id", "track_id", "frame_idx", "drawn_idx", "held"])
+        boxes = self._waiting()
+        for part in rows:
+            due = _us(part["ts"]) // 1000 + self.hold * self.frame_ms
+            boxes.update(zip(part["frame_idx"].tolist(), due.tolist()))
+        yield self._draw(key, boxes, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self._draw(key, self._waiting(), timerValues.getCurrentWatermarkInMs())
+
+    def _waiting(self) -> dict[int, int]:
+        return dict(zip(*self.waiting.get())) if self.waiting.exists() else {}
+
+    def _draw(self, key, boxes: dict[int, int], watermark: int) -> pd.DataFrame:
+        frames, out, rest = sorted(boxes), [], []
+        for i, idx in enumerate(frames):
+            if boxes[idx] >= watermark:
+                rest.append(idx)
+                continue
+            stop = min(frames[i + 1] - 1, idx + self.hold) if i + 1 < len(frames) else idx + self.hold
+            out += [(*key, idx, drawn, drawn > idx) for drawn in range(idx, stop + 1)]
+        if rest:
+            self.waiting.update((rest, [boxes[idx] for idx in rest]))
+            self.handle.registerTimer(min(boxes[idx] for idx in rest) + 1)
+        else:
+            self.waiting.clear()
+        return pd.DataFrame(out, columns=["video_id", "track_id", "frame_idx", "drawn_idx", "held"])
 
     def close(self) -> None:
         pass
 
 
-def track_coast(boxes: DataFrame, hold: int = 8) -> DataFrame:
-    """Coasted boxes between sightings; the tail after a track's last sighting is
-    drawn when the next box of the track arrives."""
-    return boxes.groupBy("video_id", "track_id").transformWithStateInPandas(
-        statefulProcessor=TrackCoast(hold),
+def track_coast(boxes: DataFrame, hold: int = 8, frame_ms: int = 40, lateness: str = "1 minute") -> DataFrame:
+    """Every box and its copies on the frames after it, until the next box of the track
+    or the end of the hold. Input: video_id, track_id, frame_idx, ts.
+
+    A box is drawn once the watermark has passed its hold (``hold`` frames of
+    ``frame_ms``), also when its track is never seen again; boxes may come up to
+    ``lateness`` out of order.
+    """
+    return boxes.withWatermark("ts", lateness).groupBy("video_id", "track_id").transformWithStateInPandas(
+        statefulProcessor=TrackCoast(hold, frame_ms),
         outputStructType="video_id bigint, track_id bigint, frame_idx bigint, drawn_idx bigint, held boolean",
         outputMode="Append",
-        timeMode="None",
+        timeMode="EventTime",
     )

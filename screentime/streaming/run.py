@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,13 +44,7 @@ def run_stateful(df_of, spark: SparkSession, name: str) -> DataFrame:
             spark.conf.set(key, before)
 
 
-def run_update(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
-    """Update mode through ``foreachBatch``: every changed row is stored with its batch
-    number, and the newest row of a key is the result. A replayed batch overwrites
-    its own folder."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-
+def _changes(df: DataFrame, path: str) -> None:
     def store(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/table/batch={number}")
 
@@ -57,35 +53,63 @@ def run_update(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()
+
+
+def _newest(df: DataFrame, path: str, keys: list[str]) -> DataFrame:
     rest = [c for c in df.columns if c not in keys]
-    stored = spark.read.option("basePath", f"{path}/table").parquet(f"{path}/table")
+    stored = df.sparkSession.read.option("basePath", f"{path}/table").parquet(f"{path}/table")
     return stored.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, "r.*")
 
 
-def progress_table(df: DataFrame, name: str, counters: dict) -> DataFrame:
-    """One row of counters per batch, written by ``foreachBatch``."""
+def run_update(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """Update mode through ``foreachBatch``: every changed row is stored with its batch
+    number, and the newest row of a key is the result. A replayed batch overwrites
+    its own folder."""
+    path = scratch_path(df.sparkSession, name)
+    _changes(df, path)
+    return _newest(df, path, keys)
+
+
+def run_arrivals(arrivals: list[DataFrame], transform: Callable[[DataFrame], DataFrame], name: str, keys: list[str]) -> DataFrame:
+    """As ``run_update`` over row sets that arrive one after the other.
+
+    Each set is added to the folder the stream reads and run to its end before the next
+    one comes; the state and the watermark live on in the stream's checkpoint.
+    """
+    spark = arrivals[0].sparkSession
+    path = scratch_path(spark, name)
+    df = None
+    for rows in arrivals:
+        rows.write.mode("append").parquet(f"{path}/in")
+        df = transform(spark.readStream.schema(rows.schema).parquet(f"{path}/in"))
+        _changes(df, path)
+    return _newest(df, path, keys)
+
+
+def progress_table(df: DataFrame, name: str, by: str, counters: dict) -> DataFrame:
+    """Counters per batch and value of ``by``, written by ``foreachBatch``: distinct values
+    of any number of batches can be counted, and the other counters add up."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
 
     def store(batch: DataFrame, number: int) -> None:
-        batch.agg(*[c.alias(n) for n, c in counters.items()]).write.mode("overwrite").parquet(f"{path}/table/batch={number}")
+        counted = batch.groupBy(by).agg(*[c.alias(n) for n, c in counters.items()])
+        counted.write.mode("overwrite").parquet(f"{path}/table/batch={number}")
 
     query = df.writeStream.foreachBatch(store).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.option("basePath", f"{path}/table").parquet(f"{path}/table")
 
 
-def with_sentinel(hits: DataFrame, sf_dir: str, table: str, after: str) -> DataFrame:
-    """Add one far later row, so that the watermark closes every real session.
+def with_sentinel(rows: DataFrame, newest: DataFrame, after: str, **values) -> DataFrame:
+    """Add one far later row, so that the watermark passes every real one.
 
-    The row comes from a one-row table next to the run's state, stamped ``after``
-    the newest time of the input.
+    The row comes from a one-row table next to the run's state, stamped ``after`` the
+    newest ``ts`` of the batch table ``newest``; ``values`` mark it, other columns are null.
     """
-    spark = hits.sparkSession
+    spark = rows.sparkSession
     path = scratch_path(spark, "sentinel")
-    last = spark.read.parquet(f"{sf_dir}/{table}.parquet").agg((F.max("ts").cast("timestamp") + F.expr(f"INTERVAL {after}")).alias("ts"))
-    last.select(
-        F.lit(-1).cast("bigint").alias("event_id"), "ts", F.lit(-1).cast("bigint").alias("track_id"), F.lit("").alias("brand_key"), F.lit(0.0).alias("value")
-    ).write.parquet(path)
-    extra = spark.readStream.schema("event_id bigint, ts timestamp, track_id bigint, brand_key string, value double").parquet(path)
-    return hits.unionByName(extra.select(*hits.columns))
+    last = newest.agg((F.max("ts").cast("timestamp") + F.expr(f"INTERVAL {after}")).alias("ts"))
+    columns = [F.col("ts") if f.name == "ts" else F.lit(values.get(f.name)).cast(f.dataType).alias(f.name) for f in rows.schema]
+    last.select(*columns).write.parquet(path)
+    return rows.unionByName(spark.readStream.schema(rows.schema).parquet(path))

@@ -99,21 +99,74 @@ def test_resent_rows_are_dropped_across_batches(spark):
     assert sorted(r.event_id for r in out.collect()) == [1, 2, 3]
 
 
-def test_votes_carry_over_batches(spark):
+def batches_of(spark, schema, batches):
+    """A stream that reads one row set per trigger, in order."""
     import os
     import time
 
-    path = scratch_path(spark, "votes")
-    schema = "video_id bigint, track_id bigint, ts timestamp, team string, weight double"
-    for i, (team, w) in enumerate([("other", 1.0), ("target", 1.0), ("target", 0.5)]):
-        spark.createDataFrame([(1, 1, T0 + dt.timedelta(seconds=i), team, w)], schema).coalesce(1).write.json(f"{path}/part={i}")
+    path = scratch_path(spark, "batches")
+    for i, items in enumerate(batches):
+        spark.createDataFrame(items, schema).coalesce(1).write.json(f"{path}/part={i}")
         for name in os.listdir(f"{path}/part={i}"):
             os.utime(f"{path}/part={i}/{name}", (time.time() - 1000 + i * 10,) * 2)
-    make = lambda: O.team_votes(
-        spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").json(path), ["target", "other"]
-    )
-    out = RUN.run_stateful(make, spark, "votes_out")
-    assert [r.label for r in out.orderBy("ts").collect()] == ["other", "other", "target"]
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").json(path)
+
+
+def at(second):
+    return T0 + dt.timedelta(seconds=second)
+
+
+VOTES = "video_id bigint, track_id bigint, ts timestamp, team string, weight double"
+
+
+def test_votes_out_of_order_over_three_batches(spark):
+    votes = [(0, "other", 1.0), (1, "target", 1.0), (2, "target", 0.5), (3, "someone", 9.0), (4, "other", 0.75)]
+    rows = [(1, 1, at(s), team, w) for s, team, w in votes]
+    order = [[rows[2], rows[0]], [rows[4], rows[1]], [rows[3]], [(9, 9, at(9000), "other", 1.0)]]
+    make = lambda: O.team_votes(batches_of(spark, VOTES, order), ["target", "other"])
+    got = RUN.run_stateful(make, spark, "votes_out").filter("video_id = 1").orderBy("ts").collect()
+    assert [(r.ts, r.label) for r in got] == [(at(i), label) for i, label in enumerate(["other", "other", "target", "target", "target"])]
+    assert got[-1].mass == 3.25
+
+
+def test_votes_behind_the_watermark_are_dropped(spark):
+    order = [[(1, 1, at(0), "other", 1.0)], [(1, 1, at(600), "target", 9.0)], [(1, 1, at(601), "target", 1.0)], [(1, 1, at(1), "other", 50.0)], [(9, 9, at(9000), "other", 1.0)]]
+    make = lambda: O.team_votes(batches_of(spark, VOTES, order), ["target", "other"])
+    got = RUN.run_stateful(make, spark, "votes_late").filter("video_id = 1").orderBy("ts").collect()
+    assert [(r.ts, r.label) for r in got] == [(at(0), "other"), (at(600), "target"), (at(601), "target")]
+
+
+def test_coast_out_of_order_equals_the_batch_operator(spark):
+    from screentime.operators import team as TM
+
+    schema = "video_id bigint, track_id bigint, frame_idx bigint, ts timestamp"
+    rows = [(1, k, i, at(i)) for k, i in ((1, 0), (1, 3), (1, 30), (2, 4), (2, 5), (2, 5), (1, 2))]
+    order = [[rows[2], rows[3]], [rows[1], rows[4], rows[5]], [rows[0], rows[6]], [(9, 9, 0, at(9000))]]
+    got = RUN.run_stateful(lambda: O.track_coast(batches_of(spark, schema, order), frame_ms=1000), spark, "coast_out").filter("video_id = 1")
+    boxes = spark.createDataFrame(rows, schema).select("video_id", "track_id", "frame_idx").distinct()
+    want = TM.track_coast(boxes, hold=8)
+    key = ["video_id", "track_id", "frame_idx", "drawn_idx", "held"]
+    assert rows_of(got, key) == rows_of(want, key)
+
+
+def rows_of(df, columns):
+    return sorted(tuple(r) for r in df.select(*columns).collect())
+
+
+def test_owner_stream_tells_unowned_logos(spark):
+    logo, person = "video_id bigint, ts timestamp, det_id string, cx double, cy double", "video_id bigint, ts timestamp, person_id string, x1 double, y1 double, x2 double, y2 double"
+    logos = [(1, at(0), "in", 5.0, 5.0), (1, at(1), "near", 12.0, 5.0), (1, at(1), "far", 900.0, 5.0), (9, at(9000), "", 0.0, 0.0)]
+    persons = [(1, at(0), "small", 0.0, 0.0, 10.0, 10.0), (1, at(0), "big", 0.0, 0.0, 99.0, 99.0), (1, at(1), "small", 0.0, 0.0, 10.0, 10.0), (9, at(9000), "", 0.0, 0.0, 1.0, 1.0)]
+    out = O.logo_owners(batches_of(spark, logo, [logos[2:3], logos[:2], logos[3:]]), batches_of(spark, person, [persons[2:3], persons[:2], persons[3:]]), "1 minute")
+    got = RUN.run_append(out, "owners").filter("video_id = 1")
+    assert {r.det_id: r.person_id for r in got.collect()} == {"in": "small", "near": "small", "far": None}
+
+
+def test_progress_counts_brands_over_batches(spark):
+    rows = [[(1, at(0), 1, "a", 1.0), (2, at(1), 1, "b", 0.0)], [(3, at(2), 1, "c", 1.0), (4, at(3), 1, "a", 0.0)]]
+    table = RUN.progress_table(batches_of(spark, EVENT, rows), "progress", "brand_key", {"hits": F.count(F.lit(1)), "kept": F.count_if(F.col("value") >= 1)})
+    got = table.agg(F.count_distinct("brand_key").alias("brands"), F.sum("hits").alias("hits"), F.sum("kept").alias("kept")).first()
+    assert tuple(got) == (3, 4, 2)
 
 
 def test_auc_counts_pairs(spark):
