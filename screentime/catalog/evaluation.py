@@ -91,7 +91,17 @@ def clip_split(t):
     return D.group_aware_split(images, with_split(t).select("image_id", "class_id"))
 
 
-@query("group_aware_split")
+@query("group_aware_split", """
+WITH c AS (SELECT o_orderkey % 37 AS clip, count(*) AS n FROM orders GROUP BY 1),
+p AS (SELECT seed, clip, n, md5(seed || '-' || clip) AS pos FROM c, range(0, 200) g(seed)),
+s AS (SELECT seed, clip, n, CASE WHEN coalesce(sum(n) OVER (PARTITION BY seed ORDER BY pos, clip ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+      < sum(n) OVER (PARTITION BY seed) * CAST(0.18 AS DOUBLE) THEN 'val' ELSE 'train' END AS split FROM p),
+k AS (SELECT o_orderkey % 37 AS clip, l_linenumber AS class_id, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2),
+b AS (SELECT seed, count(*) FILTER (WHERE tr < n * CAST(0.6 AS DOUBLE)) AS bad FROM (
+      SELECT seed, class_id, sum(CASE WHEN split = 'train' THEN k.n ELSE 0 END) AS tr, sum(k.n) AS n FROM s JOIN k USING (clip) GROUP BY 1, 2) x GROUP BY 1),
+d AS (SELECT seed, round(abs(sum(CASE WHEN split = 'val' THEN n ELSE 0 END) / CAST(sum(n) AS DOUBLE) - CAST(0.18 AS DOUBLE)), 12) AS dev FROM s GROUP BY 1),
+best AS (SELECT seed FROM b JOIN d USING (seed) ORDER BY bad, dev, seed LIMIT 1)
+SELECT CAST(seed AS INT) AS seed, clip, split FROM s WHERE seed = (SELECT seed FROM best)""")
 def group_aware_split(t):
     return clip_split(t)
 
@@ -142,12 +152,37 @@ def bucket_topk(t):
     return S.bucket_topk(FO.with_composite(t.frames()), 10).select("video_id", "frame_idx", "bucket", "rank")
 
 
-@query("diverse_topk")
+_ORDERED = _COMP + """,
+v_list AS (SELECT video_id, list(struct_pack(i := frame_idx, t := time_s, h := phash, b := bucket, r := rn) ORDER BY rn) AS f FROM (
+  SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY round(composite, 9) DESC, frame_idx) AS rn,
+         CASE WHEN max_target_h >= 0.5 THEN 'closeup' WHEN max_target_h >= 0.3 THEN 'medium' ELSE 'wide' END AS bucket FROM v_comp) o GROUP BY 1)"""
+
+
+def _fold(frames: str, start: str, limit: int, hamming: int, spacing: float, more: str = "true") -> str:
+    """SQL that accepts frames one by one: room, no conflict with an accepted frame, and ``more``."""
+    bits = " + ".join(f"CAST(bit_count(xor(a.h[{i}], x.h[{i}])) AS BIGINT)" for i in (1, 2, 3, 4))
+    clash = f"len(list_filter(acc, lambda a: abs(a.t - x.t) < {spacing} OR {bits} < {hamming})) > 0"
+    return f"list_reduce({frames}, lambda acc, x: CASE WHEN len(acc) < {limit} AND {more} AND NOT {clash} THEN list_append(acc, x) ELSE acc END, {start})"
+
+
+_QUOTA = "CASE {0}.b WHEN 'wide' THEN 1 ELSE 3 END"
+
+
+@query("diverse_topk", with_views("frame", extra=_ORDERED) + f""",
+v_first AS (SELECT video_id, f, {_fold("f", "list_filter(f, lambda y: false)", 8, 10, 2.0, "len(list_filter(acc, lambda q: q.b = x.b)) < " + _QUOTA.format("x"))} AS chosen FROM v_list),
+v_later AS (SELECT video_id, chosen, list_filter(f, lambda y: len(list_filter(chosen, lambda q: q.b = y.b AND q.r < y.r)) >= {_QUOTA.format("y")}) AS later FROM v_first)
+SELECT video_id, unnest(list_transform({_fold("later", "chosen", 8, 10, 2.0)}, lambda y: y.i)) AS frame_idx FROM v_later""")
 def diverse_topk(t):
     return S.diverse_topk(FO.with_composite(t.frames()), 8)
 
 
-@query("yield_guarantee")
+@query("yield_guarantee", with_views("frame", extra=_ORDERED) + """,
+v_tier AS (SELECT video_id, """ + ", ".join(
+    f"{_fold('f', 'list_filter(f, lambda y: false)', 12, ham, gap)} AS t{i}" for i, (_, ham, gap) in enumerate(S.TIERS)
+) + """ FROM v_list),
+v_done AS (SELECT video_id, CASE """ + " ".join(f"WHEN len(t{i}) >= 8 THEN t{i}" for i in range(4)) + """ ELSE t3 END AS f,
+  CASE """ + " ".join(f"WHEN len(t{i}) >= 8 THEN '{name}'" for i, (name, _, _) in enumerate(S.TIERS)) + """ ELSE 'exhausted' END AS tier FROM v_tier)
+SELECT video_id, unnest(list_transform(f, lambda y: y.i)) AS frame_idx, tier FROM v_done""")
 def yield_guarantee(t):
     return S.yield_guarantee(FO.with_composite(t.frames()), 12, 8)
 

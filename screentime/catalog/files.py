@@ -58,7 +58,8 @@ def read_frame_scores_json(t):
 
 
 @query("read_coco", """
-SELECT CAST(l_linenumber AS BIGINT) AS class_id, count(*) AS n, sum(l_quantity * 4) AS width FROM lineitem GROUP BY 1""")
+SELECT CAST(l_linenumber AS BIGINT) AS class_id, 'class_' || l_linenumber AS name, count(*) AS n, sum(l_quantity * 4) AS width,
+       (SELECT count(*) FROM (SELECT o_orderkey FROM orders UNION SELECT l_orderkey FROM lineitem) i) AS images FROM lineitem GROUP BY 1, 2""")
 def read_coco(t):
     # One document per image: no task ever builds a document of the whole set.
     path = scratch_path(t.spark, "coco")
@@ -70,12 +71,13 @@ def read_coco(t):
         F.array(F.struct(F.col("image_id").alias("id"), F.concat(F.lit("clip_"), F.col("image_id").cast("string"), F.lit(".jpg")).alias("file_name"),
                          F.lit(1920).alias("width"), F.lit(1080).alias("height"))).alias("images"),
         F.coalesce("anns", F.array().cast(boxes.schema["anns"].dataType)).alias("annotations"),
-        F.array(F.struct(F.lit(1).cast("bigint").alias("id"), F.lit("logo").alias("name"))).alias("categories"),
+        F.transform(F.sequence(F.lit(1).cast("bigint"), F.lit(7).cast("bigint")), lambda i: F.struct(
+            i.alias("id"), F.concat(F.lit("class_"), i.cast("string")).alias("name"))).alias("categories"),
     )
     docs.write.json(path)
-    doc = t.spark.read.json(path, schema=FL.COCO_SCHEMA, mode="FAILFAST")
-    back = doc.select(F.explode("annotations").alias("a"))
-    return back.groupBy(F.col("a.category_id").alias("class_id")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("a.bbox")[2]).alias("width"))
+    images, ann, cats = FL.read_coco(t.spark, path, lines=True)
+    per_class = ann.groupBy("class_id").agg(F.count(F.lit(1)).alias("n"), F.sum("bw").alias("width"))
+    return per_class.join(cats.distinct(), "class_id").crossJoin(images.agg(F.count_distinct("image_id").alias("images")))
 
 
 @query("read_label_csv", "SELECT CASE quality WHEN 1 THEN 'good' ELSE 'bad' END AS label, count(*) AS n FROM labels GROUP BY 1")
