@@ -91,8 +91,12 @@ def read_label_csv(t):
     return FL.read_label_csv(t.spark, path).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("write_report_csv", with_views("ocr") + """
-SELECT video_id, count(DISTINCT sponsor) AS sponsors, CAST(count(DISTINCT (sponsor, time_s)) AS BIGINT) AS frames FROM v_ocr GROUP BY 1""")
+_EVEN = "round_even({0} * {1}, 0) / {1} AS {0}"
+
+
+@query("write_report_csv", with_views("ocr", extra=report._BEST + ",\n" + report._REPORT) + f"""
+SELECT video_id, sponsor, {_EVEN.format("total_seconds", "10.0")}, n_appearances, n_frames, {_EVEN.format("peak_area_pct", "1000.0")},
+       {_EVEN.format("first_seen_s", "10.0")}, {_EVEN.format("last_seen_s", "10.0")} FROM v_report""")
 def write_report_csv(t):
     path = scratch_path(t.spark, "report")
     rep = R.exposure_report(t.ocr(), report.SCOPE)
@@ -100,7 +104,7 @@ def write_report_csv(t):
     back = t.spark.read.csv(path, header=True, schema="video_id bigint, sponsor string, total_seconds double, n_appearances bigint, n_frames bigint, "
                             "avg_area_pct double, peak_area_pct double, area_seconds double, avg_cx double, avg_cy double, avg_ocr_conf double, "
                             "first_seen_s double, last_seen_s double")
-    return back.groupBy("video_id").agg(F.count(F.lit(1)).alias("sponsors"), F.sum("n_frames").alias("frames"))
+    return back.select("video_id", "sponsor", "total_seconds", "n_appearances", "n_frames", "peak_area_pct", "first_seen_s", "last_seen_s")
 
 
 @query("write_brand_csv", with_views("priced") + """

@@ -109,15 +109,16 @@ def exposure_report(
     )
 
 
+def printed() -> list[Column]:
+    """Report columns at their printed precision."""
+    digits = {"total_seconds": 1, "area_seconds": 2, "first_seen_s": 1, "last_seen_s": 1}
+    plain = ("sponsor", "n_appearances", "n_frames")
+    return [F.col(c) if c in plain else scaled_round(F.col(c), digits.get(c, 3)).alias(c) for c in REPORT_COLUMNS]
+
+
 def present_report(report: DataFrame) -> DataFrame:
     """The report at its printed precision, largest area-seconds first."""
-    digits = {"total_seconds": 1, "area_seconds": 2, "first_seen_s": 1, "last_seen_s": 1}
-    return report.select(
-        *[
-            F.col(c) if c in ("sponsor", "n_appearances", "n_frames") else F.round(c, digits.get(c, 3)).alias(c)
-            for c in REPORT_COLUMNS
-        ]
-    ).orderBy(F.col("area_seconds").desc(), "sponsor")
+    return report.select(*printed()).orderBy(F.col("area_seconds").desc(), "sponsor")
 
 
 def pct_of_match(report: DataFrame, processed_seconds: Column) -> DataFrame:
