@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from screentime.operators.scans import CHUNK_SECONDS, prefix_sums, previous
+from screentime.operators.scans import CHUNK_SECONDS, fill_forward, prefix_sums, previous
 
 TRACK = ["video_id", "track_id"]
 
@@ -87,15 +87,17 @@ def fold_states(
 
 
 def hysteresis_labels(
-    live: DataFrame, teams: list[str], hysteresis: float = HYSTERESIS, chunk: float = FOLD_SECONDS
+    live: DataFrame, teams: list[str], hysteresis: float = HYSTERESIS, chunk: float | None = None, carry: tuple[str, ...] = ()
 ) -> DataFrame:
-    """Label shown after each time of a track.
+    """Label shown after each time of a track, and the columns ``carry`` of ``live``.
 
     The first team with votes is taken; a rival replaces it only when its mass
     exceeds the current one by the factor. No votes yet shows the first team.
     """
     n = len(teams)
     mass = [F.col(f"cum_{x}") for x in teams]
+    if n == 2:
+        return _two_team_labels(live, teams, hysteresis, chunk or CHUNK_SECONDS).select(*TRACK, "t", *carry, "label")
     best = F.greatest(*mass) if n > 1 else mass[0]
     top = F.coalesce(*[F.when(m == best, F.lit(i)) for i, m in enumerate(mass)])
     voted = best > 0
@@ -103,9 +105,25 @@ def hysteresis_labels(
         *[F.when(voted & (top != i) & (best > mass[i] * hysteresis), top).otherwise(F.lit(i)) for i in range(n)],
         F.when(voted, top).otherwise(F.lit(n)),
     )
-    shown = fold_states(live, TRACK, "t", step, n + 1, n, chunk)
+    shown = fold_states(live, TRACK, "t", step, n + 1, n, chunk or FOLD_SECONDS)
+    if carry:
+        shown = live.select(*TRACK, "t", *carry).join(shown, [*TRACK, "t"])
     names = F.array(*[F.lit(x) for x in teams], F.lit(teams[0]))
-    return shown.select(*TRACK, "t", F.element_at(names, F.col("state") + 1).alias("label"))
+    return shown.select(*TRACK, "t", *carry, F.element_at(names, F.col("state") + 1).alias("label"))
+
+
+def _two_team_labels(live: DataFrame, teams: list[str], hysteresis: float, chunk: float) -> DataFrame:
+    """With two teams a time either decides the label, whatever it was, or leaves it: the last decision is shown.
+
+    A time decides when one team leads by the factor, and at a track's first votes.
+    """
+    a, b = (F.col(f"cum_{x}") for x in teams)
+    rows = previous(live.withColumn("__mass", a + b), TRACK, "t", {"__was": "__mass"}, chunk=chunk)
+    lead = F.when(a >= b, teams[0]).otherwise(teams[1])
+    clear = F.when(a >= b, a > b * hysteresis).otherwise(b > a * hysteresis)
+    opens = (F.col("__mass") > 0) & (F.coalesce("__was", F.lit(0.0)) <= 0)
+    decided = rows.withColumn("label", F.when(opens | clear, lead))
+    return fill_forward(decided, TRACK, ["t"], ["label"], chunk=chunk).withColumn("label", F.coalesce("label", F.lit(teams[0])))
 
 
 def embedding_refresh(

@@ -61,7 +61,7 @@ def label_persons(persons: DataFrame, logos: DataFrame, teams: tuple[str, ...] =
     votes = seen.filter("track_id >= 0").select(*keys, F.col("team_pred").alias("team"), F.coalesce(weight, F.lit(0.0)).alias("weight"))
     live = T.live_votes(votes, list(teams))
     mass = sum((F.col(f"cum_{x}") for x in teams[1:]), F.col(f"cum_{teams[0]}"))
-    told = live.select(*keys, mass.alias("vote_mass")).join(T.hysteresis_labels(live, list(teams)), keys)
+    told = T.hysteresis_labels(live.withColumn("vote_mass", mass), list(teams), carry=("vote_mass",))
     return seen.join(told, keys, "left").select(
         *seen.columns, F.coalesce("label", "team_pred", F.lit(teams[-1])).alias("team"), F.coalesce("vote_mass", F.lit(0.0)).alias("vote_mass")
     )
