@@ -121,3 +121,67 @@ def test_sql_functions_of_nulls_and_odd_frames(spark):
     assert spark.sql("SELECT st_visibility(0, 0, 5, 5, 1, 0, 0) AS v").first().v == 0.0
     got = spark.sql("SELECT st_placement(' Highlight ') AS a, st_placement(NULL) AS b, st_emv(10, 20, 1000, 'Radio') AS c").first()
     assert (got.a, got.b, got.c) == (1.4, 1.0, 200.0)
+
+
+def test_despaced_key_wins_over_the_whole_part(spark):
+    from screentime.operators import report
+
+    texts = spark.createDataFrame([("floor toni",), ("floortonic",), ("",), (None,)], "text string")
+    names = spark.createDataFrame([("floor tonic", "FLOOR TONIC"), ("floor toric", "FLOOR TORIC")], "key string, sponsor string")
+    got = {r.text: (r.sponsor, r.fuzzy) for r in report.match_sponsors(texts, names).collect()}
+    # spaced 95.24 counts as 95; despaced 90 stays behind it
+    assert got == {"floor toni": ("FLOOR TONIC", 95), "floortonic": ("FLOOR TONIC", 100)}
+    # 88.9 on both sides: the despaced key is above 88
+    same = spark.createDataFrame([("abcdx",)], "text string")
+    keys = spark.createDataFrame([("abcd", "B"), ("bcdx", "A"), ("a bcd", "C")], "key string, sponsor string")
+    assert report.match_sponsors(same, keys).first().sponsor == "B"
+
+
+def test_ratio_of_nulls_and_long_texts(spark):
+    from screentime.functions import text
+
+    rows = spark.createDataFrame([("ab" * 400, "ba" * 400), (None, "a"), ("", ""), ("a", "")], "a string, b string")
+    got = [r[0] for r in rows.select(text.indel_ratio(F.col("a"), F.col("b"))).collect()]
+    assert got == [100.0 * 799 / 800, None, 100.0, 0.0]
+
+
+def test_voting_advances_on_logo_frames_only(spark):
+    from screentime.plans import analysis
+
+    schema = "video_id bigint, t double, person_id string, track_id bigint, team_pred string, margin double, quality double, team string"
+    people = spark.createDataFrame(
+        [
+            (1, 0.0, "a", 5, "other", 0.75, 9.0, "x"),  # no logo here: not counted
+            (1, 1.0, "a", 5, "target", 0.75, 1.0, "x"),
+            (1, 2.0, "a", 5, None, None, None, "x"),
+            (1, 2.0, "b", -1, "target", 0.75, 1.0, "x"),
+            (1, 2.0, "c", None, None, 0.0, 0.0, "x"),
+            (1, 3.0, "a", 5, "other", 0.75, 1.2, "x"),
+            (1, 4.0, "a", 5, "other", 0.75, 0.2, "x"),
+        ],
+        schema,
+    )
+    logos = spark.createDataFrame([(1, t) for t in (1.0, 2.0, 3.0, 4.0, 4.0)], "video_id bigint, t double")
+    got = sorted((r.t, r.person_id, r.team, round(r.vote_mass, 6)) for r in analysis.label_persons(people, logos).collect())
+    assert got == [
+        (1.0, "a", "target", 1.0), (2.0, "a", "target", 1.0), (2.0, "b", "target", 0.0), (2.0, "c", "other", 0.0),
+        (3.0, "a", "target", 2.2), (4.0, "a", "other", 2.4),
+    ]
+
+
+def test_analysis_classifies_persons_from_features(spark):
+    from screentime.plans import analysis
+
+    refs = spark.createDataFrame([("target", [1.0, 0.0], [1.0, 0.0]), ("other", [0.0, 1.0], [0.0, 1.0])], "team string, embedding array<double>, color array<double>")
+    box = "x1 double, y1 double, x2 double, y2 double"
+    people = spark.createDataFrame(
+        [(1, 0.0, "p", 1, 1.0, [1.0, 0.0], [1.0, 0.0], 0.0, 0.0, 100.0, 100.0), (1, 0.0, "q", 2, 9.0, [0.0, 1.0], [0.0, 1.0], 500.0, 0.0, 600.0, 100.0)],
+        f"video_id bigint, t double, person_id string, track_id bigint, quality double, embedding array<double>, color array<double>, {box}",
+    )
+    logo = "video_id bigint, t double, det_id string, brand_key string, track_id bigint, cx double, cy double, w double, h double, conf double"
+    logos = spark.createDataFrame([(1, 0.0, "l", "kept", 0, 50.0, 50.0, 40.0, 20.0, 0.9), (1, 0.0, "m", "gone", 0, 550.0, 50.0, 40.0, 20.0, 0.9)], logo)
+    logos = logos.withColumns({"frame_w": F.lit(1920.0), "frame_h": F.lit(1080.0)})
+    kept = analysis.keep_team(
+        logos, analysis.label_persons(analysis.VO.classify(people, refs, 0.6, 0.4), logos), ["video_id", "t", "det_id"], analysis.Settings()
+    )
+    assert [r.brand_key for r in kept.collect()] == ["kept"]
