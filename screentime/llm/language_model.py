@@ -15,7 +15,6 @@ from screentime.llm.common import REMEMBERED_WORDS, arrow_map, batch, broadcast,
 
 #: Closes a text; white space, so it occurs in no word.
 END = b"\n"
-_MEMORY_BITS = 21
 #: Distinct keys a counting task holds before it hands them on.
 _HELD = 2_000_000
 
@@ -70,24 +69,31 @@ _END_HASH = _word_hash(END)
 
 
 def corpus_counts(rows: DataFrame, depth: int) -> DataFrame:
-    """(kind, key, n): word counts (kind 0, by 64-bit hash) and byte-context counts (kind 1) over whole texts."""
+    """(kind, key, n, seen): word counts (kind 0, by 64-bit hash) and byte-context counts (kind 1) over whole texts.
+
+    A second column of ``rows`` tells which texts count in ``n``; ``seen`` counts the byte contexts of all.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tallies, hashes = (_Tally(), _Tally()), {}
+        # words, byte contexts, byte contexts of texts that are not learned
+        tallies, hashes = (_Tally(), _Tally(), _Tally()), {}
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for kind, tally in enumerate(tallies):
+            for place, tally in enumerate(tallies):
                 keys, counts = tally.take()
                 for at in range(0, len(keys), 100_000):
-                    part = keys[at : at + 100_000].view(np.int64)
-                    yield batch(["kind", "key", "n"], np.full(len(part), kind, np.int32), part, counts[at : at + 100_000].astype(np.int64))
+                    part, seen = keys[at : at + 100_000].view(np.int64), counts[at : at + 100_000].astype(np.int64)
+                    kind = np.full(len(part), min(place, 1), np.int32)
+                    yield batch(["kind", "key", "n", "seen"], kind, part, seen * (place < 2), seen)
 
         for b in batches:
-            strings, words = [], []
-            for text in texts(b.column(0)):
+            learn = b.column(1).to_pylist() if b.num_columns > 1 else [True] * b.num_rows
+            strings, others, words = [], [], []
+            for text, learned in zip(texts(b.column(0)), learn):
                 found, string = canonical(text)
-                strings.append(string)
-                words.extend(found)
+                (strings if learned else others).append(string)
+                if learned:
+                    words.extend(found)
             known = []
             for w in words:
                 h = hashes.get(w)
@@ -97,13 +103,15 @@ def corpus_counts(rows: DataFrame, depth: int) -> DataFrame:
             known.extend([_END_HASH] * len(strings))
             tallies[0].add(np.array(known, np.uint64))
             tallies[1].add(gram_codes(strings, depth)[0])
+            tallies[2].add(gram_codes(others, depth)[0])
             if len(hashes) > REMEMBERED_WORDS:
                 hashes.clear()
             if sum(t.held for t in tallies) > _HELD:
                 yield from flush()
         yield from flush()
 
-    return arrow_map(rows, run, "kind int, key bigint, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    counted = arrow_map(rows, run, "kind int, key bigint, n bigint, seen bigint").groupBy("kind", "key")
+    return counted.agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"))
 
 
 def _log_gamma(x: Column) -> Column:
@@ -119,15 +127,13 @@ def _kt(zeros: str, ones: str) -> Column:
     return _log_gamma(a + 0.5) + _log_gamma(b + 0.5) - _log_gamma(a + b + 1) - float(np.log(np.pi))
 
 
-def context_tree(grams: DataFrame, depth: int, node_share: float) -> DataFrame:
-    """(key, one, own): nodes of the weighted tree that hold ``node_share`` of all bytes at least.
+def tree_levels(grams: DataFrame, depth: int) -> list[DataFrame]:
+    """(context, node, zeros, ones, weighted, own) of every node, one table per context length from 0 to ``depth``.
 
     A byte is eight binary decisions; a node is a context of 0 to ``depth`` bytes and the
-    bits decided so far. ``one`` is the estimate for a one, ``own`` the node's weight
-    against its longer contexts. Weights come from all contexts, bottom up; per depth
-    and bit position at most ``1 / node_share`` nodes pass.
+    bits decided so far. ``own`` is the node's weight against its longer contexts. Weights
+    come from all contexts, bottom up; contexts with n = 0 get nodes that weigh nothing.
     """
-    total = grams.agg(F.sum("n")).first()[0] or 0
     bits = F.explode(F.sequence(F.lit(0), F.lit(7))).alias("j")
     byte = F.col("key").bitwiseAND(F.lit(255))
     counted = grams.select(F.shiftrightunsigned("key", 8).alias("context"), byte.alias("byte"), "n", bits).select(
@@ -136,7 +142,7 @@ def context_tree(grams: DataFrame, depth: int, node_share: float) -> DataFrame:
         F.expr("CASE WHEN shiftrightunsigned(byte, 7 - j) & 1 = 0 THEN n ELSE 0 END").alias("zeros"),
         F.expr("CASE WHEN shiftrightunsigned(byte, 7 - j) & 1 = 1 THEN n ELSE 0 END").alias("ones"),
     )
-    kept = None
+    levels = []
     level = counted.groupBy("context", "node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
     level = level.withColumn("weighted", _kt("zeros", "ones")).withColumn("own", F.lit(1.0))
     for d in range(depth, -1, -1):
@@ -149,6 +155,18 @@ def context_tree(grams: DataFrame, depth: int, node_share: float) -> DataFrame:
             both = top + F.log(F.exp(F.col("kt") - top) + F.exp(F.col("longer") - top))
             level = level.select("context", "node", "zeros", "ones", (both - float(np.log(2))).alias("weighted"), F.exp(F.col("kt") - both).alias("own"))
         level = table(level, "context-level")
+        levels.append(level)
+    return levels[::-1]
+
+
+def context_tree(grams: DataFrame, depth: int, node_share: float) -> DataFrame:
+    """(key, one, own): nodes of the weighted tree that hold ``node_share`` of all bytes at least, for a :class:`ContextTree`.
+
+    ``one`` is the estimate for a one. Per depth and bit position at most ``1 / node_share`` nodes pass.
+    """
+    total = grams.agg(F.sum("n")).first()[0] or 0
+    kept = None
+    for d, level in enumerate(tree_levels(grams, depth)):
         count = F.col("zeros") + F.col("ones")
         key = F.shiftleft("context", 8).bitwiseOR(F.col("node")).bitwiseOR(F.lit(d << 56))
         part = level.where(count >= max(1.0, total * node_share)).select(
@@ -158,14 +176,44 @@ def context_tree(grams: DataFrame, depth: int, node_share: float) -> DataFrame:
     return kept
 
 
-class ContextTree:
-    """Frozen weighted tree: code length of a byte after its context."""
+def code_values(grams: DataFrame, depth: int) -> DataFrame:
+    """(key, seen, value): log10 probability of the last byte of every code in ``grams`` (key, n, seen) under the whole tree.
 
-    def __init__(self, keys: np.ndarray, one: np.ndarray, own: np.ndarray, depth: int):
-        self.depth = depth
+    Top down, every node takes over what the shorter contexts have mixed so far; where a
+    context was never learned, the longest learned one stands in for it.
+    """
+    count = F.col("zeros") + F.col("ones")
+    learned, one = count > 0, (F.col("ones") + 0.5) / (count + 1.0)
+    above = None
+    for d, level in enumerate(tree_levels(grams, depth)):
+        if above is None:
+            level = level.withColumns({"chance0": F.lit(0.0), "rest0": F.lit(1.0), "last0": F.lit(0.5)})
+        else:
+            shorter = F.col("context").bitwiseAND(F.lit((1 << (8 * (d - 1))) - 1))
+            level = level.withColumn("shorter", shorter).join(above, ["shorter", "node"])
+        above = level.select(
+            F.col("context").alias("shorter"), "node",
+            F.when(learned, F.col("chance0") + F.col("rest0") * F.col("own") * one).otherwise(F.col("chance0")).alias("chance0"),
+            F.when(learned, F.col("rest0") * (1 - F.col("own"))).otherwise(F.col("rest0")).alias("rest0"),
+            F.when(learned, one).otherwise(F.col("last0")).alias("last0"),
+        )
+    entry = F.struct("node", (F.col("chance0") + F.col("rest0") * F.col("last0")).alias("p"))
+    nodes = above.groupBy(F.col("shorter").alias("context")).agg(F.map_from_entries(F.collect_list(entry)).alias("nodes"))
+    codes = grams.select("key", "seen", F.shiftrightunsigned("key", 8).alias("context"), F.col("key").bitwiseAND(F.lit(255)).alias("byte"))
+    value = F.lit(0.0)
+    for j in range(8):
+        p = F.expr(f"element_at(nodes, {1 << j}L | shiftrightunsigned(byte, {8 - j}))")
+        value = value + F.log10(F.when(F.expr(f"shiftrightunsigned(byte, {7 - j}) & 1 = 1"), p).otherwise(1 - p))
+    return codes.join(nodes, "context").select("key", "seen", value.alias("value"))
+
+
+class _Slots:
+    """Open addressing over 64-bit keys other than 0; ``columns`` of values stand in the slots of their keys."""
+
+    def __init__(self, keys: np.ndarray, *columns: np.ndarray):
         self.bits = max(4, int(np.ceil(np.log2(2 * len(keys) + 1))))
         self.keys = np.zeros(1 << self.bits, np.uint64)
-        self.one, self.own = np.zeros(1 << self.bits, np.float32), np.zeros(1 << self.bits, np.float32)
+        self.columns = [np.zeros(1 << self.bits, c.dtype) for c in columns]
         left = np.arange(len(keys))
         spot = self._home(keys)
         while len(left):
@@ -173,7 +221,9 @@ class ContextTree:
             free = self.keys[spot[left]] == 0
             _, first = np.unique(spot[left][free], return_index=True)
             win = left[free][first]
-            self.keys[spot[win]], self.one[spot[win]], self.own[spot[win]] = keys[win], one[win], own[win]
+            self.keys[spot[win]] = keys[win]
+            for column, values in zip(self.columns, columns):
+                column[spot[win]] = values[win]
             left = np.setdiff1d(left, win, assume_unique=True)
             spot[left] = (spot[left] + 1) & ((1 << self.bits) - 1)
 
@@ -181,7 +231,7 @@ class ContextTree:
         return (mix(keys) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
-        """Slot of each key, -1 where it is not held (no key is 0: a node number is at least 1)."""
+        """Slot of each key, -1 where it is not held."""
         spot, out = self._home(keys), np.full(len(keys), -1, np.int64)
         left = np.arange(len(keys))
         while len(left):
@@ -192,6 +242,14 @@ class ContextTree:
             spot[left] = (spot[left] + 1) & ((1 << self.bits) - 1)
         return out
 
+
+class ContextTree(_Slots):
+    """Frozen weighted tree in memory: code length of a byte after its context. No key is 0: a node number is at least 1."""
+
+    def __init__(self, keys: np.ndarray, one: np.ndarray, own: np.ndarray, depth: int):
+        super().__init__(keys, one, own)
+        self.depth, (self.one, self.own) = depth, self.columns
+
     def log10(self, codes: np.ndarray) -> np.ndarray:
         """Log10 probability of the last byte of each code after the bytes before it."""
         byte, context = codes & np.uint64(255), codes >> np.uint64(8)
@@ -216,27 +274,6 @@ class ContextTree:
         return total
 
 
-class _Memory:
-    """Direct-mapped memory of recent codes' values: the frozen model gives a code the same value every time."""
-
-    def __init__(self, tree: ContextTree):
-        self.tree, self.keys = tree, np.full(1 << _MEMORY_BITS, np.uint64(2**64 - 1), np.uint64)
-        self.values = np.zeros(1 << _MEMORY_BITS, np.float32)
-
-    def log10(self, codes: np.ndarray) -> np.ndarray:
-        home = (mix(codes) >> np.uint64(64 - _MEMORY_BITS)).astype(np.int64)
-        out = self.values[home]
-        miss = np.flatnonzero(self.keys[home] != codes)
-        if len(miss):
-            new, where = np.unique(codes[miss], return_inverse=True)
-            value = self.tree.log10(new).astype(np.float32)
-            out[miss] = value[where]
-            home = (mix(new) >> np.uint64(64 - _MEMORY_BITS)).astype(np.int64)
-            _, last = np.unique(home, return_index=True)  # one key a spot
-            self.keys[home[last]], self.values[home[last]] = new[last], value[last]
-        return out
-
-
 @dataclass
 class Frequent:
     """Counts of words above a share of all tokens, by sorted hash."""
@@ -255,7 +292,7 @@ def score_texts(
     text_col: str = "ocr_text",
     learn_from: Column | None = None,
     depth: int = 5,
-    node_share: float = 2.0**-19,
+    code_share: float = 2.0**-21,
     word_share: float = 2.0**-21,
 ) -> DataFrame:
     """Log10 probability of every whole OCR transcript under context-tree weighting.
@@ -263,10 +300,11 @@ def score_texts(
     The model is learned from the rows where ``learn_from`` holds (all by default). A
     text is its lower-cased (A-Z) words ``[^\\x20\\x09-\\x0D]+`` joined by one space, then
     an end. Each byte is eight binary decisions; every decision mixes the estimates of
-    contexts of 0 to ``depth`` bytes with the weights of the tree. Counts come from all
-    training bytes; nodes with less than ``node_share`` of them are not kept for scoring,
-    where the longest kept context stands in for them. That bounds the broadcast to
-    ``8 (depth + 1) / node_share`` nodes.
+    contexts of 0 to ``depth`` bytes with the weights of the tree. Counts and nodes of all
+    training bytes take part; the longest learned context stands in for longer ones that
+    training does not hold. Each distinct code (a byte and its ``depth`` predecessors) of
+    the texts is valued once. Values of codes above ``code_share`` of all bytes (at most
+    ``1 / code_share``) are broadcast; other codes meet theirs in a join.
 
     The base sums log10((c + 0.5) / (N + 0.5 (V + 1))) over tokens: words and one end.
     Words above ``word_share`` of all tokens (at most ``1 / word_share``) are broadcast;
@@ -281,23 +319,23 @@ def score_texts(
     rows = transcripts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), learn.alias("learn"))
     kind = rows.schema["id"].dataType.simpleString()
 
-    counts = table(corpus_counts(rows.where("learn").select("text"), depth), "corpus-counts")
+    counts = table(corpus_counts(rows.select("text", "learn"), depth), "corpus-counts")
     words = counts.where("kind = 0").select("key", "n")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    nodes = context_tree(counts.where("kind = 1").select("key", "n"), depth, node_share).toArrow()
-    tree = ContextTree(
-        nodes.column("key").to_numpy().view(np.uint64), nodes.column("one").to_numpy(), nodes.column("own").to_numpy(), depth
-    )
+    values = table(code_values(counts.where("kind = 1"), depth), "code-values")
+    n_codes = values.agg(F.coalesce(F.sum("seen"), F.lit(0))).first()[0]
+    usual = values.where(F.col("seen") >= max(1.0, n_codes * code_share)).select("key", "value").toArrow()
+    # a code can be 0, a key of the slots cannot
+    codes = _Slots(usual.column("key").to_numpy().view(np.uint64) + np.uint64(1), usual.column("value").to_numpy())
     often = words.where(F.col("n") >= max(1.0, total * word_share)).toArrow()
     hashes, many = often.column("key").to_numpy().view(np.uint64), often.column("n").to_numpy()
     order = np.argsort(hashes)
-    shared = broadcast(spark, (tree, Frequent(hashes[order], many[order])))
+    shared = broadcast(spark, (codes, Frequent(hashes[order], many[order])))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        tree, often = shared.value
-        memory = _Memory(tree)
+        usual, often = shared.value
         known: dict[bytes, float] = {}
         rare: list[int] = []
         row = TaskContext.get().partitionId() << 40
@@ -329,22 +367,27 @@ def score_texts(
                 n_known.append(int(len(values) - seldom.sum()))
                 base.append(float(values[~seldom].sum()))
                 others.append([rare[int(-1 - v)] for v in values[seldom]])
-            codes, first = gram_codes(strings, tree.depth)
-            scores = np.add.reduceat(memory.log10(codes).astype(np.float64), first) if len(strings) else np.zeros(0)
+            codes, first = gram_codes(strings, depth)
+            slot = usual.find(codes + np.uint64(1))
+            scores = np.add.reduceat(np.where(slot >= 0, usual.columns[0][slot], 0.0), first) if len(strings) else np.zeros(0)
+            ends = np.append(0, np.cumsum(np.add.reduceat((slot < 0).astype(np.int64), first))) if len(strings) else np.zeros(1, np.int64)
+            unusual = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(codes[slot < 0].view(np.int64)))
             ids = pa.array(np.arange(row, row + len(strings), dtype=np.int64))
             row += len(strings)
             yield batch(
-                ["row", "id", "n_tokens", "n_known", "base", "score", "bytes", "others"],
+                ["row", "id", "n_tokens", "n_known", "base", "score", "bytes", "others", "unusual"],
                 ids, b.column("id"), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()),
-                pa.array(scores), pa.array([len(s) for s in strings], pa.int64()), pa.array(others, pa.list_(pa.int64())),
+                pa.array(scores), pa.array([len(s) for s in strings], pa.int64()), pa.array(others, pa.list_(pa.int64())), unusual,
             )
 
-    schema = f"row bigint, id {kind}, n_tokens bigint, n_known bigint, base double, score double, bytes bigint, others array<bigint>"
+    schema = f"row bigint, id {kind}, n_tokens bigint, n_known bigint, base double, score double, bytes bigint, others array<bigint>, unusual array<bigint>"
     # row numbers belong to this table once it is written
     scored = table(arrow_map(rows.select("id", "text"), score, schema), "scored")
     seldom = scored.select("row", F.explode("others").alias("key")).join(words, "key", "left")
     seldom = seldom.groupBy("row").agg(F.count("n").alias("more_known"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("more_base"))
-    out = scored.drop("others").join(seldom, "row", "left")
+    unusual = scored.select("row", F.explode("unusual").alias("key")).join(values, "key").groupBy("row").agg(F.sum("value").alias("more_score"))
+    out = scored.drop("others", "unusual").join(seldom, "row", "left").join(unusual, "row", "left")
+    out = out.withColumn("score", F.col("score") + F.coalesce("more_score", F.lit(0.0)))
     floor = F.log10(F.lit(total + 0.5 * (distinct + 1)))
     return out.select(
         F.col("id").alias(id_col), "n_tokens",

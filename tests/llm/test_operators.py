@@ -3,6 +3,8 @@
 import hashlib
 import re
 import zlib
+from collections import Counter
+from math import lgamma, log, pi
 
 import numpy as np
 import pytest
@@ -188,6 +190,67 @@ def test_tree_gives_a_distribution_over_bytes(transcripts):
         assert (10 ** tree.log10(codes)).sum() == pytest.approx(1, abs=1e-6)
 
 
+def unpruned_tree_score(learned, scored, depth):
+    """Context-tree weighting by recursion over every context of the learned byte strings."""
+    pad, counts, memo = b"\n" * depth, {}, {}
+    for s, times in Counter(learned).items():
+        s = pad + s
+        for at in range(depth, len(s)):
+            for j in range(8):
+                for d in range(depth + 1):
+                    n = counts.setdefault((s[at - d : at], 1 << j | s[at] >> (8 - j)), [0, 0])
+                    n[s[at] >> (7 - j) & 1] += times
+    longer = {}
+    for c, node in counts:
+        if c:
+            longer.setdefault((c[1:], node), []).append((c, node))
+
+    def kt(a, b):
+        return lgamma(a + 0.5) + lgamma(b + 0.5) - lgamma(a + b + 1) - log(pi)
+
+    def weighted(at):
+        if at not in memo:
+            own = kt(*counts[at])
+            rest = sum(map(weighted, longer.get(at, ())))
+            memo[at] = (own if len(at[0]) == depth else np.logaddexp(own, rest) - log(2)), own, rest
+        return memo[at][0]
+
+    def one(context, node, d=0, above=0.5):
+        at = (context[len(context) - d :], node)
+        if at not in counts:
+            return above
+        mine = (counts[at][1] + 0.5) / (sum(counts[at]) + 1)
+        if d == depth:
+            return mine
+        weighted(at)
+        share = np.exp(memo[at][1] - np.logaddexp(memo[at][1], memo[at][2]))
+        return share * mine + (1 - share) * one(context, node, d + 1, mine)
+
+    out = []
+    for s in scored:
+        s, total = pad + s, 0.0
+        for at in range(depth, len(s)):
+            for j in range(8):
+                p = one(s[at - depth : at], 1 << j | s[at] >> (8 - j))
+                total += np.log10(p if s[at] >> (7 - j) & 1 else 1 - p)
+        out.append(total)
+    return out
+
+
+@pytest.mark.parametrize("code_share", [2.0**-21, 1e-3, 2.0])
+def test_every_context_of_the_corpus_takes_part(spark, code_share):
+    # more than 2^19 learned bytes, in which the contexts of the odd text stand once; a NUL gives the code 0
+    rows = [(i, "common words that stand in every row " * 50) for i in range(400)]
+    odd = [(900, "Zebra quux \0\0\0\0\0\0\0 vexing"), (901, "zebra quux vexing jolt"), (902, None)]
+    learn = (F.col("video_id") != 901) & (F.col("video_id") != 902)
+    got = by_id(language_model.score_texts(
+        spark.createDataFrame(rows + odd, "video_id bigint, ocr_text string"), learn_from=learn, depth=3, code_share=code_share
+    ))
+    strings = {i: language_model.canonical((t or "").encode())[1] for i, t in rows + odd}
+    want = unpruned_tree_score([strings[i] for i in strings if i < 901], [strings[i] for i in (0, 900, 901, 902)], 3)
+    assert [got[i].score for i in (0, 900, 901, 902)] == pytest.approx(want, rel=1e-6)
+
+
 def test_quality_learns_and_scores_every_row(spark, transcripts, empty):
     rng = np.random.default_rng(1)
     good = [(i, " ".join(f"w{k}" for k in rng.integers(0, 400, 60)), 1) for i in range(80)]
