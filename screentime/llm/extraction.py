@@ -35,27 +35,74 @@ CHROME_NAMES = re.compile(
     r"popup|promo\w*|related|replies|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[-_\s\d])",
     re.I,
 )
+# Class words that say how a page is laid out, and the wrappers that are never chrome by their names.
+LAYOUT_NAMES = re.compile(r"(?:has|no|with|without|is|hide|show)[-_].*|.*[-_](?:open|opened|closed|enabled|disabled)", re.I)
+WRAPPERS = frozenset("html body main".split())
+#: Chrome that an article inside does not end.
+FIRM = frozenset("aside footer head menu nav".split())
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+# What a start tag ends when it is the innermost open element, and end tags that reach past open zone elements.
+ENDS = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+REACHING = BLOCKS - frozenset("p li dd dt option h1 h2 h3 h4 h5 h6".split())
 
 WORD_LIMIT, TAG_LIMIT = 4.0, 0.6
 
 
+def _chrome_name(name: str, label: str) -> bool:
+    """Whether class, id or role of an element name a zone that is not the article."""
+    return name not in WRAPPERS and any(CHROME_NAMES.search(w) and not LAYOUT_NAMES.fullmatch(w) for w in label.split())
+
+
+class _Open:
+    """An open element: the chrome, article and zone element it stands in, itself included."""
+
+    __slots__ = ("name", "chrome", "firm", "article", "plain")
+
+    def __init__(self, name: str, chrome: str | None, firm: bool, article: str | None, plain: str):
+        self.name, self.chrome, self.firm, self.article, self.plain = name, chrome, firm, article, plain
+
+    @property
+    def zone(self) -> str:
+        return self.chrome or self.article or self.plain
+
+
 def page_tokens(page: str) -> Iterator[tuple[str, str, str]]:
     """("tag", name, zone) and ("text", decoded text, zone) in page order.
 
-    A zone is the innermost open zone element, with its first class, id or role. Zones
-    inside a chrome zone keep that chrome zone. Unclosed elements end with their parent.
+    A zone is the innermost open zone element, with its classes, ids and roles, or any
+    element that these name as chrome. Zones inside a chrome zone keep that chrome zone.
+    The first article or main of a page ends the chrome of the elements around it, unless
+    they are ``FIRM``: they only lay the page out. Unclosed elements end with their parent.
     """
-    stack: list[tuple[str, str]] = []
-
-    def zone() -> str:
-        # chrome wins over what it holds; a header of the article itself is no chrome
-        inside = False
-        for name, label in stack:
-            chrome = name in CHROME or bool(CHROME_NAMES.search(label.partition(".")[2]))
-            if chrome and not (name == "header" and inside):
-                return label
-            inside = inside or name in ("article", "main")
-        return next((label for name, label in reversed(stack) if name in ("article", "main")), stack[-1][1] if stack else "page")
+    root = _Open("", None, False, None, "page")
+    stack = [root]
+    reached = False
+
+    def start(name: str, attributes: str) -> None:
+        nonlocal reached
+        around = stack[-1]
+        values = [next((v for v in m.groups() if v), "").strip().lower() for m in _NAMED.finditer(attributes)] if "=" in attributes else []
+        value = " ".join(v for v in values if v)
+        label = f"{name}.{value}" if value else name
+        named = bool(value) and _chrome_name(name, value)
+        text = name in ("article", "main")
+        if text and not named and not reached and around.chrome and not around.firm:
+            for e in stack:
+                e.chrome = None
+        chrome, firm = around.chrome, around.firm
+        # a header of the article itself is no chrome
+        if (name in CHROME or named) and not (name == "header" and around.article):
+            chrome, firm = chrome or label, firm or name in FIRM
+        reached = reached or (text and chrome is None)
+        stack.append(_Open(name, chrome, firm, label if text else around.article, label if name in ZONES else around.plain))
+
+    def end(name: str) -> None:
+        for i in range(len(stack) - 1, 0, -1):
+            if stack[i].name == name:
+                del stack[i:]
+                return
+            if stack[i].name in ZONES and name not in REACHING:
+                return
 
     at, current = 0, "page"
     for m in _TOKEN.finditer(page):
@@ -66,25 +113,26 @@ def page_tokens(page: str) -> Iterator[tuple[str, str, str]]:
         if not name:
             continue
         yield "tag", name, current
-        if name in ZONES:
-            if m[2]:
-                if any(open_name == name for open_name, _ in stack):
-                    while stack.pop()[0] != name:
-                        pass
-            elif not m[4].endswith("/"):
-                if name == "body":
-                    stack.clear()
-                named = _NAMED.search(m[4])
-                value = next((v for v in named.groups() if v), "") if named else ""
-                stack.append((name, f"{name}.{value.strip().lower()}" if value.strip() else name))
-            current = zone()
+        if name in VOID:
+            continue
+        if m[2]:
+            end(name)
+        elif not m[4].endswith("/"):
+            if name == "body":
+                del stack[1:]
+            if name in BLOCKS and stack[-1].name == "p":
+                stack.pop()
+            while stack[-1].name in ENDS.get(name, ()):
+                stack.pop()
+            start(name, m[4])
+        current = stack[-1].zone
     if at < len(page):
         yield "text", html_lib.unescape(page[at:]), current
 
 
 def _prior(zone: str) -> float:
     name, _, label = zone.partition(".")
-    if name in CHROME or CHROME_NAMES.search(label):
+    if name in CHROME or _chrome_name(name, label):
         return -0.2
     return 2.0 if name in ("article", "main") else 0.5
 
@@ -102,7 +150,7 @@ class RegionWeights:
         self.tags = {t: max(-TAG_LIMIT, min(-0.02, 0.1 * odds(*n) - 0.1)) for t, n in tags.items()}
 
     def word(self, zone: str) -> float:
-        return self.words.get(zone, _prior(zone))
+        return self.words.get(zone[:80], _prior(zone))
 
     def tag(self, name: str) -> float:
         return self.tags.get(name, -0.1)
@@ -161,7 +209,8 @@ def train_region_weights(pages: DataFrame, key_col: str = "page_id", html_col: s
         for b in batches:
             for page in b.column(0).to_pylist():
                 for kind, value, zone in page_tokens(page):
-                    inside = zone.partition(".")[0] in ("article", "main")
+                    name, _, label = zone.partition(".")
+                    inside = name in ("article", "main") and not _chrome_name(name, label)
                     if kind == "tag":
                         seen["tag", value, inside] += 1
                     else:

@@ -288,6 +288,26 @@ def test_main_text(spark):
     assert (got[2].text, got[3].text, got[5].text, got[3].n_chars) == ("", "", "", 0)
 
 
+BODY = "The council voted on Tuesday to keep the old bridge open for walkers"
+
+
+@pytest.mark.parametrize("page", [
+    f"<body class='single has-sidebar'><article><p>{BODY}</p></article></body>",
+    f"<body class='no-sidebar comments-open'><p>{BODY}</p></body>",
+    f"<body class='sidebar'><div class='sticky-header'><article><p>{BODY}</p></article></div></body>",
+    f"<body><div class='sticky-header'><div><main class='has-sidebar'><p>{BODY}</p></main></div></div></body>",
+    f"<body><form id='f'><article><p>{BODY}</p></article></form></body>",
+    f"<body><div id='x0' class='has-sidebar'><p>{BODY}</p></div></body>",
+    f"<body><article><p>{BODY}</p></article><div id='x1' class='comments'><p>I disagree with it all</p></div></body>",
+    f"<body><article><p>{BODY}</p></article><div class='related'><article><p>Another story to read</p></article></div></body>",
+    f"<body><ul id='top' class='menu'><li><ul><li>Home</ul><li>News</ul><p>{BODY}<p class='share'>Tell friends<div>more</div></body>".replace("<div>more</div>", ""),
+    f"<body><nav><article>Link list</article></nav><table role='navigation'><tr><td>a<td>b</table><div><p>{BODY}</p></div></body>",
+    f"<body><p>{BODY}<span class='share'><span>Like</span> this page</span></p></body>",
+])
+def test_main_text_of_laid_out_pages(page):
+    assert extraction.extract_text(page, extraction.RegionWeights({}, {})) == BODY
+
+
 def test_secrets(spark):
     rng = np.random.default_rng(5)
     alphabet = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
