@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +14,8 @@ from screentime.llm.common import Bitmap, WordHashes, arrow_map, batch, broadcas
 
 #: Values a sketch retains.
 SKETCH = 32
-#: Share of a sketch that a partner's sketch holds at least: 0.85 less six standard deviations of 32 draws.
-LEAST_SHARED = 0.47
+#: Chance at most with which a sketch test may miss a link at the threshold.
+MISSED = 1e-7
 #: Estimates this far below the threshold still go to the exact check (five standard deviations).
 ESTIMATE_MARGIN = 0.3
 #: Lists from this length on choose their first partner by full sets.
@@ -23,6 +24,16 @@ LONG_LIST = 32
 CLASS_RATIO = 0.96
 
 
+def least_shared(threshold_pct: int) -> int:
+    """Values of ``SKETCH`` that a linked pair shares but for a chance of ``MISSED``: lower binomial tail at the threshold."""
+    share, tail = threshold_pct / 100, 0.0
+    for k in range(SKETCH + 1):
+        tail += comb(SKETCH, k) * share**k * (1 - share) ** (SKETCH - k)
+        if tail > MISSED:
+            return max(1, k)
+    return SKETCH
+
+
 def shingle_set(text: bytes, hashes: WordHashes, size: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles of a text; the whole sequence if it is shorter."""
     words = text.lower().split()
@@ -130,13 +141,14 @@ def near_copies(
     )
 
     # nodes that share enough retained values with others, twice over
+    least = least_shared(threshold_pct)
     open_nodes = nodes
     for _ in range(2):
         values = open_nodes.select("node", F.size("sketch").alias("m"), F.explode("sketch").alias("v"))
         shared = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
         enough = (
             values.join(shared, "v").groupBy("node", "m").agg(F.count("*").alias("q"), F.avg("df").alias("typical"))
-            .where(F.col("q") >= F.ceil(LEAST_SHARED * F.col("m"))).select("node", "typical")
+            .where((F.col("q") >= least) | (100 * F.col("q") >= threshold_pct * F.col("m"))).select("node", "typical")
         )
         open_nodes = table(nodes.join(enough, "node"), "open-nodes")
     lists = table(open_nodes.select("node", "typical", F.explode("sketch").alias("v")).join(shared, "v"), "lists")

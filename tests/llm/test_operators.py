@@ -96,6 +96,13 @@ def test_near_copies_in_a_large_family(spark, copies):
     assert {k: r.component_id for k, r in found.items()} == group
 
 
+def test_near_copies_at_a_lower_threshold(spark):
+    # nested pairs at 0.61: the longer text goes on where the shorter ends
+    rows = [(2 * i + side, " ".join(f"p{i}w{k}" for k in range(304 if side else 187))) for i in range(100) for side in (0, 1)]
+    found = by_id(nearcopies.near_copies(spark.createDataFrame(rows, "video_id bigint, ocr_text string"), threshold_pct=60))
+    assert {k: r.component_id for k, r in found.items()} == {k: k - k % 2 for k, _ in rows}
+
+
 @pytest.mark.parametrize("hot", [{}, {"hot_least": 1, "hot_share": 10**9}])
 def test_repeated_passages_equal_window_counts(transcripts, hot):
     seen = {}
