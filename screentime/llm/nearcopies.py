@@ -16,8 +16,6 @@ from screentime.llm.common import Bitmap, WordHashes, arrow_map, batch, broadcas
 SKETCH = 32
 #: Chance at most with which a sketch test may miss a link at the threshold.
 MISSED = 1e-7
-#: Estimates this far below the threshold still go to the exact check (five standard deviations).
-ESTIMATE_MARGIN = 0.3
 #: Lists from this length on choose their first partner by full sets.
 LONG_LIST = 32
 #: Ratio of two neighbouring size classes.
@@ -128,7 +126,7 @@ def near_copies(
     rarest shingles first, by size class. Every pair is estimated on the union sketch
     before its full sets are compared.
 
-    Retained values miss a true link with a chance below one in 10^7 at the threshold.
+    Each of the two sketch tests misses a true link with a chance below ``MISSED`` at the threshold.
     Returns id_col, n_shingles, component_id (smallest id in the group), kept (id =
     component_id), row. Null texts have no words; repeated rows are one node, both kept
     if they share the id; null ids never win over others.
@@ -161,7 +159,7 @@ def near_copies(
             pairs = pairs.join(sizes.select(F.col("node").alias(side), F.col("sketch").alias(f"sketch_{side}")), side)
         union = F.slice(F.sort_array(F.array_union("sketch_a", "sketch_b")), 1, SKETCH)
         both = F.size(F.array_intersect(F.array_intersect("sketch_a", "sketch_b"), F.col("union")))
-        likely = pairs.withColumn("union", union).where(both >= (threshold_pct / 100 - ESTIMATE_MARGIN) * F.size("union")).select("a", "b")
+        likely = pairs.withColumn("union", union).where((both >= least) | (100 * both >= threshold_pct * F.size("union"))).select("a", "b")
         likely = table(likely, "likely")
         for side in "ab":
             likely = likely.join(sets.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("set").alias(f"set_{side}")), side)

@@ -4,7 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter
-from math import lgamma, log, pi
+from math import comb, lgamma, log, pi
 
 import numpy as np
 import pytest
@@ -103,6 +103,12 @@ def test_near_copies_at_a_lower_threshold(spark):
     assert {k: r.component_id for k, r in found.items()} == {k: k - k % 2 for k, _ in rows}
 
 
+def test_sketch_tests_keep_links_at_the_threshold():
+    least = nearcopies.least_shared(85)
+    below = [sum(comb(32, j) * 0.85**j * 0.15 ** (32 - j) for j in range(n)) for n in (least, least + 1)]
+    assert below[0] <= 1e-7 < below[1]
+
+
 @pytest.mark.parametrize("hot", [{}, {"hot_least": 1, "hot_share": 10**9}])
 def test_repeated_passages_equal_window_counts(transcripts, hot):
     seen = {}
