@@ -8,6 +8,7 @@ from screentime.catalog import query
 from screentime.functions import frames as FR
 from screentime.functions import geometry as G
 from screentime.functions import visibility as V
+from screentime.functions.sql import register_functions
 from screentime.operators import exposure as X
 from screentime.operators import frames as FO
 from screentime.tables import with_views
@@ -168,13 +169,16 @@ def expected_sample_count(t):
     return t.videos().select("video_id", FR.expected_samples(F.col("frame_count"), step).alias("expected"))
 
 
-@query("frame_index_plan", with_views("video") + """
+_PLANS = with_views("video") + """
 SELECT video_id, 'stride' AS plan, unnest(range(0, frame_count, greatest(1, CAST(round_even(fps / CAST(0.1 AS DOUBLE), 0) AS BIGINT)))) AS frame_idx FROM v_video
 UNION ALL
 SELECT video_id, 'even', CAST(trunc(i * ((hi - lo) / CAST(299 AS DOUBLE)) + lo) AS BIGINT) FROM (
   SELECT video_id, CAST(trunc(frame_count * CAST(0.05 AS DOUBLE)) AS BIGINT) AS lo, CAST(trunc(frame_count * CAST(0.95 AS DOUBLE)) AS BIGINT) AS hi FROM v_video) v, range(0, 300) g(i)
 UNION ALL
-SELECT video_id, 'head', unnest(range(0, least(frame_count, CAST(trunc(fps * 60) AS BIGINT)), greatest(1, CAST(round_even(fps, 0) AS BIGINT)))) FROM v_video""")
+SELECT video_id, 'head', unnest(range(0, least(frame_count, CAST(trunc(fps * 60) AS BIGINT)), greatest(1, CAST(round_even(fps, 0) AS BIGINT)))) FROM v_video"""
+
+
+@query("frame_index_plan", _PLANS)
 def frame_index_plan(t):
     v = t.videos()
     tag = lambda df, name: df.select("video_id", F.lit(name).alias("plan"), "frame_idx")
@@ -183,6 +187,17 @@ def frame_index_plan(t):
     )
 
 
+@query("sql_frame_plan", _PLANS)
+def sql_frame_plan(t):
+    register_functions(t.spark)
+    return t.spark.sql(
+        """SELECT video_id, 'stride' AS plan, frame_idx FROM {videos}, LATERAL st_stride_plan(frame_count, fps, 0.1D)
+           UNION ALL SELECT video_id, 'even', frame_idx FROM {videos}, LATERAL st_interior_plan(frame_count, 300L)
+           UNION ALL SELECT video_id, 'head', frame_idx FROM {videos}, LATERAL st_head_plan(frame_count, fps, 60D, 1D)""",
+        videos=t.videos(),
+    )
+
+
 @query("uniform_plus_dense_index", with_views("video") + """
 SELECT DISTINCT video_id, frame_idx FROM (
   SELECT video_id, CAST(trunc(i * ((frame_count - 1) / CAST(499 AS DOUBLE))) AS BIGINT) AS frame_idx FROM v_video, range(0, 500) g(i)

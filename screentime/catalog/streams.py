@@ -153,3 +153,18 @@ def stream_track_coast(t):
         return O.track_coast(boxes, frame_ms=500)
 
     return RUN.run_stateful(drawn, t.spark, "coast").filter("video_id >= 0")
+
+
+@query("stream_spacing", with_views("det", extra="""
+v_list AS (SELECT video_id, brand_key, list(t ORDER BY t) AS ts FROM (SELECT DISTINCT video_id, brand_key, t FROM v_det) d GROUP BY 1, 2)""") + """
+SELECT video_id, brand_key, CAST(t * 1000000 AS BIGINT) + 1704067200000000 AS ts FROM (
+  SELECT video_id, brand_key, unnest(list_filter(list_reduce(ts, lambda acc, x: CASE WHEN x - acc[-1] >= 2.0 THEN list_append(acc, x) ELSE acc END,
+    [CAST(-1000 AS DOUBLE)]), lambda x: x >= 0)) AS t FROM v_list) k""")
+def stream_spacing(t):
+    s = _StreamTables(t.spark, t.sf_dir)
+
+    def kept():
+        hits = stamp(s.detections()).select("video_id", "brand_key", "ts")
+        return O.spaced(RUN.with_sentinel(hits, stamp(t.boxes()), "1 DAY", video_id=-1, brand_key=""), ["video_id", "brand_key"])
+
+    return RUN.run_stateful(kept, t.spark, "spacing").filter("video_id >= 0").select("video_id", "brand_key", ms("ts"))

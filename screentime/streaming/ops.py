@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import groupby
 from operator import itemgetter
@@ -214,3 +215,67 @@ def track_coast(boxes: DataFrame, hold: int = 8, frame_ms: int = 40, lateness: s
         outputMode="Append",
         timeMode="EventTime",
     )
+
+
+class Spacing(StatefulProcessor):
+    """Last kept time of a key and the times that wait for the watermark.
+
+    Once the watermark lies ``spacing`` behind the last kept time, no later row can
+    conflict with it and the state goes.
+    """
+
+    def __init__(self, spacing_us: int, key_names: list[str]):
+        self.spacing, self.columns = spacing_us, [*key_names, "ts"]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.kept = handle.getValueState("kept", "ts bigint")
+        self.waiting = handle.getListState("waiting", "ts bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new = {ts for part in rows for ts in _us(part["ts"]).tolist()}
+        yield self._release(key, new, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self._release(key, set(), timerValues.getCurrentWatermarkInMs())
+
+    def _release(self, key, new: set[int], watermark: int) -> pd.DataFrame:
+        times = sorted(new.union(ts for (ts,) in self.waiting.get())) if self.waiting.exists() else sorted(new)
+        last = self.kept.get()[0] if self.kept.exists() else None
+        ready = bisect_left(times, watermark * 1000)
+        out = []
+        for ts in times[:ready]:
+            if last is None or ts - last >= self.spacing:
+                out.append((*key, pd.Timestamp(ts, unit="us")))
+                last = ts
+        rest = times[ready:]
+        if rest:
+            self.waiting.put([(ts,) for ts in rest])
+            self.handle.registerTimer(rest[0] // 1000 + 1)
+        else:
+            self.waiting.clear()
+        if last is None or last + self.spacing <= watermark * 1000:
+            self.kept.clear()
+        else:
+            self.kept.update((last,))
+            self.handle.registerTimer((last + self.spacing) // 1000 + 1)
+        return pd.DataFrame(out, columns=self.columns)
+
+    def close(self) -> None:
+        pass
+
+
+def spaced(hits: DataFrame, keys: list[str], spacing: float = 2.0, lateness: str = "1 minute") -> DataFrame:
+    """Earliest-first times per key that keep ``spacing`` seconds from the last kept one.
+
+    Times may come up to ``lateness`` out of order; one is judged, and told if kept,
+    when the watermark has passed it, so the choice is that of the batch operator
+    whatever order the rows come in. Equal times of a key count once.
+    """
+    kinds = ", ".join(f"{k} {hits.schema[k].dataType.simpleString()}" for k in keys)
+    return hits.select(*keys, "ts").withWatermark("ts", lateness).groupBy(*keys).transformWithStateInPandas(
+        statefulProcessor=Spacing(round(spacing * 1_000_000), keys),
+        outputStructType=f"{kinds}, ts timestamp",
+        outputMode="Append",
+        timeMode="EventTime",
+    )

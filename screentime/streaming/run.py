@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,25 +19,42 @@ def read_table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
-def run_append(df: DataFrame, name: str) -> DataFrame:
-    """Run to the end of the available input with a file sink; read the table back."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
+def _append(df: DataFrame, path: str) -> None:
     query = (
         df.writeStream.outputMode("append").format("parquet").option("path", f"{path}/table")
         .option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     )
     query.awaitTermination()
+
+
+def run_append(df: DataFrame, name: str) -> DataFrame:
+    """Run to the end of the available input with a file sink; read the table back."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    _append(df, path)
     return spark.read.schema(df.schema).parquet(f"{path}/table")
 
 
-def run_stateful(df_of, spark: SparkSession, name: str) -> DataFrame:
-    """As ``run_append`` with the RocksDB state store that stateful processors need."""
+def run_append_arrivals(arrivals: list[DataFrame], transform: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """As ``run_append`` over row sets that arrive one after the other, in one stream's state."""
+    spark = arrivals[0].sparkSession
+    path = scratch_path(spark, name)
+    df = None
+    for rows in arrivals:
+        rows.write.mode("append").parquet(f"{path}/in")
+        df = transform(spark.readStream.schema(rows.schema).parquet(f"{path}/in"))
+        _append(df, path)
+    return spark.read.schema(df.schema).parquet(f"{path}/table")
+
+
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """The state store that stateful processors need, for the streams started inside."""
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key, None)
     spark.conf.set(key, ROCKSDB)
     try:
-        return run_append(df_of(), name)
+        yield
     finally:
         if before is None:
             spark.conf.unset(key)
@@ -44,6 +62,12 @@ def run_stateful(df_of, spark: SparkSession, name: str) -> DataFrame:
             spark.conf.set(key, before)
 
 
+def run_stateful(df_of, spark: SparkSession, name: str) -> DataFrame:
+    """As ``run_append`` with the RocksDB state store."""
+    with rocksdb(spark):
+        return run_append(df_of(), name)
+
+
 def _changes(df: DataFrame, path: str) -> None:
     def store(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/table/batch={number}")
