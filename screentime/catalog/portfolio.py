@@ -178,10 +178,7 @@ _POS = """v_pos AS (SELECT video_id, row_number() OVER (ORDER BY match_date, vid
 
 
 def positions(t):
-    from screentime.operators.scans import ranked
-
-    m = t.matches().select("video_id", "match_date", F.lit(0).alias("all"))
-    return ranked(m, ["all"], "match_date", ["video_id"], "position", F.year("match_date").cast("bigint")).select("video_id", "position")
+    return P.match_positions(t.matches())
 
 
 @query("best_match", with_views("priced", "match", extra=_POS) + """

@@ -13,7 +13,7 @@ def register_functions(spark: SparkSession) -> None:
 
     They are SQL expressions that the optimizer inlines, so no Python runs. Nulls in
     any argument give null, but an unknown or missing placement counts 1. The table
-    functions stand in a lateral join and give one row per frame to visit; a null
+    functions stand in an inner lateral join and give one row per frame to visit; a null
     argument or a video without frames gives none.
     """
     sigma = f"(frame_w * {SIGMA_OF_WIDTH}D)"

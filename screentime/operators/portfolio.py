@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from screentime.operators.scans import previous, ranked
+
 METRICS = ("emv", "exposure", "visibility", "emv_per_s", "segments_per_match")
 
 
@@ -187,18 +189,18 @@ def minmax_heatmap(rows: DataFrame, metrics: list[str]) -> DataFrame:
     return scaled.select(*[c for c in rows.columns if c not in metrics], *[cell(m) for m in metrics])
 
 
+def match_positions(matches: DataFrame) -> DataFrame:
+    """Matches numbered from 1 by date, then id, over slices of both."""
+    return ranked(matches.select("video_id", "match_date"), [], "match_date", ["video_id"], "position").select("video_id", "position")
+
+
 def emv_trend(results: DataFrame, matches: DataFrame, n: int = 3) -> DataFrame:
     """Per match in date order: total and the top brands, with the change to the match before."""
-    from screentime.operators.scans import previous, ranked
-
     cells = heatmap(results, matches, n).select("video_id", F.col("brand_key").alias("series"), "emv")
     totals = matches.select("video_id").join(
         results.groupBy("video_id").agg(F.sum("emv_usd").alias("emv")), "video_id", "left"
     ).select("video_id", F.lit("Total EMV").alias("series"), F.coalesce(F.col("emv"), F.lit(0.0)).alias("emv"))
-    year = F.year("match_date").cast("bigint")
-    order = ranked(
-        matches.select("video_id", "match_date", F.lit(0).alias("all")), ["all"], "match_date", ["video_id"], "position", year
-    ).select("video_id", "match_date", "position")
+    order = match_positions(matches)
     rows = cells.unionByName(totals).join(order, "video_id")
     return previous(rows, ["series"], "position", {"before": "emv"}, chunk=4096.0).select(
         "series", "position", "video_id", "emv", (F.col("emv") - F.col("before")).alias("delta")

@@ -9,12 +9,18 @@ number of rows per chunk, so the part that does run per key stays small.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 CHUNK_SECONDS = 900.0
+#: Rows of a slice, rows of a slice that its borders are drawn from, slices of a key.
+SLICE_ROWS, SLICE_SAMPLE, MOST_SLICES = 65_536, 64, 1024
+
+#: Chunk maps of a block, and blocks of a block of blocks.
+FAN = 256
 
 _CHUNK = "__chunk"
 _RUN = "__run"
@@ -168,45 +174,67 @@ def previous(
     return local.join(carry, part).select(*df.columns, *[value[out].alias(out) for out in columns])
 
 
-def ranked(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: str,
-    ties: Sequence[str],
-    output: str,
-    chunk: Column,
-) -> DataFrame:
-    """``row_number`` over ``(keys)`` ascending by ``order``; ``chunk`` must grow with it."""
-    part = list(keys) + [_CHUNK]
-    rows = df.withColumn(_CHUNK, chunk)
+def sliced(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """Rows with a number ``slice`` that grows with ``order``: about ``slice_rows`` rows of a key share one.
+
+    Borders are quantiles of a sample of the rows, drawn by the hash of ``order``: about
+    ``SLICE_SAMPLE`` rows a slice, so that a slice stays near the mean whatever the
+    values are. The hash makes the borders a function of the data, the same in every
+    branch of a plan and in every retry. Keys with fewer rows have slice 0 and no
+    borders; a key has ``MOST_SLICES`` slices at most, which bounds its borders and its
+    sample. Rows that agree in all of ``order`` share a slice.
+    """
+    keys = list(keys)
+    here = F.struct(*order) if len(order) > 1 else F.col(order[0])
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).withColumn(
+        "__slices", F.least(F.lit(MOST_SLICES), F.ceil(F.col("__n") / slice_rows)).cast("int")
+    ).filter("__slices > 1")
+    # without keys both sides below come from aggregates of one row
+    meet = (lambda a, b, how: a.join(b, keys, how)) if keys else (lambda a, b, how: a.crossJoin(b))
+    drawn = F.pmod(F.xxhash64(*order), F.col("__n")) < F.col("__slices") * SLICE_SAMPLE
+    sample = meet(df.select(*keys, *order), sizes, "inner").filter(drawn).groupBy(*keys).agg(
+        F.array_sort(F.collect_list(here)).alias("__s"), F.max("__slices").alias("__k")
+    )
+    at = lambda i: F.get("__s", (i * F.size("__s") / F.col("__k")).cast("int"))
+    borders = sample.select(*keys, F.when(F.col("__k") > 1, F.transform(F.sequence(F.lit(1), F.col("__k") - 1), at)).alias("__borders"))
+    borders = borders.select("*", F.filter("__borders", lambda x, i: i % 32 == 31).alias("__coarse"))
+    below = lambda marks: F.size(F.filter(marks, lambda b: b <= here))
+    rows = meet(df, borders, "left").withColumn("__block", F.when(F.col("__borders").isNotNull(), below(F.col("__coarse")) * 32))
+    found = F.col("__block") + below(F.slice("__borders", F.col("__block") + 1, F.lit(32)))
+    return rows.select(*df.columns, F.coalesce(found, F.lit(0)).cast("bigint").alias("slice"))
+
+
+def ranked(df: DataFrame, keys: Sequence[str], order: str, ties: Sequence[str], output: str, chunk: Column | None = None) -> DataFrame:
+    """``row_number`` over ``(keys)`` ascending by ``order`` and ``ties``.
+
+    ``chunk``, if given, must grow with ``order``; else the rows are sliced by quantiles
+    of order and ties together, so that neither many rows nor many equal values of a key
+    meet in one task. Without keys all rows are numbered.
+    """
+    keys, columns = list(keys), df.columns
+    rows = df.withColumn(_CHUNK, chunk) if chunk is not None else sliced(df, keys, [order, *ties]).withColumnRenamed("slice", _CHUNK)
+    part = keys + [_CHUNK]
     local = rows.withColumn(output, F.row_number().over(Window.partitionBy(*part).orderBy(order, *ties)))
+    # one row per chunk meets here, MOST_SLICES a key at most when sliced
     before = Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     carry = (
         rows.groupBy(*part)
         .agg(F.count(F.lit(1)).alias("__n"))
         .select(*part, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__pre"))
     )
-    return local.join(carry, part).select(
-        *df.columns, (F.col(output) + F.col("__pre")).cast("bigint").alias(output)
-    )
+    return local.join(carry, part).select(*columns, (F.col(output) + F.col("__pre")).cast("bigint").alias(output))
 
 
 def value_counts(
-    df: DataFrame, keys: Sequence[str], value: str, sums: dict[str, Column] | None = None, slices: int = 1024
+    df: DataFrame, keys: Sequence[str], value: str, sums: dict[str, Column] | None = None, slice_rows: int = SLICE_ROWS
 ) -> DataFrame:
-    """Distinct values per key with counts and an equal-width slice number of their range."""
+    """Distinct values per key with counts, the key's ``total``, and a slice number that grows with the value."""
     keys = list(keys)
     aggs = [F.count(F.lit(1)).alias("n")] + [F.sum(c).alias(k) for k, c in (sums or {}).items()]
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(*aggs)
-    spread = counts.groupBy(*keys).agg(
-        F.min(value).alias("__lo"), F.max(value).alias("__hi"), F.sum("n").alias("total")
-    )
-    joined = counts.join(spread, keys) if keys else counts.crossJoin(spread)
-    width = F.col("__hi") - F.col("__lo")
-    slice_no = F.coalesce(
-        F.floor(F.try_divide(F.col(value) - F.col("__lo"), width) * slices), F.lit(0)
-    ).cast("bigint")
-    return joined.withColumn("slice", slice_no).drop("__lo", "__hi")
+    totals = counts.groupBy(*keys).agg(F.sum("n").alias("total"))
+    joined = counts.join(totals, keys) if keys else counts.crossJoin(totals)
+    return sliced(joined, keys, [value], slice_rows)
 
 
 def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, points: dict[str, float]) -> DataFrame:
@@ -236,3 +264,43 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, points: di
         lo, hi = F.col(f"__lo_{name}"), F.col(f"__hi_{name}")
         out.append((lo + (hi - lo) * frac).alias(name))
     return picked.select(*keys, *out)
+
+
+def chain_starts(
+    maps: DataFrame,
+    keys: Sequence[str],
+    chunk: str,
+    start: Column,
+    compose: Callable[[Column, Column], Column],
+    apply: Callable[[Column, Column], Column],
+) -> DataFrame:
+    """State in which each chunk of a key begins, from what every chunk does to a state.
+
+    ``maps`` has one row per key and chunk number and its map ``m``; ``compose(a, b)`` is
+    the map of ``a`` followed by ``b``, ``apply(m, state)`` a state through a map. Maps are
+    composed to blocks of ``FAN`` chunks and to blocks of ``FAN`` blocks, which alone are
+    chained per key; the states then go back down block by block. Arrays hold ``FAN`` maps at
+    most, or one map per ``FAN * FAN`` chunks of a key.
+    """
+    keys = list(keys)
+
+    def blocks(df: DataFrame, by: list[str], lower: str) -> DataFrame:
+        part = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(lower).alias("no"), "m"))).alias("part"))
+        rest = F.slice("part", F.lit(2), F.size("part"))
+        return part.withColumn("m", F.aggregate(rest, F.get("part", F.lit(0))["m"], lambda acc, x: compose(acc, x["m"])))
+
+    def spread(df: DataFrame, by: list[str], lower: str) -> DataFrame:
+        begin = F.struct(F.col("start").alias("state"), F.array().cast(ArrayType(df.schema["start"].dataType)).alias("starts"))
+        walked = F.aggregate(
+            "part", begin, lambda acc, x: F.struct(apply(x["m"], acc["state"]).alias("state"), F.concat(acc["starts"], F.array(acc["state"])).alias("starts"))
+        )
+        pairs = F.arrays_zip(F.col("part.no").alias("no"), walked["starts"].alias("start"))
+        return df.select(*by, F.explode(pairs).alias("z")).select(*by, F.col("z.no").alias(lower), F.col("z.start").alias("start"))
+
+    no = lambda name, lower: F.floor(F.col(lower) / FAN).cast("bigint").alias(name)
+    ones = blocks(maps.select(*keys, no("__one", chunk), chunk, "m"), [*keys, "__one"], chunk)
+    twos = blocks(ones.select(*keys, no("__two", "__one"), "__one", "m"), [*keys, "__two"], "__one")
+    top = blocks(twos, keys, "__two").withColumn("start", start)
+    down = spread(top, keys, "__two").join(twos.drop("m"), [*keys, "__two"])
+    down = spread(down, keys, "__one").join(ones.drop("m"), [*keys, "__one"])
+    return spread(down, keys, chunk)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from screentime.operators.scans import CHUNK_SECONDS, fill_forward, prefix_sums, previous
+from screentime.operators.scans import CHUNK_SECONDS, chain_starts, fill_forward, prefix_sums, previous
 
 TRACK = ["video_id", "track_id"]
 
@@ -14,9 +14,10 @@ HYSTERESIS = 1.25
 REFRESH_FRAMES = 5
 HOLD_FRAMES = 8
 
-# Folding copies the states of a chunk as it goes, so its chunks are short.
+# A chunk is replayed in one array, so its chunks are short; rows of a replayed part.
 FOLD_SECONDS = 30.0
 FOLD_FRAMES = 1024.0
+REPLAY_ROWS = 32
 
 
 def vote_weight(quality: Column, margin: Column, prototype: bool = False) -> Column:
@@ -49,9 +50,9 @@ def fold_states(
     """State after each row of a finite state machine, without one task per key.
 
     ``step`` is an array giving the next state for every state. Maps compose, so a
-    chunk is folded for all start states at once, the chunk maps are chained per
-    key, and each chunk is then replayed from its known start state. Rows are
-    unique per ``(keys, order)``.
+    chunk is folded for all start states at once, the chunk maps are chained in blocks
+    (:func:`chain_starts`), and each chunk is then replayed from its known start
+    state. Rows are unique per ``(keys, order)``.
     """
     part = [*keys, "__chunk"]
     grouped = rows.select(*keys, order, step.alias("step")).groupBy(
@@ -61,24 +62,24 @@ def fold_states(
     mapped = grouped.select(
         *part, F.aggregate("steps", identity, lambda acc, x: F.transform(acc, lambda s: F.element_at(x["step"], s + 1))).alias("cmap")
     )
-    chain = mapped.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__chunk", "cmap"))).alias("maps"))
-    start0 = F.struct(F.lit(initial).alias("s"), F.array().cast("array<int>").alias("starts"))
-    starts = F.aggregate(
-        "maps", start0,
-        lambda acc, m: F.struct(
-            F.element_at(m["cmap"], acc["s"] + 1).alias("s"), F.concat(acc["starts"], F.array(acc["s"])).alias("starts")
-        ),
-    )["starts"]
-    begun = chain.select(*keys, F.explode(F.arrays_zip(F.col("maps.__chunk").alias("c"), starts.alias("s"))).alias("z")).select(
-        *keys, F.col("z.c").alias("__chunk"), F.col("z.s").alias("__start")
-    )
-    replay0 = F.struct(F.col("__start").alias("s"), F.array().cast("array<int>").alias("out"))
+    begun = chain_starts(
+        mapped.withColumnRenamed("cmap", "m"), keys, "__chunk", F.lit(initial),
+        lambda a, b: F.transform(a, lambda s: F.element_at(b, s + 1)), lambda m, s: F.element_at(m, s + 1),
+    ).withColumnRenamed("start", "__start")
+    none = F.array().cast("array<int>")
 
     def replay(acc: Column, x: Column) -> Column:
         nxt = F.element_at(x["step"], acc["s"] + 1)
         return F.struct(nxt.alias("s"), F.concat(acc["out"], F.array(nxt)).alias("out"))
 
-    out = F.aggregate("steps", replay0, replay)["out"]
+    def replay_part(acc: Column, part: Column) -> Column:
+        # appending copies what is there, so parts are short and only their handles are copied
+        done = F.aggregate(part, F.struct(acc["s"].alias("s"), none.alias("out")), replay)
+        return F.struct(done["s"].alias("s"), F.concat(acc["out"], F.array(done["out"])).alias("out"))
+
+    starts = F.sequence(F.lit(0), F.floor((F.size("steps") - 1) / REPLAY_ROWS).cast("int"))
+    parts = F.transform(starts, lambda i: F.slice("steps", i * REPLAY_ROWS + 1, F.lit(REPLAY_ROWS)))
+    out = F.flatten(F.aggregate(parts, F.struct(F.col("__start").alias("s"), F.array().cast("array<array<int>>").alias("out")), replay_part)["out"])
     return (
         grouped.join(begun, part)
         .select(*keys, F.explode(F.arrays_zip(F.col(f"steps.{order}").alias("o"), out.alias("s"))).alias("z"))

@@ -2,11 +2,15 @@
 
 import datetime as dt
 
+import pytest
 from conftest import rows
+
 from pyspark.sql import functions as F
 
 from screentime.functions.sql import register_functions
+from screentime.operators import dataset as D
 from screentime.operators import frames as FO
+from screentime.operators import scans as SC
 from screentime.operators import selection as S
 from screentime.streaming import ops as O
 from screentime.streaming import run as RUN
@@ -55,5 +59,35 @@ def test_table_functions_equal_the_operators(spark):
     assert via("st_interior_plan(frame_count, 30L)") == plain(FO.interior_plan(videos.where("frame_count > 0"), 30))
     assert via("st_interior_plan(frame_count, 1L)") == plain(FO.interior_plan(videos.where("frame_count > 0"), 1))
     assert via("st_stride_plan(frame_count, CAST(NULL AS DOUBLE), 2D)") == set()
-    joined = spark.sql("SELECT video_id, count(frame_idx) AS n FROM {v} LEFT JOIN LATERAL st_stride_plan(frame_count, fps, 0.1D) GROUP BY ALL", v=videos)
-    assert rows(joined.where(F.col("n") == 0).select("video_id"), "video_id") == [(2,), (4,), (5,)]
+    joined = spark.sql("SELECT video_id, count(*) AS n FROM {v}, LATERAL st_stride_plan(frame_count, fps, 0.1D) GROUP BY ALL", v=videos)
+    assert rows(joined, "video_id") == [(1, 4), (3, 7), (6, 1)]
+
+
+def test_slices_stay_near_the_mean_whatever_the_values(spark):
+    n = 1_000_000
+    values = spark.range(n).select(F.floor(F.col("id") / n).alias("k"), F.when(F.col("id") == 0, 1e12).otherwise(F.col("id") / n).alias("x"))
+    sizes = [r["count"] for r in SC.sliced(values, ["k"], ["x"], 4096).groupBy("slice").count().collect()]
+    assert len(sizes) > 200 and max(sizes) < 2 * sum(sizes) / len(sizes)
+    points = SC.exact_percentiles(values, ["k"], "x", {"p25": 0.25, "p100": 1.0}).first()
+    assert points.p25 == pytest.approx((1 + 0.25 * (n - 1)) / n) and points.p100 == 1e12
+
+
+def test_numbering_of_one_hot_value(spark):
+    # a third of the rows hold the key "hot" and one value: the ties split it
+    rows_ = spark.range(30_000).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 100)).alias("k"), F.lit(0.5).alias("x"), "id"
+    )
+    cut = SC.sliced(rows_, ["k"], ["x", "id"], 500)
+    sizes = {r.k: r for r in cut.groupBy("k", "slice").count().groupBy("k").agg(F.max("count").alias("most"), F.count("*").alias("slices")).collect()}
+    assert sizes["hot"].slices == 20 and sizes["hot"].most < 1000 and sizes["k1"].slices == 1
+    numbered = SC.ranked(rows_.join(spark.createDataFrame([("hot",)], "k string"), "k"), ["k"], "x", ["id"], "rn")
+    assert numbered.filter(F.col("rn") != F.col("id") / 3 + 1).count() == 0 and numbered.count() == 10_000
+
+
+def test_global_numbering_with_nulls_ties_and_empty_tables(spark):
+    names = spark.createDataFrame([(f"n{i * 7919 % 5000:05d}",) for i in range(5000)] + [(None,), ("n00001",)], "name string")
+    ids = D.class_ids(names, "name")
+    assert ids.filter(F.col("name") != F.format_string("n%05d", "class_id")).count() == 0 and ids.count() == 5000
+    assert D.class_ids(names.where("false"), "name").count() == 0
+    few = spark.createDataFrame([(1, None), (2, 5.0), (3, 5.0), (4, float("nan"))], "i int, x double")
+    assert rows(SC.ranked(few, [], "x", ["i"], "rn").select("i", "rn"), "i") == [(1, 1), (2, 2), (3, 3), (4, 4)]

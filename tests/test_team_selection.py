@@ -47,6 +47,34 @@ def test_three_team_fold_over_chunks(spark, seed, chunk):
     assert rows(T.hysteresis_labels(live, teams, chunk=chunk).select("t", "label"), "t") == plain_labels(items, teams)
 
 
+def test_chains_of_many_chunks(spark):
+    # 300,000 chunks of one key, more than one block of blocks holds
+    n = 300_000
+    df = spark.range(n).select(F.lit(1).alias("k"), (F.col("id") * 3.0).alias("t"), (F.col("id") % 7).alias("x"))
+    step = F.array(F.when(F.col("x") == 0, 1).otherwise(0), F.when(F.col("x") == 3, 2).otherwise(1), F.when(F.col("x") == 5, 0).otherwise(2))
+    states = T.fold_states(df, ["k"], "t", step, 3, 0, chunk=3.0)
+    got = {r.s: r["count"] for r in states.groupBy(F.struct((F.col("t") / 3 % 7).cast("int").alias("x"), "state").alias("s")).count().collect()}
+    want = {0: 1, 1: 1, 2: 1, 3: 2, 4: 2, 5: 0, 6: 0}
+    assert {tuple(k): v for k, v in got.items()} == {(x, want[x]): len(range(x, n, 7)) for x in range(7)}
+    kept = SEL.temporal_dedup(df.select("k", "t"), ["k"], spacing=4.0, chunk=4.0)
+    assert kept.filter("t % 6 = 0").count() == n // 2 == kept.count()
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_temporal_dedup_through_blocks(spark, seed, monkeypatch):
+    monkeypatch.setattr(S, "FAN", 3)
+    rng = random.Random(seed)
+    times = sorted({rng.choice([rng.randrange(400) * 0.25, rng.randrange(4000) * 1.0]) for _ in range(250)})
+    kept = []
+    for t in times:
+        if not kept or t - kept[-1] >= 2.0:
+            kept.append(t)
+    df = spark.createDataFrame([(1, t) for t in times] + [(2, -9.5), (2, -8.0), (2, 0.5)], "k int, t double")
+    out = SEL.temporal_dedup(df, ["k"], chunk=2.0)
+    assert [r.t for r in out.filter("k = 1").orderBy("t").collect()] == kept
+    assert [r.t for r in out.filter("k = 2").orderBy("t").collect()] == [-9.5, 0.5]
+
+
 @pytest.mark.parametrize("chunk", [2048.0, 6.0])
 def test_embedding_refresh(spark, chunk):
     frames = [0, 1, 4, 5, 6, 9, 10, 17, 18, 22, 23, 30]
@@ -166,18 +194,18 @@ def greedy(items, k, ham, gap, quota=None):
     return sorted(f[1] for f in chosen)
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_diverse_topk_and_yield(spark, seed):
+@pytest.mark.parametrize("seed, look", [(0, 256), (1, 256), (2, 256), (0, 1), (1, 3), (2, 10)])
+def test_diverse_topk_and_yield(spark, seed, look):
     items = frames(seed)
     df = spark.createDataFrame(items, FRAME).repartition(4)
     got = {}
-    for r in SEL.diverse_topk(df, 7).collect():
+    for r in SEL.diverse_topk(df, 7, look).collect():
         got.setdefault(r.video_id, []).append(r.frame_idx)
     for video in (1, 2):
         mine = [f for f in items if f[0] == video]
         assert sorted(got[video]) == greedy(mine, 7, 10, 2.0, {"closeup": 2, "medium": 2, "wide": 1})
     tiers = {}
-    for r in SEL.yield_guarantee(df, 20, 9).collect():
+    for r in SEL.yield_guarantee(df, 20, 9, look).collect():
         tiers.setdefault((r.video_id, r.tier), []).append(r.frame_idx)
     for (video, tier), chosen in tiers.items():
         mine = [f for f in items if f[0] == video]
@@ -190,6 +218,23 @@ def test_diverse_topk_and_yield(spark, seed):
         assert tier == name and sorted(chosen) == want
 
 
+def test_diverse_topk_of_a_video_with_most_rows(spark):
+    # the best 3,000 frames of video 1 lie within two seconds: one round sees nothing else
+    crowd = [(1, i, 10.0 + (i % 10) * 0.1, 1000.0 - i * 0.1, None, 0.6) for i in range(3000)]
+    spread = [(1, 3000 + i, 100.0 + 3 * i, 1.0 + i, [i << 40, 0, i, ~i] if i % 2 else None, 0.2) for i in range(50)]
+    odd = [(2, 0, None, None, [1], None), (2, 1, None, 3.0, None, None), (2, 1, None, 3.0, None, None), (None, 4, 1.0, 1.0, None, 0.1)]
+    df = spark.createDataFrame(crowd + spread + odd, FRAME).repartition(6)
+    got = {}
+    for r in SEL.diverse_topk(df, 5, look=64).collect():
+        got.setdefault(r.video_id, set()).add(r.frame_idx)
+    # quotas of 5: two close-ups, two medium, one wide; then whatever fits
+    assert got[1] == {0, 3049, 3048, 3047, 3046}
+    assert got[2] == {0, 1} and got[None] == {4}
+    assert SEL.diverse_topk(df.where("false"), 5).count() == 0
+    tiers = {(r.video_id, r.tier) for r in SEL.yield_guarantee(df, 4, 3).collect()}
+    assert tiers == {(1, "strict"), (2, "exhausted"), (None, "exhausted")}
+
+
 @pytest.mark.parametrize("hot", [1, 512])
 def test_near_pairs_equal_all_pairs(spark, hot):
     items = frames(9, 60) + [(3, i, 0.0, 0.0, frames(9, 60)[0][4], 0.2) for i in range(200, 230)]
