@@ -19,6 +19,8 @@ SCENARIOS = (
     ("Social clip (<1 min)", 1500.0, 0.08),
     ("Match recording (OTT)", 80.0, 0.30),
 )
+#: Longest dictionary key that is looked up by deletions; their number grows with its square.
+SHORT_KEY = 12
 REPORT_COLUMNS = (
     "sponsor", "total_seconds", "n_appearances", "n_frames", "avg_area_pct", "peak_area_pct",
     "area_seconds", "avg_cx", "avg_cy", "avg_ocr_conf", "first_seen_s", "last_seen_s",
@@ -63,13 +65,67 @@ def match_sponsors(texts: DataFrame, dictionary: DataFrame, cutoff: float = T.MI
     return folded.join(best, "folded").select("text", "m.sponsor", F.floor(-F.col("m.neg")).cast("bigint").alias("fuzzy"))
 
 
+def _deletions(text: Column, times: int) -> Column:
+    """The text and everything left of it after up to ``times`` letters are deleted."""
+    found = F.array(text)
+    for _ in range(times):
+        one_less = lambda s: F.transform(
+            F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))), lambda i: F.concat(F.left(s, i - 1), F.substr(s, i + 1))
+        )
+        found = F.array_union(found, F.flatten(F.transform(found, one_less)))
+    return found
+
+
+def _segment(i: Column, length: Column, parts: int) -> tuple[Column, Column]:
+    """Begin (from 0) and width of part ``i`` of a key of this length."""
+    edge = lambda k: F.floor(k * length / parts).cast("int")
+    return edge(i), edge(i + 1) - edge(i)
+
+
+def near_candidates(texts: DataFrame, keys: DataFrame, max_edits: int, short: int = SHORT_KEY) -> DataFrame:
+    """Distinct ``folded, key`` pairs that hold every pair within ``max_edits`` edits.
+
+    Keys of up to ``short`` letters and the texts they can reach meet in their deletion
+    neighbourhoods: two strings within ``d`` edits become equal after at most ``d``
+    deletions in each. A longer key is cut into ``d + 1`` parts; one of them is untouched and
+    stands in the text, ``d`` places off at most, so the text's pieces of those widths
+    around those places are looked up. Both are equi-joins on a hash of the piece (with
+    the part's number and the key's length); a text has a bounded number of pieces.
+    """
+    d, parts = max_edits, max_edits + 1
+    long_key, reach = F.length("key") > short, F.length("folded")
+    whole = lambda name: F.transform(_deletions(F.col(name), d), lambda s: F.xxhash64(s))
+    numbers = F.sequence(F.lit(0), F.lit(d))
+
+    def own(i: Column) -> Column:
+        begin, width = _segment(i, F.length("key"), parts)
+        return F.xxhash64(i, F.length("key"), F.substr(F.col("key"), begin + 1, width))
+
+    def looked_up(n: Column) -> Column:
+        def part(i: Column) -> Column:
+            begin, width = _segment(i, n, parts)
+            places = F.filter(F.sequence(begin - d, begin + d), lambda p: (p >= 0) & (p + width <= reach))
+            return F.transform(places, lambda p: F.xxhash64(i, n, F.substr(F.col("folded"), p + 1, width)))
+
+        return F.flatten(F.transform(numbers, part))
+
+    lengths = F.sequence(F.greatest(reach - d, F.lit(short + 1)), F.greatest(reach + d, F.lit(short + 1)))
+    near_pieces = F.flatten(F.transform(lengths, looked_up))
+    folded, keyed = texts.select("folded").distinct().filter("folded IS NOT NULL"), keys.select("key").distinct().filter("key IS NOT NULL")
+    sides = [
+        (folded.filter(reach <= short + d).select("folded", F.explode(whole("folded")).alias("piece")),
+         keyed.filter(~long_key).select("key", F.explode(whole("key")).alias("piece"))),
+        (folded.filter(reach > short - d).select("folded", F.explode(F.array_distinct(near_pieces)).alias("piece")),
+         keyed.filter(long_key).select("key", F.explode(F.transform(numbers, own)).alias("piece"))),
+    ]
+    met = [a.join(b, "piece").filter(F.abs(F.length("folded") - F.length("key")) <= d).select("folded", "key") for a, b in sides]
+    return met[0].union(met[1]).distinct()
+
+
 def near_keys(texts: DataFrame, keys: DataFrame, max_edits: int) -> DataFrame:
-    """Text and dictionary key pairs within an edit distance, joined on reachable lengths."""
-    span = F.sequence(F.greatest(F.length("key") - max_edits, F.lit(0)), F.length("key") + max_edits)
-    by_len = keys.withColumn("len", F.explode(span))
-    pairs = texts.withColumn("len", F.length("folded")).join(by_len, "len")
+    """Text and dictionary key pairs within an edit distance, with the distance."""
     distance = F.levenshtein("folded", "key", max_edits)
-    return pairs.withColumn("distance", distance.cast("bigint")).filter("distance >= 0").select("folded", "key", "distance")
+    return near_candidates(texts, keys, max_edits).withColumn("distance", distance.cast("bigint")).filter("distance >= 0")
 
 
 def best_per_frame(df: DataFrame, keys: list[str], payload: list[str]) -> DataFrame:
