@@ -78,6 +78,23 @@ def indel_ratio(a: Column, b: Column) -> Column:
     return F.when(total == 0, 100.0).otherwise(F.try_divide(lcs_length(a, b) * F.lit(200.0), total))
 
 
+def letter_mask(text: Column) -> Column:
+    """One bit per letter that occurs, by its code point modulo 64."""
+    letters = F.array_distinct(F.split(text, ""))
+    return F.aggregate(
+        F.filter(letters, lambda x: x != ""), F.lit(0).cast("bigint"),
+        lambda acc, x: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.ascii(x) % 64)),
+    )
+
+
+def may_reach(a: Column, a_letters: Column, b: Column, b_letters: Column, cutoff: float) -> Column:
+    """False only if the indel ratio of ``a`` and ``b`` cannot reach ``cutoff``: each letter that
+    the other text lacks is missing from the common subsequence."""
+    lacks = lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))
+    room = F.least(F.length(a) - lacks(a_letters, b_letters), F.length(b) - lacks(b_letters, a_letters))
+    return room * F.lit(200.0) >= (F.length(a) + F.length(b)) * F.lit(float(cutoff)) - 1e-9
+
+
 def parse_color(file_name: Column) -> Column:
     """Kit colour from ``m<no>_<colour>_...``, else the first colour name contained, else null."""
     stem = F.lower(F.regexp_replace(F.regexp_extract(file_name, r"([^/]*)$", 1), r"\.[^.]*$", ""))

@@ -41,7 +41,8 @@ def match_sponsors(texts: DataFrame, dictionary: DataFrame, cutoff: float = T.MI
     ``texts`` has column ``text``, ``dictionary`` has ``key, sponsor``. Only
     distinct folded texts meet the dictionary. A ratio of ``c`` needs
     ``2 * shorter >= c/100 * (shorter + longer)``, so every key is listed under the
-    text lengths it can reach and the match becomes an equi-join on length.
+    text lengths it can reach and the match becomes an equi-join on length; pairs whose
+    letters alone rule the cut-off out are dropped before the common subsequence is sought.
     Spaced keys are asked first and despaced ones second: the second answer wins if its
     score is above the whole part of the first. Fractions of the score are dropped.
     """
@@ -55,7 +56,9 @@ def match_sponsors(texts: DataFrame, dictionary: DataFrame, cutoff: float = T.MI
     folded = texts.select("text").distinct().withColumn("folded", T.ocr_fold(F.col("text")))
     distinct = folded.select("folded").distinct().filter(F.length("folded") >= T.MIN_TEXT_LEN)
     scored = (
-        distinct.withColumn("len", F.length("folded")).join(by_len, "len")
+        distinct.withColumn("len", F.length("folded")).withColumn("letters", T.letter_mask(F.col("folded")))
+        .join(by_len.withColumn("key_letters", T.letter_mask(F.col("key"))), "len")
+        .filter(T.may_reach(F.col("folded"), F.col("letters"), F.col("key"), F.col("key_letters"), cutoff))
         .withColumn("ratio", T.indel_ratio(F.col("folded"), F.col("key"))).filter(F.col("ratio") >= cutoff)
     )
     answer = F.struct((-F.col("ratio")).alias("neg"), "key", "sponsor")

@@ -6,6 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from screentime.functions import text as T
 from screentime.operators import report as R
 
 
@@ -54,3 +55,24 @@ def test_near_keys_of_a_large_dictionary(spark):
     candidates = R.near_candidates(texts, keys, 2).count()
     assert 10_000 <= candidates < 20_000 and time.time() - begun < 120
     assert R.near_keys(texts, keys, 2).count() == 10_000
+
+
+def common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+@pytest.mark.parametrize("cutoff", [80.0, 60.0])
+def test_letter_bound_loses_no_pair(spark, cutoff):
+    rng = random.Random(int(cutoff))
+    keys = sorted({"".join(rng.choice("abcdefghijklmnopé ") for _ in range(rng.randint(1, 20))) for _ in range(80)})
+    texts = sorted({spoilt(rng, rng.choice(keys), rng.randint(0, 5)) for _ in range(150)} - {""})
+    left, right = (spark.createDataFrame([(v,) for v in values], f"{n} string") for n, values in (("a", texts), ("b", keys)))
+    bound = T.may_reach(F.col("a"), T.letter_mask(F.col("a")), F.col("b"), T.letter_mask(F.col("b")), cutoff)
+    got = {tuple(r) for r in left.crossJoin(right).filter(bound).collect()}
+    assert {(a, b) for a in texts for b in keys if 200 * common(a, b) >= cutoff * (len(a) + len(b))} <= got
+    assert len(got) < len(texts) * len(keys) / 2
