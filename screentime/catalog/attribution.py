@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from screentime.catalog import query
+from screentime.catalog import ORACLES, query
 from screentime.operators import attribution as A
 from screentime.operators import dataset as D
 from screentime.operators import exposure as X
 from screentime.operators import team as T
+from screentime.session import scratch_path
+from screentime.sources import files as FL
 from screentime.tables import with_views
 
 LOGO = ["video_id", "t", "det_id"]
@@ -260,6 +262,15 @@ def export_yolo_labels(t):
     return D.yolo_lines(D.annotations_by_image(*coco(t)))
 
 
+@query("write_label_files", ORACLES["export_yolo_labels"].replace("SELECT i.image_id,", "SELECT i.image_id, CASE WHEN i.image_id % 5 = 0 THEN 'val' ELSE 'train' END AS split,"))
+def write_label_files(t):
+    path = scratch_path(t.spark, "labels")
+    texts = D.yolo_lines(D.annotations_by_image(*coco(t)))
+    side = F.when(F.col("image_id") % 5 == 0, "val").otherwise("train")
+    FL.write_labels(texts.select(F.col("image_id").alias("image"), side.alias("split"), "label_text"), path)
+    return FL.read_labels(t.spark, path).select(F.col("image").cast("bigint").alias("image_id"), "split", "label_text")
+
+
 @query("burst_best_frame", with_views("frame") + """
 SELECT video_id, centre_idx, best_idx, sharp FROM (
   SELECT c.video_id, c.frame_idx AS centre_idx, f.frame_idx AS best_idx, round(f.sharp, 9) AS sharp,
