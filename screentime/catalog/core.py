@@ -81,12 +81,14 @@ def analysis_totals(t):
     return X.analysis_totals(priced(t), t.meta()).select("video_id", r("total_emv_usd", 2), r("total_quality_s"), r("avg_visibility"), "brand_count")
 
 
-@query("timeline_intervals", with_views("det") + """
-SELECT video_id, brand_key, min(t) AS start_t, max(t) + 0.5 AS end_t FROM (
+_SPAN = """SELECT video_id, brand_key, min(t) AS start_t, max(t) + 0.5 AS end_t FROM (
   SELECT *, sum(opens) OVER (PARTITION BY video_id, brand_key ORDER BY t) AS run_no FROM (
     SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY video_id, brand_key ORDER BY t) <= 1.0 THEN 0 ELSE 1 END AS opens
     FROM (SELECT DISTINCT video_id, brand_key, t FROM v_det) d) a) b
-GROUP BY video_id, brand_key, run_no""")
+GROUP BY video_id, brand_key, run_no"""
+
+
+@query("timeline_intervals", with_views("det") + _SPAN)
 def timeline_intervals(t):
     return X.timeline_intervals(t.detections())
 

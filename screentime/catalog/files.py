@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from screentime.catalog import query
 from screentime.catalog import attribution as AQ
+from screentime.catalog import bodyparts as body
 from screentime.catalog import core, report
 from screentime.functions.visibility import placement_multiplier
 from screentime.operators import attribution as A
+from screentime.operators import bodyparts as B
 from screentime.operators import exposure as X
 from screentime.operators import frames as FO
 from screentime.operators import report as R
@@ -131,11 +133,38 @@ def write_pricing_csv(t):
     return back.groupBy("sponsor").agg(F.count(F.lit(1)).alias("videos"), F.sum("screen_time_s").alias("screen_time_s"))
 
 
-@query("write_analysis_store", with_views("match") + "SELECT video_id, event_name, match_date, duration_s FROM v_match")
+def documents(t, light: bool = False):
+    """Documents of all matches; light ones without zones and timelines."""
+    priced = core.priced(t)
+    frames = t.detections().select("video_id", "t").distinct().groupBy("video_id").agg(F.count(F.lit(1)).alias("frames_analyzed"))
+    matches = t.matches().select("video_id", "duration_s", (F.col("match_date").cast("timestamp") + F.expr("INTERVAL 1.5 SECONDS")).alias("analyzed_at"))
+    meta = (
+        t.meta().join(matches, "video_id").join(frames, "video_id", "left")
+        .withColumn("placement_multiplier", placement_multiplier(F.col("placement_type")))
+        .withColumn("preview_key", F.when(F.col("video_id") % 3 == 0, F.concat(F.lit("previews/"), F.col("video_id").cast("string"))))
+    )
+    zones, spans = A.zone_share(AQ.assigned(t), ["video_id"], t.meta()), X.timeline_intervals(t.detections())
+    teams, parts = A.team_filter_stats(AQ.verdicts(t)), B.bodypart_group8(body.pixels(t), ["video_id"])
+    if light:
+        zones, spans, teams, parts = zones.limit(0), spans.limit(0), None, None
+    return store.analysis_document(
+        meta, X.analysis_totals(priced), priced.withColumn("brand_name", F.col("brand_key")), core.segs(t), zones, spans, teams, parts
+    ).join(meta.select("video_id", "preview_key"), "video_id")
+
+
+@query("write_analysis_store", with_views("priced", "match") + """
+SELECT m.video_id, m.event_name, m.video_name, m.duration_s AS video_duration_s, coalesce(round_even(sum(emv_usd), 2), 0) AS total_emv_usd,
+       count(brand_key) AS logo_count, CAST(2 AS BIGINT) AS version, epoch_us(CAST(m.match_date AS TIMESTAMP)) + 1500000 AS analyzed_at
+FROM v_match m LEFT JOIN v_priced p ON p.video_id = m.video_id GROUP BY 1, 2, 3, 4, m.match_date""")
 def write_analysis_store(t):
+    # The first version knows no brands; the second one of the same ids takes its place.
     path = scratch_path(t.spark, "analyses")
-    store.write_analyses(t.matches(), path)
-    return store.newest_first(store.read_analyses(t.spark, path)).select("video_id", "event_name", "match_date", "duration_s")
+    full = documents(t, light=True)
+    first = full.withColumn("document", F.regexp_replace("document", r'"totalEmvUsd":[^,]*', '"totalEmvUsd":-1'))
+    store.write_analyses(first, path, 1)
+    store.write_analyses(full, path, 2)
+    rows = store.newest_first(store.read_analyses(t.spark, path), "analyzed_at")
+    return rows.select("video_id", "event_name", "video_name", "video_duration_s", "total_emv_usd", "logo_count", "version", F.unix_micros("analyzed_at").alias("analyzed_at"))
 
 
 @query("analysis_document", with_views("priced", "match", "det") + """
@@ -144,16 +173,7 @@ SELECT m.video_id, m.event_name, count(brand_key) AS logos, CAST(coalesce(sum(se
        (SELECT count(DISTINCT t) FROM v_det d WHERE d.video_id = m.video_id) AS frames, arg_min(brand_key, (round(-quality_exposure_s, 9), brand_key)) AS first_logo
 FROM v_match m LEFT JOIN v_priced p ON p.video_id = m.video_id GROUP BY 1, 2""")
 def analysis_document(t):
-    priced = core.priced(t)
-    frames = t.detections().select("video_id", "t").distinct().groupBy("video_id").agg(F.count(F.lit(1)).alias("frames_analyzed"))
-    meta = (
-        t.meta().join(t.matches().select("video_id", "duration_s"), "video_id").join(frames, "video_id", "left")
-        .withColumn("placement_multiplier", placement_multiplier(F.col("placement_type")))
-    )
-    docs = store.analysis_document(
-        meta, X.analysis_totals(priced), priced.withColumn("brand_name", F.col("brand_key")), core.segs(t),
-        A.zone_share(AQ.assigned(t), ["video_id"], t.meta()), X.timeline_intervals(t.detections()),
-    )
+    docs = documents(t)
     field = lambda path: F.get_json_object("document", path)
     logos = F.from_json(field("$.logos"), "array<struct<class:string,segmentCount:bigint>>")
     zones = F.from_json(field("$.bodyZones"), "array<struct<id:string>>")
@@ -163,3 +183,72 @@ def analysis_document(t):
         F.size(zones).alias("zones"), field("$.totalEmvUsd").cast("double").alias("total_emv"),
         field("$.metadata.framesAnalyzed").cast("bigint").alias("frames"), logos[0]["class"].alias("first_logo"),
     )
+
+
+_NUMBERS = "n1 n2 n3 n4 n5 n6 n7 n8".split()
+
+
+def _row(part: str, source: str, *numbers: str, name: str = "''", no: str = "0") -> str:
+    shown = [f"CAST({numbers[i]} AS DOUBLE) AS {n}" if i < len(numbers) else f"CAST(NULL AS DOUBLE) AS {n}" for i, n in enumerate(_NUMBERS)]
+    return f"SELECT video_id, '{part}' AS part, {name} AS name, CAST({no} AS BIGINT) AS no, {', '.join(shown)} FROM {source}"
+
+
+_e = "round_even({}, {})".format
+_FLAT = "\nUNION ALL ".join((
+    _row("document", f"""(SELECT m.video_id, m.event_name, m.duration_s, a.audience_size, a.cpm_base, CASE lower(trim(a.placement_type)) WHEN 'live broadcast tv' THEN 1.0
+      WHEN 'live stream' THEN 0.85 WHEN 'highlight clip' THEN 1.4 WHEN 'social media' THEN 0.7 ELSE 1.0 END AS mult,
+      (SELECT count(DISTINCT t) FROM v_det d WHERE d.video_id = m.video_id) AS frames, coalesce({_e("sum(emv_usd)", 2)}, 0) AS emv,
+      coalesce({_e("sum(quality_exposure_s)", 2)}, 0) AS quality, coalesce({_e("round(avg(avg_visibility), 9)", 2)}, 0) AS vis
+      FROM v_match m JOIN v_meta a ON a.video_id = m.video_id LEFT JOIN v_priced p ON p.video_id = m.video_id GROUP BY ALL) x""",
+         "duration_s", "audience_size", "cpm_base", "mult", "frames", "emv", "quality", "vis", name="event_name"),
+    _row("logo", "(SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY round(quality_exposure_s, 9) DESC, brand_key) - 1 AS no FROM v_priced) x",
+         _e("total_exposure_s", 1), _e("quality_exposure_s", 2), _e("round(avg_visibility, 9)", 2), "segment_count", _e("longest_segment_s", 1), _e("emv_usd", 2), name="brand_key", no="no"),
+    _row("segment", "v_seg", _e("start_t", 2), _e("end_t", 2), _e("avg_visibility", 3), "duration_weight", name="brand_key"),
+    _row("zone", "v_share", _e("percentage", 1), name="zone"),
+    _row("interval", "v_span", _e("start_t", 2), _e("end_t", 2), name="brand_key"),
+    _row("team", "v_match LEFT JOIN v_team USING (video_id)", "coalesce(kept, 0)", "coalesce(dropped, 0)", "coalesce(round_even(dropped / CAST(kept + dropped AS DOUBLE), 3), 0)"),
+    _row("bodypart", "q JOIN v_match USING (video_id)", _e("pct", 1), name="body_part"),
+    _row("flags", "v_match", "CASE WHEN video_id % 3 = 0 THEN 1 ELSE 0 END", "0", "epoch_us(CAST(match_date AS TIMESTAMP)) + 1500000"),
+))
+
+
+@query("analysis_document_flat", with_views("priced", "match", "det", "logo", "person", "vis", extra=AQ._OWNER + ",\n" + AQ._ZONE + f""",
+v_w AS (SELECT z.video_id, z.zone, sum(greatest(v.visibility, 1e-6)) AS wt FROM v_zone z JOIN v_vis v ON z.video_id = v.video_id AND z.det_id = v.det_id GROUP BY 1, 2),
+v_share AS (SELECT g.video_id, g.zone, coalesce(w.wt / s.total * 100, 0) AS percentage
+  FROM (SELECT * FROM (SELECT video_id FROM v_match) d CROSS JOIN (SELECT unnest([{", ".join(f"'{z}'" for z, _ in A.ZONES)}]) AS zone) n) g
+  LEFT JOIN v_w w ON w.video_id = g.video_id AND w.zone = g.zone LEFT JOIN (SELECT video_id, sum(wt) AS total FROM v_w GROUP BY 1) s ON s.video_id = g.video_id),
+v_span AS ({core._SPAN}),
+v_team AS (SELECT video_id, count(*) FILTER (WHERE keep) AS kept, count(*) FILTER (WHERE NOT keep) AS dropped FROM v_verdict GROUP BY 1),
+{body._cte(B.COARSE_GROUPS).strip().removeprefix("WITH ")}
+""") + _FLAT)
+def analysis_document_flat(t):
+    """Every number of the documents, one row per entry of each list."""
+    schema = """eventName string, videoDurationSeconds double, analyzedAt string, metadata struct<audienceSize double, cpmBase double, placementMultiplier double, framesAnalyzed double>,
+      logos array<struct<class string, segments array<struct<startTime double, endTime double, avgVisibility double, durationWeight double>>,
+        totalExposureSeconds double, qualityExposureSeconds double, avgVisibilityScore double, segmentCount double, longestSegmentSeconds double, emvUsd double>>,
+      bodyZones array<struct<id string, percentage double>>, detectionTimeline array<struct<class string, intervals array<struct<start double, `end` double>>>>,
+      totalEmvUsd double, totalQualityExposureSeconds double, avgVisibilityScore double, previewAvailable boolean, bodysegAvailable boolean,
+      bodysegGroups map<string, double>, teamFilter struct<kept double, dropped double, dropRate double>"""
+    d = documents(t).select("video_id", F.from_json("document", schema).alias("d"))
+
+    def entry(part, *numbers, name=F.lit(""), no=F.lit(0)):
+        padded = [*numbers, *[F.lit(None)] * (len(_NUMBERS) - len(numbers))]
+        return F.struct(F.lit(part).alias("part"), name.alias("name"), no.cast("bigint").alias("no"), *[v.cast("double").alias(n) for v, n in zip(padded, _NUMBERS)])
+
+    f = lambda path: F.col(f"d.{path}")
+    rows = F.concat(
+        F.array(
+            entry("document", f("videoDurationSeconds"), f("metadata.audienceSize"), f("metadata.cpmBase"), f("metadata.placementMultiplier"),
+                  f("metadata.framesAnalyzed"), f("totalEmvUsd"), f("totalQualityExposureSeconds"), f("avgVisibilityScore"), name=f("eventName")),
+            entry("team", f("teamFilter.kept"), f("teamFilter.dropped"), f("teamFilter.dropRate")),
+            entry("flags", f("previewAvailable"), f("bodysegAvailable"), F.unix_micros(f("analyzedAt").cast("timestamp"))),
+        ),
+        F.transform(f("logos"), lambda x, i: entry(
+            "logo", x["totalExposureSeconds"], x["qualityExposureSeconds"], x["avgVisibilityScore"], x["segmentCount"], x["longestSegmentSeconds"], x["emvUsd"], name=x["class"], no=i)),
+        F.flatten(F.transform(f("logos"), lambda x: F.transform(x["segments"], lambda s: entry(
+            "segment", s["startTime"], s["endTime"], s["avgVisibility"], s["durationWeight"], name=x["class"])))),
+        F.transform(f("bodyZones"), lambda x: entry("zone", x["percentage"], name=x["id"])),
+        F.flatten(F.transform(f("detectionTimeline"), lambda x: F.transform(x["intervals"], lambda s: entry("interval", s["start"], s["end"], name=x["class"])))),
+        F.transform(F.map_entries(f("bodysegGroups")), lambda x: entry("bodypart", x["value"], name=x["key"])),
+    )
+    return d.select("video_id", F.inline(rows))

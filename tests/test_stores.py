@@ -1,10 +1,13 @@
 """Label files, versioned analyses and the full analysis document."""
 
+import datetime as dt
+import json
 import os
 
 import pytest
 
 from screentime.sources import files as FL
+from screentime.sources import store
 
 
 def labels(spark, rows):
@@ -31,3 +34,52 @@ def test_label_files_of_a_failed_job_do_not_show(spark, tmp_path):
     FL.write_labels(labels(spark, [("1", "train", "x"), ("1", "train", "x")]), path)
     assert FL.read_labels(spark, path).count() == 1
     assert os.listdir(f"{path}/train/labels") == ["1.txt"]
+
+
+def documents(spark, rows):
+    return spark.createDataFrame(rows, "video_id bigint, document string, preview_key string")
+
+
+def document(name, emv, logos, when):
+    return json.dumps({"eventName": name, "videoName": "v.mp4", "videoDurationSeconds": 10.5, "analyzedAt": when, "logos": [{}] * logos, "totalEmvUsd": emv})
+
+
+def test_a_second_version_takes_the_place_of_the_first(spark, tmp_path):
+    path = str(tmp_path / "store")
+    first = [(1, document("a", 5.0, 2, "2024-05-01T10:00:00Z"), None), (2, document("b", 7.0, 0, "2024-05-02T10:00:00.5Z"), "p/2")]
+    second = [(1, document("a2", 6.5, 3, "2024-06-01T00:00:00Z"), "p/1"), (3, "{}", None)]
+    store.write_analyses(documents(spark, first), path, 1)
+    store.write_analyses(documents(spark, second), path, 2)
+    store.write_analyses(documents(spark, second), path, 2)  # a repeated write
+    rows = store.newest_first(store.read_analyses(spark, path), "analyzed_at").collect()
+    assert [(r.video_id, r.version, r.event_name, r.total_emv_usd, r.logo_count, r.preview_key) for r in rows] == [
+        (1, 2, "a2", 6.5, 3, "p/1"), (2, 1, "b", 7.0, 0, "p/2"), (3, 2, "", 0.0, 0, None),
+    ]
+    assert json.loads(rows[0].result_json)["eventName"] == "a2"
+    assert spark.read.parquet(path).count() == 4
+    one = store.get_analysis(spark, path, 1).collect()
+    assert [(r.video_id, r.version) for r in one] == [(1, 2)] and not store.get_analysis(spark, path, 9).collect()
+
+
+def test_document_with_filter_groups_and_flags(spark):
+    meta = spark.createDataFrame(
+        [(1, "e", "v", 10.0, 5, "Radio", 22.0, 1.0, 3, dt.datetime(2024, 1, 2, 3, 4, 5), "p", None), (2, "f", "w", 1.0, 5, None, 22.0, 1.0, 0, None, None, "b")],
+        "video_id bigint, event_name string, video_name string, duration_s double, audience_size bigint, placement_type string, cpm_base double, "
+        "placement_multiplier double, frames_analyzed bigint, analyzed_at timestamp, preview_key string, bodyseg_key string",
+    )
+    none = spark.createDataFrame([], "video_id bigint, brand_key string, brand_name string, total_emv_usd double, total_quality_s double, avg_visibility double, "
+                                 "quality_exposure_s double, total_exposure_s double, segment_count bigint, longest_segment_s double, emv_usd double, start_t double, "
+                                 "end_t double, duration_weight double, zone_no int, zone string, name string, percentage double")
+    totals = none.select("video_id", "total_emv_usd", "total_quality_s", "avg_visibility")
+    brands = none.select("video_id", "brand_key", "brand_name", "avg_visibility", "quality_exposure_s", "total_exposure_s", "segment_count", "longest_segment_s", "emv_usd")
+    teams = spark.createDataFrame([(1, 2, 1)], "video_id bigint, kept bigint, dropped bigint")
+    parts = spark.createDataFrame([(2, {"Head": 12.5})], "video_id bigint, groups map<string,double>")
+    made = store.analysis_document(meta, totals, brands, none, none, none, teams, parts)
+    one, two = (json.loads(r.document) for r in made.orderBy("video_id").collect())
+    assert one["analyzedAt"] == "2024-01-02T03:04:05Z" and "analyzedAt" not in two
+    assert one["teamFilter"] == {"enabled": True, "kept": 2, "dropped": 1, "dropRate": 0.333}
+    assert two["teamFilter"] == {"enabled": True, "kept": 0, "dropped": 0, "dropRate": 0.0}
+    assert (one["bodysegGroups"], two["bodysegGroups"]) == ({}, {"Head": 12.5})
+    assert (one["previewAvailable"], one["bodysegAvailable"], two["previewAvailable"], two["bodysegAvailable"]) == (True, False, False, True)
+    plain = json.loads(store.analysis_document(meta.drop("analyzed_at", "preview_key", "bodyseg_key"), totals, brands, none, none, none).first().document)
+    assert "teamFilter" not in plain and plain["bodysegAvailable"] is False and plain["bodysegGroups"] == {}
