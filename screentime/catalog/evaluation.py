@@ -121,10 +121,10 @@ def resume_labels(t):
     return D.resume_labels(t.raw("labels").select("doc_id", F.col("quality").alias("label")), new, "doc_id")
 
 
-@query("index_union", "SELECT l_orderkey AS idx FROM lineitem WHERE l_linenumber = 1 UNION SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0")
+@query("index_union", "SELECT l_orderkey AS idx FROM lineitem UNION SELECT o_orderkey FROM orders")
 def index_union(t):
-    a = t.raw("lineitem").filter("l_linenumber = 1").select(F.col("l_orderkey").alias("idx"))
-    return a.union(t.raw("orders").filter("o_orderkey % 3 = 0").select("o_orderkey")).distinct()
+    a = t.raw("lineitem").select(F.col("l_orderkey").alias("idx"))
+    return a.union(t.raw("orders").select("o_orderkey")).distinct()
 
 
 _COMP = """v_comp AS (SELECT *, 0.7 * ln(1 + sharp) + n_target + 8 * avg_target_h + CASE WHEN max_target_h >= 0.4 THEN 3 ELSE 0 END - 2 * crowd_score AS composite FROM v_frame)"""

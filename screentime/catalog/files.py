@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from screentime.catalog import query
+from screentime.catalog import ORACLES, query
 from screentime.catalog import attribution as AQ
 from screentime.catalog import bodyparts as body
 from screentime.catalog import core, report
@@ -44,19 +45,35 @@ def read_frame_scores_csv(t):
     )
 
 
-@query("read_frame_scores_json", with_views("frame") + """
-SELECT CAST(video_id AS VARCHAR) AS source_video, count(*) AS n, CAST(sum(n_target) AS BIGINT) AS n_target FROM v_frame GROUP BY 1""")
-def read_frame_scores_json(t):
-    path = scratch_path(t.spark, "candidates")
+def candidates(t):
     box = F.array(F.array(*[F.lit(i).cast("bigint") for i in (0, 0, 10, 20)]))
-    rows = FO.with_composite(t.frames()).select(
+    return FO.with_composite(t.frames()).select(
         "frame_idx", "time_s", "composite", "sharp", "n_target", (F.col("n_persons") - F.col("n_target")).alias("n_other"), "avg_target_h",
         "max_target_h", "is_closeup", "crowd_score", "grass_ratio", box.alias("target_boxes"), box.alias("other_boxes"),
         F.lpad(F.hex(F.col("phash")[0]), 16, "0").alias("phash"), F.col("video_id").cast("string").alias("source_video"),
     )
+
+
+@query("read_frame_scores_json", with_views("frame") + """
+SELECT CAST(video_id AS VARCHAR) AS source_video, count(*) AS n, CAST(sum(n_target) AS BIGINT) AS n_target FROM v_frame GROUP BY 1""")
+def read_frame_scores_json(t):
+    path = scratch_path(t.spark, "candidates")
+    rows = candidates(t)
     rows.write.json(path)
-    back = FL.read_frame_scores_json(t.spark, path, lines=True)
-    return back.groupBy("source_video").agg(F.count(F.lit(1)).alias("n"), F.sum("n_target").alias("n_target"))
+    return candidate_counts(FL.read_frame_scores_json(t.spark, path, lines=True))
+
+
+def candidate_counts(rows):
+    return rows.groupBy("source_video").agg(F.count(F.lit(1)).alias("n"), F.sum("n_target").alias("n_target"))
+
+
+@query("read_frame_scores_lists", ORACLES["read_frame_scores_json"])
+def read_frame_scores_lists(t):
+    # One file per video with one list, as the frame selector caches its candidates.
+    path = scratch_path(t.spark, "candidate-lists")
+    lists = candidates(t).groupBy("source_video").agg(F.to_json(F.collect_list(F.struct("*"))).alias("value"))
+    lists.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return candidate_counts(FL.read_frame_scores_json(t.spark, path))
 
 
 @query("read_coco", """
@@ -121,16 +138,19 @@ def write_brand_csv(t):
     )
 
 
-@query("write_pricing_csv", with_views("ocr") + """
-SELECT sponsor, count(DISTINCT video_id) AS videos, CAST(count(*) AS DOUBLE) AS screen_time_s FROM v_ocr GROUP BY 1""")
+@query("write_pricing_csv", ORACLES["pricing_join"])
 def write_pricing_csv(t):
+    # Half of the columns come back from the full table, half from the summary.
     full_path, exec_path = scratch_path(t.spark, "pricing"), scratch_path(t.spark, "summary")
     priced = R.emv_gbp(report.agg(t))
     full = R.full_price_table(priced, R.price_recommendation(priced, ["video_id"]), ["video_id"])
     FL.write_pricing_csv(full, full_path, exec_path)
-    back = t.spark.read.csv(exec_path, header=True, schema="video_id bigint, sponsor string, screen_time_s double, screen_time_pct double, "
-                            "mean_area_pct double, mean_qi double, eff_area_sec double, emv_gbp double, fair_price_match_gbp double, fair_price_season_gbp double")
-    return back.groupBy("sponsor").agg(F.count(F.lit(1)).alias("videos"), F.sum("screen_time_s").alias("screen_time_s"))
+    exec_schema = StructType([full.schema[c] for c in ("video_id", *R.EXEC_COLUMNS)])
+    table, summary = t.spark.read.csv(full_path, header=True, schema=full.schema), t.spark.read.csv(exec_path, header=True, schema=exec_schema)
+    both = table.select(*report.SCOPE, "screen_time_s", "screen_time_pct", "fair_price_season_gbp").join(
+        summary.select(*report.SCOPE, "eff_area_sec", "emv_gbp", "fair_price_match_gbp"), report.SCOPE
+    )
+    return both.select(*report.SCOPE, "screen_time_s", "screen_time_pct", "eff_area_sec", "emv_gbp", "fair_price_match_gbp", "fair_price_season_gbp")
 
 
 def documents(t, light: bool = False):

@@ -44,24 +44,37 @@ def portfolio_kpis(t):
     )
 
 
-@query("brand_match_emv", with_views("priced", "match") + """
-SELECT m.video_id, b.brand_key, round(coalesce(emv_usd, 0), 2) AS emv FROM v_match m CROSS JOIN (SELECT DISTINCT brand_key FROM v_priced) b
+_TOP = "(SELECT brand_key FROM v_port ORDER BY round(emv, 2) DESC, brand_key LIMIT {n})"
+
+
+@query("brand_match_emv", _BOTH + f"""
+SELECT m.video_id, b.brand_key, round(coalesce(emv_usd, 0), 2) AS emv FROM v_match m CROSS JOIN {_TOP.format(n=5)} b
 LEFT JOIN v_priced p ON p.video_id = m.video_id AND p.brand_key = b.brand_key""")
 def brand_match_emv(t):
     res = priced(t)
-    return P.brand_match_emv(res, res, t.matches()).select("video_id", "brand_key", r("emv", 2))
+    return P.brand_match_emv(res, P.top_brands(port(t), 5), t.matches()).select("video_id", "brand_key", r("emv", 2))
 
 
-_TOP = "(SELECT brand_key FROM v_port ORDER BY round(emv, 2) DESC, brand_key LIMIT {n})"
+_HEAT = _BOTH + f"""
+SELECT m.video_id, b.brand_key, round(coalesce(emv_usd, 0), 2) AS emv FROM v_match m CROSS JOIN {_TOP.format(n=10)} b
+LEFT JOIN v_priced p ON p.video_id = m.video_id AND p.brand_key = b.brand_key"""
 
 
-@query("brand_match_heatmap", _BOTH + f"""
-SELECT m.video_id, b.brand_key, round(coalesce(emv_usd, 0), 2) AS emv FROM v_match m CROSS JOIN {_TOP.format(n=10)} b
-LEFT JOIN v_priced p ON p.video_id = m.video_id AND p.brand_key = b.brand_key""")
+@query("brand_match_heatmap", _HEAT)
 def brand_match_heatmap(t):
     return P.heatmap(priced(t), t.matches(), 10).select("video_id", "brand_key", r("emv", 2))
 
 
+SHOWN = [1, 2, 3, 5, 8]
+
+
+@query("brand_match_heatmap_wide", "SELECT brand_key, " + ", ".join(
+    f"round(coalesce(sum(emv) FILTER (WHERE video_id = {v}), 0), 2) AS m{v}" for v in SHOWN) + f" FROM ({_HEAT}) h GROUP BY 1")
+def brand_match_heatmap_wide(t):
+    wide = P.heatmap_wide(P.heatmap(priced(t), t.matches(), 10), SHOWN)
+    return wide.select("brand_key", *[F.round(F.col(str(v)), 2).alias(f"m{v}") for v in SHOWN])
+
+
 @query("brand_per_match", with_views("priced") + """
 SELECT video_id, brand_key, round(emv_usd, 2) AS emv, total_exposure_s AS exposure, segment_count AS segments,
        round(avg_visibility * total_exposure_s / nullif(total_exposure_s, 0), 6) AS visibility, round(emv_usd / nullif(sum(emv_usd) OVER (PARTITION BY video_id), 0), 6) AS sov FROM v_priced""")
