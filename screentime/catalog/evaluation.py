@@ -195,15 +195,25 @@ def temporal_dedup(t):
 
 
 @query("phash_near_pairs", with_views("frame", extra="""
-v_hash AS (SELECT phash, count(*) AS n, min(video_id * 1000 + frame_idx) AS first FROM v_frame GROUP BY 1),
+v_hash AS (SELECT phash, count(*) AS n, min(video_id * 1000 + frame_idx) AS first FROM v_frame GROUP BY 1, video_id),
 v_pair AS (SELECT a.first // 1000 AS video_id, a.first % 1000 AS frame_idx, b.first // 1000 AS video_id_b, b.first % 1000 AS frame_idx_b, a.n AS n_a, b.n AS n_b,
   CAST(bit_count(xor(a.phash[1], b.phash[1])) AS BIGINT) + CAST(bit_count(xor(a.phash[2], b.phash[2])) AS BIGINT) + CAST(bit_count(xor(a.phash[3], b.phash[3])) AS BIGINT) + CAST(bit_count(xor(a.phash[4], b.phash[4])) AS BIGINT) AS distance
-  FROM v_hash a JOIN v_hash b ON a.phash < b.phash)""") + """
+  FROM v_hash a JOIN v_hash b ON a.phash < b.phash AND a.first // 1000 = b.first // 1000)""") + """
 SELECT CAST(video_id AS BIGINT) AS video_id, CAST(frame_idx AS BIGINT) AS frame_idx, CAST(video_id_b AS BIGINT) AS video_id_b, CAST(frame_idx_b AS BIGINT) AS frame_idx_b, n_a, n_b, CAST(distance AS BIGINT) AS distance FROM v_pair WHERE distance <= 9""")
 def phash_near_pairs(t):
     return VO.phash_near_pairs(t.frames())
 
 
+@query("phash_near_pairs_across", with_views("frame", extra="""
+v_hash AS (SELECT phash, count(*) AS n, min(video_id * 1000 + frame_idx) AS first FROM v_frame GROUP BY 1),
+v_pair AS (SELECT a.first // 1000 AS video_id, a.first % 1000 AS frame_idx, b.first // 1000 AS video_id_b, b.first % 1000 AS frame_idx_b, a.n AS n_a, b.n AS n_b,
+  CAST(bit_count(xor(a.phash[1], b.phash[1])) AS BIGINT) + CAST(bit_count(xor(a.phash[2], b.phash[2])) AS BIGINT) + CAST(bit_count(xor(a.phash[3], b.phash[3])) AS BIGINT) + CAST(bit_count(xor(a.phash[4], b.phash[4])) AS BIGINT) AS distance
+  FROM v_hash a JOIN v_hash b ON a.phash < b.phash)""") + """
+SELECT CAST(video_id AS BIGINT) AS video_id, CAST(frame_idx AS BIGINT) AS frame_idx, CAST(video_id_b AS BIGINT) AS video_id_b, CAST(frame_idx_b AS BIGINT) AS frame_idx_b, n_a, n_b, CAST(distance AS BIGINT) AS distance FROM v_pair WHERE distance <= 9""")
+def phash_near_pairs_across(t):
+    return VO.phash_near_pairs(t.frames(), scope=())
+
+
 # ── vectors ──────────────────────────────────────────────────────────────────
 
 

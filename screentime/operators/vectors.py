@@ -155,7 +155,8 @@ def cluster_size_rank(rows: DataFrame) -> DataFrame:
     return ordered.select("e.cluster", (-F.col("e.neg")).alias("n"), name.alias("team"))
 
 
-_BANDS = 10
+#: One band more than bits may differ; levels that a hot band is split on.
+_BANDS, _LEVELS = 10, 3
 
 
 def _band_values(words: Column, lo: int, hi: int) -> Column:
@@ -172,37 +173,50 @@ def _band_values(words: Column, lo: int, hi: int) -> Column:
     return out
 
 
-def phash_near_pairs(frames: DataFrame, max_distance: int = 9, hot: int = 512) -> DataFrame:
-    """Pairs of distinct hashes within ``max_distance`` bits, with the frames behind each.
+def _cuts(level: int) -> list[int]:
+    """Borders of the bands of a level: each level shifts them by another fraction of a band."""
+    width = 256 / _BANDS
+    shift = width * level / _LEVELS
+    return [0, *(round(i * width + shift) for i in range(1, _BANDS)), 256]
 
-    Equal hashes are folded first, so copies add to a count and never to the pairs.
-    ``max_distance + 1`` bands cannot all differ, so equal bands find every pair. A
-    band value shared by many hashes would meet all of them; such a bucket is split
-    again by the bands of the remaining bits, which by the same argument loses no
-    pair, and the first shared band of each level keeps a pair unique.
+
+def _bands(words: Column, level: int) -> Column:
+    cuts = _cuts(level)
+    return F.array(*[_band_values(words, cuts[i], cuts[i + 1]) for i in range(_BANDS)])
+
+
+def phash_near_pairs(frames: DataFrame, scope: tuple[str, ...] = ("video_id",), hot: int = 512) -> DataFrame:
+    """Pairs of distinct hashes of one scope within 9 bits, with the frames behind each.
+
+    Equal hashes of a scope are folded first, so copies add to a count and never to the
+    pairs. Ten bands cannot all differ in nine bits, so equal bands find every pair, however
+    the bits are cut. A band value that more than ``hot`` hashes share is therefore split
+    again by the bands of the next level, cut at other places, and those buckets once more;
+    a pair is told by its first shared band of every level its bucket went through.
+    ``scope`` is the video by default; without one all hashes are compared.
     """
-    bands = max_distance + 1
-    cuts = [round(i * 256 / bands) for i in range(bands + 1)]
-    hashes = frames.groupBy("phash").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("video_id", "frame_idx")).alias("first"))
-    values = F.array(*[_band_values(F.col("phash"), cuts[i], cuts[i + 1]) for i in range(bands)])
-    keyed = hashes.withColumn("bands", values).select("*", F.posexplode("bands").alias("band", "value"))
-    sizes = keyed.groupBy("band", "value").agg(F.count(F.lit(1)).alias("bucket"))
-    sized = keyed.join(sizes.filter("bucket > 1"), ["band", "value"])
-    plain = sized.filter(F.col("bucket") <= hot).select("*", F.lit(-1).alias("sub"), F.lit(0).cast("bigint").alias("sub_value"))
-    # Inside a hot bucket the other bits, cut into the same number of shifted bands.
-    half = [round((i + 0.5) * 256 / bands) for i in range(bands)]
-    edges = [0, *half[:-1], 256]
-    shifted = F.array(*[_band_values(F.col("phash"), edges[i], edges[i + 1]) for i in range(bands)])
-    split = sized.filter(F.col("bucket") > hot).select("*", F.posexplode(shifted).alias("sub", "sub_value"))
-    parts = plain.unionByName(split)
-    left = parts.select("band", "value", "sub", "sub_value", F.col("phash").alias("hash_a"), F.col("n").alias("n_a"), F.col("first").alias("first_a"), F.col("bands").alias("bands_a"))
-    right = parts.select("band", "value", "sub", "sub_value", F.col("phash").alias("hash_b"), F.col("n").alias("n_b"), F.col("first").alias("first_b"), F.col("bands").alias("bands_b"))
-    near = left.join(right, ["band", "value", "sub", "sub_value"]).filter(F.col("hash_a") < F.col("hash_b"))
-    first_band = F.array_position(F.zip_with("bands_a", "bands_b", lambda a, b: a == b), F.lit(True)) - 1
-    distance = T.hamming(F.col("hash_a"), F.col("hash_b")).cast("bigint")
-    return (
-        near.filter(first_band == F.col("band")).withColumn("distance", distance).filter(F.col("distance") <= max_distance)
-        .select("first_a.video_id", "first_a.frame_idx", F.col("first_b.video_id").alias("video_id_b"),
-                F.col("first_b.frame_idx").alias("frame_idx_b"), "n_a", "n_b", "distance")
-        .distinct()
+    keys = [*scope, "path"]
+    level = frames.groupBy(*scope, "phash").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("video_id", "frame_idx")).alias("first")
+    ).withColumn("path", F.array().cast("array<bigint>"))
+    buckets = None
+    for number in range(_LEVELS):
+        cut = level.select("*", F.posexplode(_bands(F.col("phash"), number)).alias("band", "value"))
+        cut = cut.withColumn("path", F.concat("path", F.array(F.col("band").cast("bigint"), "value"))).drop("band", "value")
+        sizes = cut.groupBy(*keys).agg(F.count(F.lit(1)).alias("bucket")).filter("bucket > 1")
+        sized = cut.join(sizes, keys)
+        last = number == _LEVELS - 1
+        done = (sized if last else sized.filter(F.col("bucket") <= hot)).drop("bucket")
+        buckets = done if buckets is None else buckets.unionByName(done)
+        level = sized.filter(F.col("bucket") > hot).drop("bucket")
+    sides = [buckets.select(*keys, *[F.col(c).alias(f"{c}_{side}") for c in ("phash", "n", "first")]) for side in "ab"]
+    near = sides[0].join(sides[1], keys).filter(F.col("phash_a") < F.col("phash_b"))
+    distance = T.hamming(F.col("phash_a"), F.col("phash_b")).cast("bigint")
+    near = near.withColumn("distance", distance).filter(F.col("distance") < _BANDS)
+    for number in range(_LEVELS):
+        shared = F.zip_with(_bands(F.col("phash_a"), number), _bands(F.col("phash_b"), number), lambda a, b: a == b)
+        near = near.filter((F.size("path") <= 2 * number) | (F.array_position(shared, F.lit(True)) - 1 == F.get("path", F.lit(2 * number))))
+    return near.select(
+        "first_a.video_id", "first_a.frame_idx", F.col("first_b.video_id").alias("video_id_b"), F.col("first_b.frame_idx").alias("frame_idx_b"),
+        "n_a", "n_b", "distance",
     )

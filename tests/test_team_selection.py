@@ -235,20 +235,24 @@ def test_diverse_topk_of_a_video_with_most_rows(spark):
     assert tiers == {(1, "strict"), (2, "exhausted"), (None, "exhausted")}
 
 
-@pytest.mark.parametrize("hot", [1, 512])
-def test_near_pairs_equal_all_pairs(spark, hot):
-    items = frames(9, 60) + [(3, i, 0.0, 0.0, frames(9, 60)[0][4], 0.2) for i in range(200, 230)]
+@pytest.mark.parametrize("scope", [(), ("video_id",)])
+@pytest.mark.parametrize("hot", [1, 4, 512])
+def test_near_pairs_equal_all_pairs(spark, hot, scope):
+    # most hashes agree in their first 200 bits: hot bands at two levels
+    rng = random.Random(4)
+    same = frames(9, 60)[0][4]
+    crowd = [(1 + i % 2, 400 + i, 0.0, 0.0, [*same[:3], same[3] ^ sum(1 << rng.randrange(60) for _ in range(4))], 0.2) for i in range(40)]
+    items = frames(9, 60) + crowd + [(3, i, 0.0, 0.0, same, 0.2) for i in range(200, 230)]
     groups = {}
     for f in items:
-        groups.setdefault(tuple(f[4]), []).append((f[0], f[1]))
+        groups.setdefault((f[0] if scope else 0, tuple(f[4])), []).append((f[0], f[1]))
     hashes = sorted(groups)
     want = {
-        (min(groups[a]), min(groups[b]), len(groups[a]), len(groups[b]), bits(a, b))
-        for i, a in enumerate(hashes) for b in hashes[i + 1 :] if bits(a, b) <= 9
+        (min(groups[a]), min(groups[b]), len(groups[a]), len(groups[b]), bits(a[1], b[1]))
+        for i, a in enumerate(hashes) for b in hashes[i + 1 :] if a[0] == b[0] and bits(a[1], b[1]) <= 9
     }
-    df = spark.createDataFrame(items, FRAME)
-    got = VO.phash_near_pairs(df, hot=hot).collect()
-    assert len(got) == len(want)
+    got = VO.phash_near_pairs(spark.createDataFrame(items, FRAME), scope, hot=hot).collect()
+    assert len(got) == len(want) > 100
     assert {((r.video_id, r.frame_idx), (r.video_id_b, r.frame_idx_b), r.n_a, r.n_b, r.distance) for r in got} == want
 
 
