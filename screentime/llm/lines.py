@@ -9,31 +9,39 @@ from screentime.llm.common import carried, row_key, table
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BLANKS = " \t\n\x0b\x0c\r"
+#: Groups that the records of one line are dealt to.
+SALTS = 16
 
 
 def normal_line(line: Column) -> Column:
     """A line in lower case (A-Z) without blanks around it."""
-    return F.trim(F.translate(line, _UPPER, _LOWER))
+    return F.trim(F.translate(line, _UPPER, _LOWER), F.lit(_BLANKS))
 
 
 def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
+def dealt(lines: DataFrame, few: DataFrame) -> DataFrame:
+    """``lines`` with the columns of ``few`` (a row per line), met by (line, salt): one line in every record is
+    ``SALTS`` groups, not one."""
+    return lines.join(few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["line", "salt"])
+
+
 def boilerplate_lines(lines: DataFrame, max_sites: int = 8, near: float = 0.1, log2_size: int = 12) -> DataFrame:
-    """(line): hashes of lines that stand on more than ``max_sites`` sites.
+    """(line, first): hashes of lines on more than ``max_sites`` sites, and the smallest id that has one.
 
-    ``lines`` has (line, site). One HyperLogLog sketch per line takes the sites and merges by
-    aggregation. Estimates within ``near`` of the limit (over five standard errors at
-    2^12 registers) are settled by an exact distinct count; others stand.
+    ``lines`` has (line, salt, id, site). One HyperLogLog sketch per line takes the sites and merges
+    by aggregation, next to the smallest id. Estimates within ``near`` of the limit (over five standard
+    errors at 2^12 registers) are settled by an exact distinct count; others stand.
     """
-    spread = lines.groupBy("line").agg(F.hll_sketch_agg("site", log2_size).alias("sketch"))
-    spread = spread.select("line", F.hll_sketch_estimate("sketch").alias("sites"))
+    spread = lines.groupBy("line").agg(F.hll_sketch_agg("site", log2_size).alias("sketch"), F.min("id").alias("first"))
+    spread = spread.select("line", "first", F.hll_sketch_estimate("sketch").alias("sites"))
     spread = table(spread.where(F.col("sites") >= F.floor(F.lit((max_sites + 1) * (1 - near)))), "line-spread")
-    close = spread.where(F.col("sites") <= F.ceil(F.lit(max_sites * (1 + near)))).select("line")
-    exact = lines.join(close, "line", "left_semi").groupBy("line").agg(F.count_distinct("site").alias("sites"))
+    close = spread.where(F.col("sites") <= F.ceil(F.lit(max_sites * (1 + near)))).select("line", "first")
+    exact = dealt(lines.select("line", "salt", "site"), close).groupBy("line", "first").agg(F.count_distinct("site").alias("sites"))
     sure = spread.where(F.col("sites") > F.ceil(F.lit(max_sites * (1 + near))))
-    return sure.select("line").unionByName(exact.where(F.col("sites") > max_sites).select("line"))
+    return sure.select("line", "first").unionByName(exact.where(F.col("sites") > max_sites).select("line", "first"))
 
 
 def remove_site_boilerplate(
@@ -42,7 +50,7 @@ def remove_site_boilerplate(
 ) -> DataFrame:
     """OCR transcripts without the lines that many channels share.
 
-    Lines are compared in lower case without outer blanks; blank lines stay. A line on
+    Lines are compared in lower case without outer blanks (tabs and carriage returns count); blank lines stay. A line on
     more than ``max_sites`` distinct channels is boilerplate and goes everywhere but in
     the record with the smallest id that has it, so no content leaves the table whole.
     Returns id_col, n_lines, n_removed, kept_text and ``carry_cols`` unchanged. A null text stays null, has one
@@ -56,10 +64,10 @@ def remove_site_boilerplate(
     split = rows.select("row", "id", F.xxhash64("site").alias("hash"), "site", F.posexplode(lines_of(F.col("text"))).alias("at", "line"))
     split = split.withColumn("line", normal_line(F.col("line"))).where("line != ''")
     site = F.when(F.col("site").isNotNull(), F.col("hash")).alias("site")
-    lines = table(split.select("row", "id", "at", F.xxhash64("line").alias("line"), site), "lines")
-    found = lines.select("row", "id", "at", "line").join(boilerplate_lines(lines.select("line", "site"), max_sites), "line")
-    first = found.groupBy("line").agg(F.min("id").alias("first"))
-    gone = found.join(first, "line").where(~F.col("id").eqNullSafe(F.col("first"))).groupBy("row").agg(F.collect_set("at").alias("gone"))
+    salt = F.pmod(F.hash("row", "at"), F.lit(SALTS)).alias("salt")
+    lines = table(split.select("row", "id", "at", F.xxhash64("line").alias("line"), salt, site), "lines")
+    found = dealt(lines.select("row", "id", "at", "line", "salt"), boilerplate_lines(lines, max_sites))
+    gone = found.where(~F.col("id").eqNullSafe(F.col("first"))).groupBy("row").agg(F.collect_set("at").alias("gone"))
     joined = rows.select("row", "id", "text", "carry").join(gone, "row", "left").withColumn("all", lines_of(F.col("text")))
     keep = F.array_except(F.sequence(F.lit(0), F.size("all") - 1), F.col("gone"))
     kept = F.array_join(F.transform(keep, lambda i: F.get(F.col("all"), i)), "\n")

@@ -5,6 +5,8 @@ from __future__ import annotations
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
 
+_BLANKS = " || ".join(f"chr({c})" for c in (32, 9, 10, 11, 12, 13))
+
 OP3 = f"""
 WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(_LOWER.format('text'))} AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
@@ -35,7 +37,7 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
 
 OP8 = f"""
 WITH l AS (SELECT doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
-k AS (SELECT *, trim({_LOWER.format('line')}) AS norm FROM l),
+k AS (SELECT *, trim({_LOWER.format('line')}, {_BLANKS}) AS norm FROM l),
 b AS (SELECT norm, min(doc_id) AS first_doc FROM k WHERE norm <> '' GROUP BY norm HAVING count(DISTINCT source) > 8),
 f AS (SELECT k.*, b.norm IS NOT NULL AND k.doc_id <> b.first_doc AS gone FROM k LEFT JOIN b ON b.norm = k.norm)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
@@ -46,7 +48,7 @@ FROM f GROUP BY doc_id
 OP9 = rf"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, {_WORDS.format('text')} AS w FROM documents),
 l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d),
-k AS (SELECT *, trim({_LOWER.format('line')}) AS norm, len({_WORDS.format('line')}) AS words FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+k AS (SELECT *, trim({_LOWER.format('line')}, {_BLANKS}) AS norm, len({_WORDS.format('line')}) AS words FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM k GROUP BY doc_id),
 common AS (SELECT source, norm FROM k GROUP BY source, norm HAVING count(DISTINCT doc_id) > 50),
 gone AS (SELECT doc_id, sum(words) AS n FROM k JOIN common c ON c.norm = k.norm AND c.source IS NOT DISTINCT FROM k.source GROUP BY doc_id),
