@@ -20,6 +20,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "random")
 
+#: Rows with a labelled string, for Spark's matcher.
+LABELLED = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{8,}|AKIA[A-Z0-9]{12,}|[0-9a-f]{32,}"""
+
 #: What the models judge: runs of key characters, longer than an ordinary word.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 ORDINARY = re.compile(r"[A-Za-z0-9+/_=-]{6,}")
@@ -33,6 +36,13 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def reaches_past(start: int, end: int, base: list[tuple[int, int, int]]) -> bool:
+    """Whether a candidate holds more than base spans tell: it ends behind an assignment, or is not
+    covered by a key's span. A name in front of an assigned value is no more."""
+    met = [(s, kind, e) for s, kind, e in base if s < end and start < e]
+    return all(e < end if kind == 0 else s > start or e < end for s, kind, e in met)
+
+
 def is_candidate(token: str) -> bool:
     """Long runs that mix letters and digits."""
     return CANDIDATE.fullmatch(token) is not None and any(c.isdigit() for c in token) and any(c.isalpha() for c in token)
@@ -67,14 +77,20 @@ class MarkovRatio:
 
 
 def train_secret_model(transcripts: DataFrame, id_col: str = "video_id", text_col: str = "ocr_text", sample_rows: int = 5000) -> MarkovRatio:
-    """Count character pairs of labelled strings in a bounded sample of the transcripts.
+    """Count character pairs of labelled strings in bounded samples of the transcripts.
 
     Labels come from the base patterns: what they find is random, other runs of six or
-    more key characters are ordinary, and candidates for a finding have no label. The sample is the ``sample_rows`` rows with the
-    smallest hash. Without any sample both chains are uniform and no ratio is positive.
+    more key characters are ordinary, and candidates for a finding have no label. One
+    sample is of rows that a base pattern matches, one of the other rows, each the
+    ``sample_rows`` rows with the smallest hash: rare labels are found however large the table is.
+    Without any label of a kind its chain is uniform.
     """
-    rows = transcripts.where(F.col(text_col).isNotNull())
-    sample = smallest_hashes(rows, row_key(id_col, text_col), sample_rows).select(F.col(text_col).alias("text"))
+    text = F.col(text_col).alias("text")
+    labelled = F.col(text_col).rlike(LABELLED)
+    key = row_key(id_col, text_col)
+    sample = smallest_hashes(transcripts.where(labelled), key, sample_rows).select(text).unionByName(
+        smallest_hashes(transcripts.where(~labelled), key, sample_rows).select(text)
+    )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = np.zeros((2, 128, 128), np.int64)
@@ -109,7 +125,8 @@ def scan_secrets(
     Base patterns give ``assign``, ``access`` and ``hex`` spans. Other runs of 20 or
     more key characters that mix letters and digits become ``random`` spans when the
     chain of random strings beats the chain of ordinary identifiers by ``min_ratio``
-    nats and ``min_ratio_per_char`` nats a character. Returns id_col, n_assign,
+    nats and ``min_ratio_per_char`` nats a character; one that touches base spans is
+    judged whole if it reaches past them. Returns id_col, n_assign,
     n_access, n_hex, n_random, base_sha256 and spans (``kind:start:end`` by start and
     kind, comma-joined; code points, end exclusive). Null is an empty text; repeated
     rows each get their row.
@@ -133,7 +150,7 @@ def scan_secrets(
                 found = [
                     (m.start(), 3, m.end())
                     for m in CANDIDATE.finditer(text or "")
-                    if not any(s < m.end() and m.start() < e for s, _, e in base) and is_random(model, m[0])
+                    if reaches_past(m.start(), m.end(), base) and is_random(model, m[0])
                 ]
                 for k, column in enumerate(counts):
                     column.append(sum(f[1] == k for f in (base if k < 3 else found)))
