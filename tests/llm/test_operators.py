@@ -316,9 +316,43 @@ BODY = "The council voted on Tuesday to keep the old bridge open for walkers"
     f"<body><ul id='top' class='menu'><li><ul><li>Home</ul><li>News</ul><p>{BODY}<p class='share'>Tell friends<div>more</div></body>".replace("<div>more</div>", ""),
     f"<body><nav><article>Link list</article></nav><table role='navigation'><tr><td>a<td>b</table><div><p>{BODY}</p></div></body>",
     f"<body><p>{BODY}<span class='share'><span>Like</span> this page</span></p></body>",
+    # names say little where nothing else stands on the page
+    f"<body><div id='related-work'><p>{BODY}</p></div></body>",
+    f"<body><div class='menu-page'><p>{BODY}</p></div></body>",
+    f"<body><article class='widget'><p>{BODY}</p></article></body>",
+    f"<body><form action='/x'><p>{BODY}</p></form></body>",
+    f"<body><div class='ad'><p>{BODY}</p></div><footer><p>All of this is ours, and stays ours.</p></footer></body>",
+    # readers, links and requests beside it
+    f"<body><article><p>{BODY}</p></article><section class='discussion'><p>I disagree, and so do my friends. Not good at all!</p></section></body>",
+    f"<body><div class='text'><p>{BODY}</p></div><div class='responses'><p>I disagree, really. Not good!</p></div></body>",
+    f"<body><div class='leftcol'><a href='/a'>World news today</a> <a href='/b'>Money and markets</a> <a href='/c'>Letters</a></div><div><p>{BODY}</p></div></body>",
+    f"<body><article><p>{BODY}</p><section class='comments'><article><p>Nice one, thanks.</p></article></section></article></body>",
+    f"<body><div class='q1'><p>{BODY}</p></div><form><label>Your mail, please.</label></form></body>",
+    # two sites with names that no list holds
+    f"<body><div class='zx9'><a href='/a'>Start here</a><a href='/b'>Go on</a></div><div class='kq'><div class='rr'><p>{BODY}</p></div></div><div class='vv'><a href='/m'>More of it</a></div></body>",
+    f"<body><div class='jj'><div><div>Log in</div></div></div><article class='pp'><p>{BODY}</p></article><div class='uu'><p>Nice post, I read it twice.</p></div></body>",
+    f"<body><p>{BODY[:20]}\0{BODY[20:]}</p></body>".replace("\0", ""),
 ])
 def test_main_text_of_laid_out_pages(page):
-    assert extraction.extract_text(page, extraction.RegionWeights({}, {})) == BODY
+    assert extraction.extract_text(page, extraction.RegionWeights([], {}, {})) == BODY
+
+
+def test_main_text_keeps_short_blocks_links_and_nul():
+    weights = extraction.RegionWeights([], {}, {})
+    page = f"<body><nav>Go</nav><article><h1>One</h1><hr><hr><hr><hr><hr><hr><p>{BODY}</p><div class='tags'><a href='/t'>Bridges</a></div></article></body>"
+    assert extraction.extract_text(page, weights) == f"One\n{BODY}\nBridges"
+    assert extraction.extract_text("<p>a\0b is one word, c is another one here</p>", weights) == "a\0b is one word, c is another one here"
+
+
+def test_main_text_weights_are_learned_from_labelled_pages(spark):
+    page = "<body><div class='zz top'><p>Buy one, get one. Now, or never.</p></div><article><p>{}</p></article></body>"
+    rows = [(i, "u", page.format(BODY), "x") for i in range(200)]
+    rows.append((200, None, f"<body><div class='zz'><p>Buy one, get one. Now, or never.</p></div><div><p>{BODY}</p></div></body>", "y"))
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, text string")
+    weights = extraction.train_region_weights(pages)
+    assert weights.name("zz") < -1 and weights.tag("p") > -0.3 and weights.weights[2] != extraction.PRIOR[2]
+    got = by_id(extraction.extract_main_text(pages), "page_id")
+    assert {got[i].text for i in range(200)} == {BODY} and len(got) == 201 and got[200].url is None
 
 
 def test_secrets(spark):
