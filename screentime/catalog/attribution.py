@@ -76,9 +76,7 @@ def anchored(t):
 def assigned(t):
     logos = X.score_detections(t.logos()).select(*LOGO, "cx", "cy", "visibility")
     picked = A.zone_person_pick(logos, t.persons(), [*LOGO, "cx", "cy", "visibility"])
-    chosen = picked.select("video_id", "t", "person_id").distinct()
-    posed = A.zone_anchors(t.poses().join(chosen, ["video_id", "t", "person_id"], "left_semi"))
-    return A.zone_assign(picked, posed)
+    return A.zone_assign_poses(picked, t.poses())
 
 
 # A compact SQL twin of the anchor rules over the adapter's fixed pose layout.

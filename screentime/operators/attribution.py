@@ -190,9 +190,11 @@ def _slot_points(kp) -> dict[str, np.ndarray]:
     }
 
 
-def zone_anchors(persons: DataFrame) -> DataFrame:
+def zone_anchors(persons: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """``anchors``: an array of (zone_no, zone, x, y) for the slots the keypoints allow.
 
+    Columns named in ``carry`` go along; rows without keypoints have no anchors.
+
     The rules form a deep graph of shared points, which the optimizer would inline
     into every slot; they run on whole Arrow batches instead, row by row independent.
     """
@@ -222,13 +224,13 @@ def zone_anchors(persons: DataFrame) -> DataFrame:
                 [pa.array(zone_no), names.take(pa.array(zone_no)), pa.array(grid[known][:, 0]), pa.array(grid[known][:, 1])],
                 names=["zone_no", "zone", "x", "y"],
             )
-            keys = [batch.column(c) for c in (*FRAME, "person_id")]
             yield pa.RecordBatch.from_arrays(
-                [*keys, pa.ListArray.from_arrays(pa.array(offsets), entry)], names=[*FRAME, "person_id", "anchors"]
+                [*(batch.column(c) for c in keys), pa.ListArray.from_arrays(pa.array(offsets), entry)], names=[*keys, "anchors"]
             )
 
-    fields = ", ".join(f"{c} {persons.schema[c].dataType.simpleString()}" for c in (*FRAME, "person_id"))
-    return persons.select(*FRAME, "person_id", "keypoints").mapInArrow(
+    keys = list(dict.fromkeys((*FRAME, "person_id", *carry)))
+    fields = ", ".join(f"{c} {persons.schema[c].dataType.simpleString()}" for c in keys)
+    return persons.select(*keys, "keypoints").mapInArrow(
         run, f"{fields}, anchors array<struct<zone_no:int,zone:string,x:double,y:double>>"
     )
 
@@ -240,6 +242,17 @@ def zone_assign(picked: DataFrame, anchored: DataFrame) -> DataFrame:
     equal distance the slot that comes first in ``BUILD_ORDER`` is taken.
     """
     rows = picked.join(anchored.select(*FRAME, "person_id", "anchors"), [*FRAME, "person_id"], "left")
+    return nearest_slot(rows).select(*picked.columns, "zone")
+
+
+def zone_assign_poses(picked: DataFrame, poses: DataFrame) -> DataFrame:
+    """:func:`zone_assign` straight from poses: keypoints join the picked rows once and anchors are laid out there."""
+    posed = picked.join(poses.select(*FRAME, "person_id", "keypoints"), [*FRAME, "person_id"], "left")
+    return nearest_slot(zone_anchors(posed, tuple(picked.columns))).select(*picked.columns, "zone")
+
+
+def nearest_slot(rows: DataFrame) -> DataFrame:
+    """Adds ``zone``: the slot of ``anchors`` nearest to (cx, cy)."""
     order = F.array(*[F.lit(z) for z in BUILD_ORDER])
 
     def measured(e: Column) -> Column:
@@ -247,7 +260,7 @@ def zone_assign(picked: DataFrame, anchored: DataFrame) -> DataFrame:
         return F.struct(d.alias("d"), F.array_position(order, e["zone"]).alias("rank"), e["zone"].alias("zone"))
 
     best = F.array_min(F.transform("anchors", measured))
-    return rows.select(*picked.columns, best["zone"].alias("zone"))
+    return rows.withColumn("zone", best["zone"])
 
 
 def zone_share(assigned: DataFrame, keys: list[str], groups: DataFrame | None = None) -> DataFrame:

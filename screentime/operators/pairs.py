@@ -2,7 +2,9 @@
 
 A frame normally holds a few dozen boxes, so an equi-join on the frame key meets
 a bounded number of rows. Frames with more boxes than ``dense_limit`` are joined
-on the frame key and a grid cell instead, each pair reported in one cell only.
+on the frame key and a grid cell instead, each pair reported in one cell only. The
+cells of a pair are as wide as its larger window (within a factor of four), so small
+boxes that pile up in one place meet in small cells.
 """
 
 from __future__ import annotations
@@ -12,18 +14,41 @@ from pyspark.sql import functions as F
 
 DENSE_LIMIT = 256
 CELL = 120.0
+#: Cells of one level are this many times as wide as those of the next finer one; levels below and above ``CELL``.
+LEVEL_STEP, FINER, COARSER = 4, 3, 2
 
 _L = ["__l1", "__l2", "__l3", "__l4"]
 _R = ["__r1", "__r2", "__r3", "__r4"]
 
 
-def _cells(df: DataFrame, window: list[str], cell: float) -> DataFrame:
+def _cells(df: DataFrame, window: list[str], cell: float, left: bool) -> DataFrame:
+    """Rows of a side under the cells where they may meet the other side.
+
+    A window's own level is the first whose cells are at least its size. It stands there
+    (``own``) and, as the smaller window of a pair, in the cells of every coarser level.
+    Meeting 0 is of left own with any right windows, meeting 1 of smaller left with right
+    own windows: two windows smaller than a cell never meet in it.
+    """
+    size = F.greatest(F.col(window[2]) - F.col(window[0]), F.col(window[3]) - F.col(window[1]), F.lit(0.0))
+    step = F.lit(float(LEVEL_STEP))
+    finest = cell / LEVEL_STEP**FINER
+    own = F.least(F.lit(FINER + COARSER), F.greatest(F.lit(0), F.ceil(F.log(size / finest) / F.log(step)).cast("int")))
+    placed = df.withColumn("__own", own).withColumn("__level", F.explode(F.sequence("__own", F.lit(FINER + COARSER))))
+    placed = placed.withColumn("__cell", F.lit(finest) * F.pow(step, F.col("__level")))
+
     def span(lo: str, hi: str) -> Column:
-        return F.sequence(F.floor(F.col(lo) / cell).cast("int"), F.floor(F.col(hi) / cell).cast("int"))
+        return F.sequence(F.floor(F.col(lo) / F.col("__cell")), F.floor(F.col(hi) / F.col("__cell")))
 
-    return df.withColumn("__gx", F.explode(span(window[0], window[2]))).withColumn(
-        "__gy", F.explode(span(window[1], window[3]))
-    )
+    is_own = F.col("__own") == F.col("__level")
+    meeting = F.when(is_own, F.array(F.lit(0))).otherwise(F.array(F.lit(1))) if left else F.when(is_own, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    placed = placed.withColumn("__meeting", F.explode(meeting)).withColumn("__gx", F.explode(span(window[0], window[2])))
+    placed = placed.withColumn("__gy", F.explode(span(window[1], window[3]))).drop("__own")
+    return placed if left else placed.drop("__cell")
+
+
+def _met(left: DataFrame, right: DataFrame, frame: list[str], cell: float) -> DataFrame:
+    """Pairs of windows that stand in one cell, before they are compared."""
+    return _cells(left, _L, cell, True).join(_cells(right, _R, cell, False), [*frame, "__level", "__meeting", "__gx", "__gy"])
 
 
 def box_counts(boxes: DataFrame, frame: list[str]) -> DataFrame:
@@ -51,12 +76,11 @@ def window_pairs(
     tagged = b.join(counts, frame)
     sparse = a.join(tagged.filter(F.col("__n") <= dense_limit).drop("__n"), frame).filter(touch)
     crowded = counts.filter(F.col("__n") > dense_limit).select(*frame)
-    dense_a = _cells(a.join(crowded, frame, "left_semi"), _L, cell)
-    dense_b = _cells(tagged.filter(F.col("__n") > dense_limit).drop("__n"), _R, cell)
-    corner = (F.floor(F.greatest(F.col(_L[0]), F.col(_R[0])) / cell) == F.col("__gx")) & (
-        F.floor(F.greatest(F.col(_L[1]), F.col(_R[1])) / cell) == F.col("__gy")
+    dense = _met(a.join(crowded, frame, "left_semi"), tagged.filter(F.col("__n") > dense_limit).drop("__n"), frame, cell)
+    corner = (F.floor(F.greatest(F.col(_L[0]), F.col(_R[0])) / F.col("__cell")) == F.col("__gx")) & (
+        F.floor(F.greatest(F.col(_L[1]), F.col(_R[1])) / F.col("__cell")) == F.col("__gy")
     )
-    dense = dense_a.join(dense_b, [*frame, "__gx", "__gy"]).filter(touch & corner)
+    dense = dense.filter(touch & corner)
     columns = [*left.columns, *[c for c in right.columns if c not in frame]]
     if crowded_only:
         return dense.select(*columns)

@@ -160,3 +160,31 @@ def test_burst_and_asof(spark):
     for chunk in (900.0, 1.0):
         got = rows(A.asof_team_label(hits, labels, ["video_id"], 1.0, chunk=chunk).select("t", "label"), "t")
         assert got == [(0.0, "a"), (0.4, "a"), (9.0, None), (10.5, "b")]
+
+
+def test_boxes_piled_up_in_one_cell_meet_few_others(spark):
+    """10,000 small boxes within 120 pixels and some large ones over them: candidates follow the pairs that touch."""
+    rows = [(1, 0.0, i, 2.0 * (i % 50), 0.55 * (i // 50), 2.0 * (i % 50) + 1.5, 0.55 * (i // 50) + 0.5) for i in range(10_000)]
+    rows += [(1, 0.0, 10_000 + i, 10.0 * i, 0.0, 10.0 * i + 200, 200.0) for i in range(5)]
+    df = spark.createDataFrame(rows, "video_id int, t double, person_id int, x1 double, y1 double, x2 double, y2 double")
+    right = df.select(*A.FRAME, F.col("person_id").alias("p_key"), *[F.col(c).alias(f"p_{c}") for c in A.BOX])
+    a = df.select("*", *[F.col(c).alias(n) for c, n in zip(A.BOX, P._L)])
+    b = right.select("*", *[F.col(f"p_{c}").alias(n) for c, n in zip(A.BOX, P._R)])
+    met = P._met(a, b, A.FRAME, P.CELL).count()
+    pairs = P.window_pairs(df, right, A.FRAME, [F.col(c) for c in A.BOX], [F.col(f"p_{c}") for c in A.BOX])
+    found = pairs.count()
+    assert pairs.distinct().count() == found > 10_000
+    assert met < 12 * found and met < 2_000_000  # one grid of 120 pixels: 10^8
+    assert A.isolated_boxes(df.where("person_id < 10000"), "person_id").count() == 10_000
+
+
+def test_slots_from_poses_equal_slots_from_anchors(spark):
+    kp = [(float(10 * i), float(7 * i), 0.9) for i in range(17)]
+    poses = spark.createDataFrame([(1, 0.0, 1, kp), (1, 0.0, 2, None), (1, 1.0, 1, kp[:6])], "video_id int, t double, person_id int, keypoints array<struct<x:double,y:double,c:double>>")
+    picked = spark.createDataFrame(
+        [(1, 0.0, f"a{i}", 12.0 * i, 9.0 * i, p) for i, p in enumerate([1, 1, 2, None, 7])] + [(1, 1.0, "b", 50.0, 35.0, 1)],
+        "video_id int, t double, det_id string, cx double, cy double, person_id int",
+    )
+    one = A.zone_assign(picked, A.zone_anchors(poses)).collect()
+    two = A.zone_assign_poses(picked, poses).collect()
+    assert sorted(one, key=str) == sorted(two, key=str) and len(two) == 6 and {r.zone is None for r in two} == {True, False}
