@@ -1,6 +1,7 @@
 """Text operators against brute force on small transcripts with every odd case."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -151,6 +152,49 @@ def test_benchmark_matches_equal_brute_force(spark, transcripts, block_words):
     assert longest == [30]
 
 
+def test_longest_matches_of_random_shards():
+    rnd = random.Random(5)
+    for _ in range(400):
+        width, vocab = rnd.randint(1, 4), [b"a", b"b", b"c"][: rnd.randint(1, 3)]
+        items = {str(i): rnd.choices(vocab, k=rnd.randint(0, 9)) for i in range(rnd.randint(0, 5))}
+        docs = [rnd.choices(vocab, k=rnd.randint(0, 14)) for _ in range(rnd.randint(0, 4))]
+        found, names = contamination.search_shard(docs, contamination.Queries([(i, 0, b" ".join(w)) for i, w in items.items()], width))
+        for d, words in enumerate(docs):
+            best, held = {}, set()
+            for i, item in items.items():
+                least = min(width, len(item))
+                for p in range(len(words)) if least else ():
+                    for s in range(len(item) - least + 1):
+                        n = next((k for k, (x, y) in enumerate(zip(words[p:], item[s:])) if x != y), min(len(words) - p, len(item) - s))
+                        if n >= least:
+                            held.add(i)
+                            best[p] = max(best.get(p, 0), n)
+            want, reach = [], 0
+            for p in sorted(best):
+                if p + best[p] > reach:
+                    want.append((p, best[p]))
+                    reach = p + best[p]
+            assert names[d] == sorted(held)
+            assert [(s, n) for _, _, s, n in found[d]] == want
+            assert all(items[i][a : a + n] == words[s : s + n] for i, a, s, n in found[d])
+
+
+def test_equal_one_word_items_do_not_multiply(spark):
+    benchmark = spark.createDataFrame([(str(i), "Yes.") for i in range(200)], "item_id string, text string")
+    rows = spark.createDataFrame([(i, "yes " * 2000) for i in range(40)], "video_id bigint, ocr_text string")
+    for r in contamination.benchmark_matches(rows, benchmark).collect():
+        assert (r.n_hit, r.n_items, len(r.matches)) == (2000, 200, 2000)
+
+
+def test_long_items_are_cut_into_overlapping_pieces(spark, monkeypatch):
+    monkeypatch.setattr(contamination, "PIECE_WORDS", 20)
+    words = [f"w{i}" for i in range(55)]
+    items = spark.createDataFrame([("long", " ".join(words)), ("none", "?!"), ("short", "w3 w4")], "item string, text string")
+    pieces = [(i, at, t.decode().split()) for block in contamination.blocks_of(items, 13, 25) for i, at, t in block]
+    assert sorted((i, at, len(w)) for i, at, w in pieces) == [("long", 0, 32), ("long", 20, 32), ("long", 40, 15), ("short", 0, 2)]
+    assert all(w == words[at : at + len(w)] for i, at, w in pieces if i == "long")
+
+
 def test_packing_is_an_exact_round_trip(transcripts):
     from tokenizers import Tokenizer
 
