@@ -18,6 +18,10 @@ SKETCH = 32
 MISSED = 1e-7
 #: Lists from this length on choose their first partner by full sets.
 LONG_LIST = 32
+#: Pairs of a node from which on it meets them in several groups.
+HOT_PAIRS = 256
+#: Groups that the records of one text are dealt to.
+DEALT = 16
 #: Ratio of two neighbouring size classes.
 CLASS_RATIO = 0.96
 
@@ -104,6 +108,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return labels
 
 
+def with_node(pairs: DataFrame, side: str, values: DataFrame) -> DataFrame:
+    """Joins ``values`` (node, ...) to the pairs by ``side``; a node of many pairs stands in one group per ``HOT_PAIRS``."""
+    busy = pairs.groupBy(side).agg(F.ceil(F.count("*") / HOT_PAIRS).cast("int").alias("_groups")).where("_groups > 1")
+    other = "b" if side == "a" else "a"
+    dealt = pairs.join(busy, side, "left").withColumn("_deal", F.pmod(F.xxhash64(other), F.coalesce("_groups", F.lit(1))).cast("int"))
+    copies = values.withColumnRenamed("node", side).join(busy, side, "left")
+    copies = copies.withColumn("_deal", F.explode(F.sequence(F.lit(0), F.coalesce("_groups", F.lit(1)) - 1)))
+    return dealt.drop("_groups").join(copies.drop("_groups"), [side, "_deal"]).drop("_deal")
+
+
 def _size_class(n: Column) -> Column:
     return F.floor(F.log(n.cast("double")) / -np.log(CLASS_RATIO)).cast("int")
 
@@ -134,7 +148,7 @@ def near_copies(
     rows = transcripts.select(row_key(id_col, text_col).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     found = table(sketches(rows, shingle), "sketches")
     nodes = table(
-        found.where("n > 0").groupBy("node").agg(F.min("id").alias("least"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("sketch").alias("sketch")),
+        found.where("n > 0").groupBy("node").agg(F.min("id").alias("least"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count("*").alias("copies")),
         "nodes",
     )
 
@@ -155,14 +169,15 @@ def near_copies(
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) whose union sketch lets them pass, then their full sets."""
+        pairs = table(pairs, "pairs")
         for side in "ab":
-            pairs = pairs.join(sizes.select(F.col("node").alias(side), F.col("sketch").alias(f"sketch_{side}")), side)
+            pairs = with_node(pairs, side, sizes.select("node", F.col("sketch").alias(f"sketch_{side}")))
         union = F.slice(F.sort_array(F.array_union("sketch_a", "sketch_b")), 1, SKETCH)
         both = F.size(F.array_intersect(F.array_intersect("sketch_a", "sketch_b"), F.col("union")))
         likely = pairs.withColumn("union", union).where((both >= least) | (100 * both >= threshold_pct * F.size("union"))).select("a", "b")
         likely = table(likely, "likely")
         for side in "ab":
-            likely = likely.join(sets.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("set").alias(f"set_{side}")), side)
+            likely = with_node(likely, side, sets.select("node", F.col("n").alias(f"n_{side}"), F.col("set").alias(f"set_{side}")))
         inter = likely.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("set_a", "set_b")).alias("both"))
         return inter.where(100 * F.col("both") >= threshold_pct * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b")
 
@@ -217,9 +232,13 @@ def near_copies(
     groups = nodes.select("node", "least").join(groups, "node").select("node", "least", "component")
     lowest = groups.groupBy("component").agg(F.min("least").alias("component_id"))
     joined = table(groups.join(lowest, "component").select("node", "component_id"), "groups")
-    named = nodes.join(joined, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id"))
-    out = found.select("row", "id", "n", "node").join(named, "node", "left")
-    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
+    # only nodes of several records or with links name a group; records are dealt by row, so that copies of one text spread
+    named = nodes.join(joined, "node", "left").where("copies > 1 OR component_id IS NOT NULL").select(
+        "node", F.coalesce("component_id", "least").alias("component_id"), F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))).alias("deal")
+    )
+    spread = found.select("row", "id", "n", "node", F.pmod("row", F.lit(DEALT)).cast("int").alias("deal"))
+    out = spread.join(named, ["node", "deal"], "left")
+    component = F.coalesce("component_id", "id")
     return out.select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"), "row"
     )
