@@ -97,17 +97,6 @@ def test_near_copies_in_a_large_family(spark, copies):
     assert {k: r.component_id for k, r in found.items()} == group
 
 
-def test_crowds_of_copies_and_of_empty_texts(spark, monkeypatch):
-    monkeypatch.setattr(nearcopies, "HOT_PAIRS", 8)
-    base = [f"w{k}" for k in range(200)]
-    near = [" ".join(base[:i] + [f"x{i}"] + base[i + 1 :]) for i in range(100)]
-    rows = [(i, " ".join(base)) for i in range(20_000)] + [(20_000 + i, None if i % 2 else " ") for i in range(20_000)]
-    rows += [(40_000 + i, t) for i, t in enumerate(near)]
-    got = nearcopies.near_copies(spark.createDataFrame(rows, "video_id bigint, ocr_text string")).select("video_id", "component_id", "kept")
-    want = {i: i if 20_000 <= i < 40_000 else 0 for i, _ in rows}
-    assert sorted(map(tuple, got.collect())) == [(i, c, i == c) for i, c in sorted(want.items())]
-
-
 def test_near_copies_at_a_lower_threshold(spark):
     # nested pairs at 0.61: the longer text goes on where the shorter ends
     rows = [(2 * i + side, " ".join(f"p{i}w{k}" for k in range(304 if side else 187))) for i in range(100) for side in (0, 1)]
